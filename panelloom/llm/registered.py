@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelloom.llm import bpe_codec, language_id, quality_rules, sharding, token_counts
+from panelloom.llm import bpe_codec, language_id, line_dedup, quality_rules, sharding, token_counts
 from panelloom.llm.common import documents
 
 
@@ -22,6 +22,10 @@ def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.sharded(documents(spark, sf_dir), shards=16)
 
 
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.dedup_report(documents(spark, sf_dir))
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality(documents(spark, sf_dir))
 
@@ -37,5 +41,5 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_codec.round_trip(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
-QUERIES = {f.__name__: f for f in (op2_token_counts, op4_sharding, op8_quality_rules, op9_language_id, op10_byte_bpe)}
-SQL: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op2_token_counts, op4_sharding, op5_line_dedup, op8_quality_rules, op9_language_id, op10_byte_bpe)}
+SQL: dict[str, str] = {"op5_line_dedup": line_dedup.SQL}
