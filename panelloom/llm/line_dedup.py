@@ -16,8 +16,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def _cut(mean_lines: int) -> tuple[Column, Column]:
-    """(lines of ``text``, index of each chunk's last line among ``lines``)."""
+def _cut(mean_lines: int) -> tuple[Column, Column, Column, Column]:
+    """Lines of ``text``, their hashes, whether a chunk ends after each, and the places where one does."""
     lines = F.split("text", "\n", -1)
     # 28 bits of MD5, for a hash that other SQL engines have too
     marks = F.transform("lines", lambda x: F.conv(F.substring(F.md5(x), 1, 7), 16, 10).cast("long"))
@@ -28,23 +28,28 @@ def _cut(mean_lines: int) -> tuple[Column, Column]:
 
 def chunked(docs: DataFrame, mean_lines: int = 4) -> DataFrame:
     """``docs`` with ``lines`` and ``ends``; texts that are null have null in both."""
-    lines, marks, rolled, ends = _cut(mean_lines)
-    return docs.withColumn("lines", lines).withColumn("marks", marks).withColumn("rolled", rolled).withColumn("ends", ends).drop("marks", "rolled")
+    cut = _cut(mean_lines)
+    return docs.withColumn("lines", cut[0]).withColumn("marks", cut[1]).withColumn("rolled", cut[2]).withColumn("ends", cut[3]).drop("marks", "rolled")
 
 
 def _start(k: Column) -> Column:
     return F.coalesce(F.get("ends", k - 1) + 1, F.lit(0))
 
 
+def _text_of(k: Column) -> Column:
+    # ``lines`` is named twice, so that the optimizer keeps it as a column instead of splitting the text again for each chunk
+    return F.array_join(F.slice("lines", F.least(_start(k), F.size("lines")) + 1, F.get("ends", k) - _start(k) + 1), "\n")
+
+
 def removals(docs: DataFrame, mean_lines: int = 4) -> DataFrame:
     """doc_id and ``removed``, the sorted numbers of its chunks that occur earlier; only documents with any."""
     cut = chunked(docs.filter(F.col("text").contains("\n")).select("doc_id", "text"), mean_lines).drop("text")
+    # The chunks are built in the row and only they are exploded: a row with all lines for each chunk would be quadratic.
+    built = F.transform("ends", lambda end, k: F.struct(k.alias("k"), (end - _start(k) + 1).alias("size"), _text_of(k).alias("chunk")))
     chunks = (
-        cut.select("doc_id", "lines", "ends", F.posexplode("ends").alias("k", "end"))
-        .withColumn("start", _start(F.col("k")))
-        .filter("end > start")
-        .select("doc_id", "k", F.array_join(F.slice("lines", F.col("start") + 1, F.col("end") - F.col("start") + 1), "\n").alias("chunk"))
-        .filter(F.trim(F.regexp_replace("chunk", r"\s+", "")) != "")
+        cut.select("doc_id", F.explode_outer(F.filter(built, lambda c: c["size"] > 1)).alias("c"))
+        .select("doc_id", "c.k", "c.chunk")
+        .filter(F.col("chunk").rlike(r"\S"))
         .withColumn("hash", F.xxhash64("chunk"))
     )
     place = F.struct("doc_id", "k")
@@ -62,7 +67,6 @@ def deduplicated(docs: DataFrame, mean_lines: int = 4) -> DataFrame:
     held = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), "doc_id", "text")
     cut = chunked(held, mean_lines).join(gone, F.col("doc_id").eqNullSafe(F.col("gone_id")), "left")
     kept = F.array_except(F.sequence(F.lit(0), F.size("ends") - 1), F.coalesce("removed", F.array().cast("array<int>")))
-    text_of = lambda k: F.array_join(F.slice("lines", _start(k) + 1, F.get("ends", k) - _start(k) + 1), "\n")
     lines_of = lambda k: F.get("ends", k) - _start(k) + 1
     cut = cut.withColumn("kept", F.when(F.col("lines").isNotNull(), kept))
     report = F.struct(
@@ -71,7 +75,7 @@ def deduplicated(docs: DataFrame, mean_lines: int = 4) -> DataFrame:
         F.coalesce(F.aggregate("removed", F.lit(0), lambda a, k: a + lines_of(k)), F.lit(0)).cast("long").alias("removed_lines"),
         F.coalesce(F.when(F.col("removed").isNotNull(), F.size("removed")), F.lit(0)).cast("long").alias("removed_chunks"),
     )
-    text = F.when(F.col("removed").isNull(), F.col("text")).otherwise(F.array_join(F.transform("kept", text_of), "\n"))
+    text = F.when(F.col("removed").isNull(), F.col("text")).otherwise(F.array_join(F.transform("kept", _text_of), "\n"))
     return cut.select("row", text.alias("new_text"), report.alias("line_dedup")).select(*[F.col("new_text").alias("text") if c == "text" else F.col(f"row.`{c}`") for c in docs.columns], "line_dedup")
 
 
