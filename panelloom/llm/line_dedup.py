@@ -7,7 +7,8 @@ documents by hash; those met again are compared byte by byte with the first, and
 by doc_id and place, go. A chunk that only shares the hash stays.
 
 A null text stays null; an empty one is a single empty line and stays. Rows with the same doc_id
-count as one document: they keep the first occurrence in each. All by DataFrame functions.
+count as one document: they keep the first occurrence in each. All by DataFrame functions. Repeated hashes are
+broadcast up to ``BROADCAST`` of them; beyond that the join shuffles.
 """
 
 from __future__ import annotations
@@ -15,6 +16,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from panelloom.llm.common import durable
+
+#: Most repeated hashes that are broadcast.
+BROADCAST = 500_000
+
 
 def _cut(mean_lines: int) -> tuple[Column, Column, Column, Column]:
     """Lines of ``text``, their hashes, whether a chunk ends after each, and the places where one does."""
@@ -54,7 +60,10 @@ def removals(docs: DataFrame, mean_lines: int = 4) -> DataFrame:
     )
     place = F.struct("doc_id", "k")
     repeated = chunks.groupBy("hash").agg(F.min(place).alias("first"), F.max(place).alias("last")).filter(~F.col("first").eqNullSafe(F.col("last"))).select("hash", "first")
-    met = chunks.join(repeated, "hash")
+    repeated = durable(repeated)
+    few = repeated.count() <= BROADCAST
+    # Where the repeated hashes are few enough to be sent to every task, only chunks that are met again move; else all are shuffled.
+    met = chunks.join(F.broadcast(repeated) if few else repeated, "hash")
     first = met.filter(place.eqNullSafe(F.col("first"))).select("hash", F.col("chunk").alias("first_chunk")).dropDuplicates(["hash"])
     again = met.filter(~place.eqNullSafe(F.col("first"))).join(first, "hash").filter(F.col("chunk") == F.col("first_chunk"))
     return again.groupBy("doc_id").agg(F.sort_array(F.collect_set("k")).alias("removed"))
@@ -64,8 +73,9 @@ def deduplicated(docs: DataFrame, mean_lines: int = 4) -> DataFrame:
     """``docs`` with the remaining text in ``text``, and with ``line_dedup``: a struct of n_lines, n_chunks, removed_lines, removed_chunks."""
     gone = removals(docs, mean_lines).select(F.col("doc_id").alias("gone_id"), "removed")
     # Only the columns of the caller and one struct leave, whatever the caller's are called.
-    held = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), "doc_id", "text")
-    cut = chunked(held, mean_lines).join(gone, F.col("doc_id").eqNullSafe(F.col("gone_id")), "left")
+    held = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id").alias("key"))
+    held = held.join(gone, F.col("key").eqNullSafe(F.col("gone_id")), "left")  # each text moves once, as it is
+    cut = chunked(held.select("row", F.col("row.text").alias("text"), "removed"), mean_lines)
     kept = F.array_except(F.sequence(F.lit(0), F.size("ends") - 1), F.coalesce("removed", F.array().cast("array<int>")))
     lines_of = lambda k: F.get("ends", k) - _start(k) + 1
     cut = cut.withColumn("kept", F.when(F.col("lines").isNotNull(), kept))

