@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelloom.llm import bpe_codec, language_id, line_dedup, quality_rules, sharding, token_counts
+from panelloom.llm import bpe_codec, decontaminate, language_id, line_dedup, quality_rules, sharding, token_counts
 from panelloom.llm.common import documents
 
 
@@ -18,6 +18,10 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"), limit=2048)
 
 
+def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.leaks(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.sharded(documents(spark, sf_dir), shards=16)
 
@@ -41,5 +45,5 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_codec.round_trip(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
-QUERIES = {f.__name__: f for f in (op2_token_counts, op4_sharding, op5_line_dedup, op8_quality_rules, op9_language_id, op10_byte_bpe)}
+QUERIES = {f.__name__: f for f in (op2_token_counts, op3_decontaminate, op4_sharding, op5_line_dedup, op8_quality_rules, op9_language_id, op10_byte_bpe)}
 SQL: dict[str, str] = {"op5_line_dedup": line_dedup.SQL}
