@@ -8,7 +8,7 @@ ASCII white space, A-Z lower-cased; fewer words make one shingle. Two documents
 2. Shingles are ordered: frequent ones (a bounded list, found from counts within tasks) last, the
    others by hash. Sets that link share a shingle among the first ``size - ceil(t * size) + 1``.
 3. Classes with the same size and the same prefix form a group; groups are joined on the shingles of
-   their prefixes, and pairs whose sizes or positions rule a link out are dropped.
+   their prefixes, and pairs whose sizes or numbers of shared prefix shingles rule a link out are dropped.
 4. First each class is compared with one leader only, the class it shares most prefix shingles with
    among the smallest holders of those. That links large groups of copies in a star, not in all pairs.
 5. Then pairs between the components found so far are expanded to members and verified, all of them.
@@ -36,6 +36,8 @@ from panelloom.llm.components import components
 BLOCK, REMEMBERED = 4_000_000, 400_000
 #: The frequent shingles that are kept apart: how many at most, and how often they are met at least.
 FREQUENT, OFTEN = 200_000, 16
+#: Most doc_ids of candidates that are broadcast to fetch their texts; more are joined by a shuffle.
+BROADCAST = 1_000_000
 _WORDS: dict[bytes, int] = {}
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
@@ -158,58 +160,69 @@ def _sets_of(texts: DataFrame, n: int) -> DataFrame:
     return texts.mapInArrow(run, "rep long, set array<long>")
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) that link."""
+def _needed(x: str, y: str, percent: int):
+    """Least intersection of sets of these sizes that link."""
+    return F.ceil((F.col(x) + F.col(y)) * percent / (100 + percent) - 1e-9)
+
+
+def _met(x: str, y: str, percent: int):
+    """Least number of shared prefix shingles of sets that link.
+
+    Of the two prefixes one ends first in the order. What both sets share up to there is in both
+    prefixes, and beyond it that set has ``ceil(t * size) - 1`` shingles.
+    """
+    rest = lambda c: F.ceil(F.col(c) * percent / 100 - 1e-9) - 1
+    return _needed(x, y, percent) - F.greatest(rest(x), rest(y))
+
+
+def _verified(pairs: DataFrame, docs: DataFrame, n: int, percent: int) -> DataFrame:
+    """The pairs (a, b) of documents that link, by their whole sets."""
+    pairs = durable(pairs)
+    wanted = durable(pairs.select(F.explode(F.array("a", "b")).alias("rep")).distinct())
+    few = wanted.count() <= BROADCAST
+    texts = docs.join(F.broadcast(wanted) if few else wanted, F.col("doc_id") == F.col("rep"), "left_semi").select(F.col("doc_id").alias("rep"), "text").dropDuplicates(["rep"])
+    sets = _sets_of(texts, n)
     left, right = (sets.select(F.col("rep").alias(x), F.col("set").alias(f"set_{x}")) for x in "ab")
-    both = pairs.join(left, "a").join(right, "b")
     common = F.size(F.array_intersect("set_a", "set_b"))
-    return both.filter(100 * common >= percent * (F.size("set_a") + F.size("set_b") - common)).select("a", "b")
+    linked = 100 * common >= percent * (F.size("set_a") + F.size("set_b") - common)
+    return durable(pairs.join(left, "a").join(right, "b").filter(linked).select("a", "b"))
 
 
 def linked(docs: DataFrame, n: int = 4, percent: int = 85) -> DataFrame:
     """doc_id, n_shingles, class_id (the smallest doc_id with the same set) and component_id for each document."""
     marked = durable(shingle_sets(docs, n))
-    classes = marked.filter((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull()).groupBy("digest").agg(F.min("doc_id").alias("rep"))
-    classes = durable(classes)
-    # One text of each class: the first row of its representative. Ids alone move, then the texts of representatives.
-    reps = marked.join(classes, "digest").filter(F.col("doc_id") == F.col("rep")).select("rep", "n_shingles").dropDuplicates(["rep"])
-
-    prefixes = durable(_prefixes(docs.filter(F.col("doc_id").isNotNull()), n, percent).join(reps.select("rep"), "rep", "left_semi").dropDuplicates(["rep"]))
-    holders = prefixes.select("rep", "size", "group", F.posexplode("prefix").alias("place", "token"))
-    # Members of a group have the same tokens at the same places: the group enters the join once.
-    groups = holders.groupBy("token", "group").agg(F.min("rep").alias("first"), F.first("size").alias("size"), F.first("place").alias("place"), F.max("rep").alias("last"))
-    shared = groups.groupBy("token").agg(F.min("first").alias("leader"), F.max("last").alias("last")).filter("leader < last").select("token", "leader")
-    groups = durable(groups.join(shared, "token").select("token", "leader", "group", "size", "place"))
-
-    members = prefixes.select("rep", "group", "size")
-    wanted = members.join(groups.select("group").distinct(), "group", "left_semi").select("rep")
-    texts = docs.join(wanted, F.col("doc_id") == F.col("rep"), "left_semi").select(F.col("doc_id").alias("rep"), "text").dropDuplicates(["rep"])
-    sets = durable(_sets_of(texts, n))
-
-    # A leader for each class: most shared prefix shingles, then the smallest.
-    votes = groups.groupBy("group", "leader").agg(F.count("*").alias("n"))
-    best = votes.groupBy("group").agg(F.max(F.struct("n", -F.col("leader"))).alias("b")).select("group", (-F.col("b.col2")).alias("b"))
-    stars = members.join(best, "group").select(F.col("rep").alias("a"), "b").filter("a <> b")
-    first = durable(_verified(stars, sets, percent))
+    classes = durable(marked.filter((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull()).groupBy("digest").agg(F.min("doc_id").alias("rep")))
+
+    prefixes = durable(_prefixes(docs.filter(F.col("doc_id").isNotNull()), n, percent).join(classes.select("rep"), "rep", "left_semi").dropDuplicates(["rep"]))
+    groups = prefixes.groupBy("group").agg(F.min("rep").alias("g"), F.first("size").alias("size"), F.first("prefix").alias("prefix"), F.count("*").alias("reps"))
+    members = durable(prefixes.select("rep", "group").join(groups.select("group", "g", "size"), "group").select("g", "size", "rep"))
+    # Dealt by shingle once; what follows by shingle needs no other exchange.
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    holders = groups.select("g", "size", (F.col("reps") > 1).alias("several"), F.posexplode("prefix").alias("place", "token")).repartition(parts, "token")
+    leaders = holders.groupBy("token").agg(F.min(F.struct("g", "size", "place")).alias("lead"), F.count("*").alias("n"), F.max("several").alias("several")).filter("n > 1 OR several")
+    held = durable(holders.join(leaders.select("token", "lead"), "token").select("token", "g", "size", "place", "lead"))
+
+    # A leader for each group: the one with which it shares most of the shingles it leads. Groups that share too few can't follow.
+    led = held.select("g", "size", F.col("lead.g").alias("b"), F.col("lead.size").alias("b_size")).filter("g <> b").groupBy("g", "b").agg(F.count("*").alias("n"), F.first("size").alias("size"), F.first("b_size").alias("b_size"))
+    led = led.filter((F.least("size", "b_size") * 100 >= F.greatest("size", "b_size") * percent) & (2 * F.col("n") >= _met("size", "b_size", percent)))
+    best = led.groupBy("g").agg(F.max(F.struct("n", -F.col("b"))).alias("m")).select("g", (-F.col("m.col2")).alias("b"))
+    stars = members.join(best, "g").select(F.col("rep").alias("a"), "b").union(members.select(F.col("rep").alias("a"), F.col("g").alias("b"))).filter("a <> b").distinct()
+    first = _verified(stars, docs, n, percent)
     found = components(first)
 
-    label = durable(members.join(found, F.col("rep") == F.col("node"), "left").select("rep", "group", "size", F.coalesce("component", "rep").alias("component")))
-    parts = groups.select("token", "group", "size", "place").join(label.select("group", "component").distinct(), "group")
-    kinds = parts.select("token", "component").distinct()
-    many = kinds.groupBy("token").agg(F.count("*").alias("n")).filter("n > 1").select("token")
-    parts = durable(parts.join(many, "token", "left_semi"))
-    kinds = parts.select("token", "component").distinct()
+    label = durable(members.join(found, F.col("rep") == F.col("node"), "left").select("rep", "g", "size", F.coalesce("component", "rep").alias("component")))
+    spread = durable(held.drop("lead").join(label.select("g", "component").distinct(), "g"))
+    kinds = spread.select("token", "component").distinct()
     x, y = (kinds.select("token", F.col("component").alias(c)) for c in ("cx", "cy"))
     crossed = x.join(y, "token").filter("cx < cy")
-    left, right = (parts.select("token", F.col("component").alias(f"c{k}"), F.col("group").alias(f"g{k}"), F.col("size").alias(f"s{k}"), F.col("place").alias(f"p{k}")) for k in "xy")
-    need = F.ceil((F.col("sx") + F.col("sy")) * percent / (100 + percent) - 1e-9)
-    fit = (F.least("sx", "sy") * 100 >= F.greatest("sx", "sy") * percent) & (1 + F.least(F.col("sx") - F.col("px"), F.col("sy") - F.col("py")) - 1 >= need)
-    pairs = crossed.join(left, ["token", "cx"]).join(right, ["token", "cy"]).filter(fit).select("gx", "gy", "cx", "cy").distinct()
-    a, b = (label.select(F.col("group").alias(f"g{k}"), F.col("component").alias(f"c{k}"), F.col("rep").alias(r)) for k, r in (("x", "a"), ("y", "b")))
-    more = _verified(pairs.join(a, ["gx", "cx"]).join(b, ["gy", "cy"]).select("a", "b").distinct(), sets, percent)
-    # Equal sets need no link: their class stands for them.
+    left, right = (spread.select("token", F.col("component").alias(f"c{k}"), F.col("g").alias(f"g{k}"), F.col("size").alias(f"s{k}")) for k in "xy")
+    met = crossed.join(left, ["token", "cx"]).join(right, ["token", "cy"]).filter(F.least("sx", "sy") * 100 >= F.greatest("sx", "sy") * percent)
+    pairs = met.groupBy("gx", "gy", "cx", "cy").agg(F.count("*").alias("n"), F.first("sx").alias("sx"), F.first("sy").alias("sy")).filter(F.col("n") >= _met("sx", "sy", percent))
+    a, b = (label.select(F.col("g").alias(f"g{k}"), F.col("component").alias(f"c{k}"), F.col("rep").alias(r)) for k, r in (("x", "a"), ("y", "b")))
+    more = _verified(pairs.join(a, ["gx", "cx"]).join(b, ["gy", "cy"]).select("a", "b").distinct(), docs, n, percent)
     final = components(first.union(more))
 
+    # Equal sets need no link: their class stands for them.
     of = classes.join(final, F.col("rep") == F.col("node"), "left").select(F.col("digest").alias("d"), F.col("rep").alias("class_id"), F.coalesce("component", "rep").alias("component_id"))
     whole = marked.join(of, (F.col("digest") == F.col("d")) & (F.col("n_shingles") > 0), "left")
     return whole.select("doc_id", "n_shingles", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("component_id", "doc_id").alias("component_id"))
