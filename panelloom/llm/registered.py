@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelloom.llm import bpe_codec, decontaminate, jaccard_join, language_id, line_dedup, quality_rules, sharding, token_counts
+from panelloom.llm import bpe_codec, decontaminate, jaccard_join, language_id, line_dedup, lm_scoring, quality_rules, sharding, token_counts
 from panelloom.llm.common import documents
 
 
@@ -14,6 +14,12 @@ def _remainder(n: int):
     return F.crc32(F.col("doc_id").cast("string").cast("binary")) % n
 
 
+def op1_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    held_out = F.coalesce(_remainder(7) == 2, F.lit(False))
+    return lm_scoring.scored(docs, *lm_scoring.fit(docs.filter(~held_out)))
+
+
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"), limit=2048)
 
@@ -49,5 +55,5 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_codec.round_trip(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
-QUERIES = {f.__name__: f for f in (op2_token_counts, op3_decontaminate, op4_sharding, op5_line_dedup, op7_jaccard_join, op8_quality_rules, op9_language_id, op10_byte_bpe)}
+QUERIES = {f.__name__: f for f in (op1_lm_scoring, op2_token_counts, op3_decontaminate, op4_sharding, op5_line_dedup, op7_jaccard_join, op8_quality_rules, op9_language_id, op10_byte_bpe)}
 SQL: dict[str, str] = {"op5_line_dedup": line_dedup.SQL}
