@@ -9,8 +9,8 @@ ASCII white space, A-Z lower-cased; fewer words make one shingle. Two documents
    others by hash. Sets that link share a shingle among the first ``size - ceil(t * size) + 1``.
 3. Classes with the same size and the same prefix form a group; groups are joined on the shingles of
    their prefixes, and pairs whose sizes or numbers of shared prefix shingles rule a link out are dropped.
-4. First each class is compared with one leader only, the class it shares most prefix shingles with
-   among the smallest holders of those. That links large groups of copies in a star, not in all pairs.
+4. First each group is compared with ``LEADERS`` others only, those it shares most prefix shingles with
+   among the first and last holders of those. That links large groups of copies in a star, not in all pairs.
 5. Then pairs between the components found so far are expanded to members and verified, all of them.
    Pairs inside a component could add no document to it.
 
@@ -35,9 +35,11 @@ from panelloom.llm.components import components
 
 BLOCK, REMEMBERED = 4_000_000, 400_000
 #: The frequent shingles that are kept apart: how many at most, and how often they are met at least.
-FREQUENT, OFTEN = 200_000, 16
+FREQUENT, OFTEN = 1_000_000, 4
 #: Most doc_ids of candidates that are broadcast to fetch their texts; more are joined by a shuffle.
 BROADCAST = 1_000_000
+#: Leaders that each group is compared with before components are compared.
+LEADERS = 3
 _WORDS: dict[bytes, int] = {}
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
@@ -72,34 +74,29 @@ def _texts(batches: Iterator[pa.RecordBatch]):
 
 
 def shingle_sets(docs: DataFrame, n: int) -> DataFrame:
-    """doc_id, n_shingles, and ``digest``, a hash of the set (16 bytes)."""
-
-    def run(batches):
-        for doc_id, texts in _texts(batches):
-            sets = [shingle_hashes(t, n) for t in texts]
-            digest = [xxhash.xxh3_128_digest(s.tobytes()) for s in sets]
-            yield pa.RecordBatch.from_arrays([doc_id.cast(pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array(digest, pa.binary())], ["doc_id", "n_shingles", "digest"])
-
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_shingles long, digest binary")
-
-
-def frequent_shingles(docs: DataFrame, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes met most often, sorted, and their ranks by count; equal sets in a task count once."""
+    """In one pass: rows with doc_id, n_shingles and ``digest``, a hash of the set (16 bytes), and
+    rows with ``h`` and ``times``, shingles met twice or more in a task; equal sets there count once."""
 
     def run(batches):
         held, rows, seen = [], 0, set()
 
         def flush():
             values, counts = np.unique(np.concatenate(held), return_counts=True)
-            often = counts >= 3
-            return pa.RecordBatch.from_arrays([pa.array(values[often].view(np.int64)), pa.array(counts[often].astype(np.int64))], ["h", "n"])
+            often = counts >= 2
+            k = int(often.sum())
+            return table(h=pa.array(values[often].view(np.int64)), times=pa.array(counts[often].astype(np.int64)), k=k)
 
-        for _, texts in _texts(batches):
-            for t in texts:
-                s = shingle_hashes(t, n)
-                mark = xxhash.xxh3_64_intdigest(s.tobytes())
-                if len(s) and mark not in seen:
-                    seen.add(mark)
+        def table(k, **columns):
+            kinds = {"doc_id": pa.int64(), "n_shingles": pa.int64(), "digest": pa.binary(), "h": pa.int64(), "times": pa.int64()}
+            return pa.RecordBatch.from_arrays([columns[c] if c in columns else pa.nulls(k, t) for c, t in kinds.items()], list(kinds))
+
+        for doc_id, texts in _texts(batches):
+            sets = [shingle_hashes(t, n) for t in texts]
+            digest = [xxhash.xxh3_128_digest(s.tobytes()) for s in sets]
+            yield table(doc_id=doc_id.cast(pa.int64()), n_shingles=pa.array([len(s) for s in sets], pa.int64()), digest=pa.array(digest, pa.binary()), k=len(sets))
+            for s, d in zip(sets, digest, strict=True):
+                if len(s) and d not in seen:
+                    seen.add(d)
                     held.append(s)
                     rows += len(s)
             if rows > 4_000_000:
@@ -108,17 +105,21 @@ def frequent_shingles(docs: DataFrame, n: int) -> tuple[np.ndarray, np.ndarray]:
         if held:
             yield flush()
 
-    counted = docs.select("doc_id", "text").mapInArrow(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).filter(F.col("n") >= OFTEN)
-    top = counted.orderBy(F.desc("n"), "h").limit(FREQUENT).toPandas()  # a bounded number of rows
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_shingles long, digest binary, h long, times long")
+
+
+def frequent_shingles(counted: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes met most often, sorted, and their ranks by count."""
+    top = counted.groupBy("h").agg(F.sum("times").alias("n")).filter(F.col("n") >= OFTEN).orderBy(F.desc("n"), "h").limit(FREQUENT).toPandas()  # a bounded number of rows
     h = top["h"].to_numpy(np.int64).view(np.uint64)
     order = np.argsort(h)
     rank = np.argsort(np.lexsort((h, top["n"].to_numpy(np.int64))))
-    return h[order], rank[order].astype(np.int64)
+    return h[order], rank[order].astype(np.int32)
 
 
-def _prefixes(docs: DataFrame, n: int, percent: int) -> DataFrame:
+def _prefixes(docs: DataFrame, n: int, percent: int, frequent: tuple) -> DataFrame:
     """For each class's document: rep, size, prefix (array of long, in the global order), ``group``, a hash of size and prefix."""
-    held = docs.sparkSession.sparkContext.broadcast(frequent_shingles(docs, n))
+    held = docs.sparkSession.sparkContext.broadcast(frequent)  # at most FREQUENT of twelve bytes
 
     def run(batches):
         frequent, rank = held.value
@@ -190,34 +191,39 @@ def _verified(pairs: DataFrame, docs: DataFrame, n: int, percent: int) -> DataFr
 
 def linked(docs: DataFrame, n: int = 4, percent: int = 85) -> DataFrame:
     """doc_id, n_shingles, class_id (the smallest doc_id with the same set) and component_id for each document."""
-    marked = durable(shingle_sets(docs, n))
+    read = durable(shingle_sets(docs, n))
+    marked = read.filter("digest IS NOT NULL").select("doc_id", "n_shingles", "digest")
     classes = durable(marked.filter((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull()).groupBy("digest").agg(F.min("doc_id").alias("rep")))
 
-    prefixes = durable(_prefixes(docs.filter(F.col("doc_id").isNotNull()), n, percent).join(classes.select("rep"), "rep", "left_semi").dropDuplicates(["rep"]))
+    prefixes = durable(_prefixes(docs.filter(F.col("doc_id").isNotNull()), n, percent, frequent_shingles(read.filter("h IS NOT NULL"))).join(classes.select("rep"), "rep", "left_semi").dropDuplicates(["rep"]))
     groups = prefixes.groupBy("group").agg(F.min("rep").alias("g"), F.first("size").alias("size"), F.first("prefix").alias("prefix"), F.count("*").alias("reps"))
     members = durable(prefixes.select("rep", "group").join(groups.select("group", "g", "size"), "group").select("g", "size", "rep"))
     # Dealt by shingle once; what follows by shingle needs no other exchange.
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     holders = groups.select("g", "size", (F.col("reps") > 1).alias("several"), F.posexplode("prefix").alias("place", "token")).repartition(parts, "token")
-    leaders = holders.groupBy("token").agg(F.min(F.struct("g", "size", "place")).alias("lead"), F.count("*").alias("n"), F.max("several").alias("several")).filter("n > 1 OR several")
-    held = durable(holders.join(leaders.select("token", "lead"), "token").select("token", "g", "size", "place", "lead"))
+    one = F.struct("g", "size")
+    leaders = holders.groupBy("token").agg(F.array_distinct(F.array(F.min(one), F.max(one))).alias("leads"), F.count("*").alias("n"), F.max("several").alias("several")).filter("n > 1 OR several")
+    held = durable(holders.join(leaders.select("token", "leads"), "token").select("token", "g", "size", "place", "leads"))
 
-    # A leader for each group: the one with which it shares most of the shingles it leads. Groups that share too few can't follow.
-    led = held.select("g", "size", F.col("lead.g").alias("b"), F.col("lead.size").alias("b_size")).filter("g <> b").groupBy("g", "b").agg(F.count("*").alias("n"), F.first("size").alias("size"), F.first("b_size").alias("b_size"))
+    # Leaders for each group: those with which it shares most of the shingles they lead. Groups that share too few can't follow.
+    led = held.select("g", "size", F.explode("leads").alias("lead")).select("g", "size", F.col("lead.g").alias("b"), F.col("lead.size").alias("b_size")).filter("g <> b")
+    led = led.groupBy("g", "b").agg(F.count("*").alias("n"), F.first("size").alias("size"), F.first("b_size").alias("b_size"))
     led = led.filter((F.least("size", "b_size") * 100 >= F.greatest("size", "b_size") * percent) & (2 * F.col("n") >= _met("size", "b_size", percent)))
-    best = led.groupBy("g").agg(F.max(F.struct("n", -F.col("b"))).alias("m")).select("g", (-F.col("m.col2")).alias("b"))
+    best = led.groupBy("g").agg(F.slice(F.sort_array(F.collect_list(F.struct("n", -F.col("b"))), asc=False), 1, LEADERS).alias("m")).select("g", F.explode("m").alias("m")).select("g", (-F.col("m.col2")).alias("b"))
     stars = members.join(best, "g").select(F.col("rep").alias("a"), "b").union(members.select(F.col("rep").alias("a"), F.col("g").alias("b"))).filter("a <> b").distinct()
     first = _verified(stars, docs, n, percent)
     found = components(first)
 
     label = durable(members.join(found, F.col("rep") == F.col("node"), "left").select("rep", "g", "size", F.coalesce("component", "rep").alias("component")))
-    spread = durable(held.drop("lead").join(label.select("g", "component").distinct(), "g"))
+    spread = durable(held.drop("leads").join(label.select("g", "component").distinct(), "g"))
     kinds = spread.select("token", "component").distinct()
     x, y = (kinds.select("token", F.col("component").alias(c)) for c in ("cx", "cy"))
     crossed = x.join(y, "token").filter("cx < cy")
-    left, right = (spread.select("token", F.col("component").alias(f"c{k}"), F.col("g").alias(f"g{k}"), F.col("size").alias(f"s{k}")) for k in "xy")
+    left, right = (spread.select("token", F.col("component").alias(f"c{k}"), F.col("g").alias(f"g{k}"), F.col("size").alias(f"s{k}"), F.col("place").alias(f"p{k}")) for k in "xy")
     met = crossed.join(left, ["token", "cx"]).join(right, ["token", "cy"]).filter(F.least("sx", "sy") * 100 >= F.greatest("sx", "sy") * percent)
-    pairs = met.groupBy("gx", "gy", "cx", "cy").agg(F.count("*").alias("n"), F.first("sx").alias("sx"), F.first("sy").alias("sy")).filter(F.col("n") >= _met("sx", "sy", percent))
+    # Sets that link share a shingle among the first size - needed + 1 of both; pairs are counted only from there on.
+    early = F.max((F.col("px") <= F.col("sx") - _needed("sx", "sy", percent)) & (F.col("py") <= F.col("sy") - _needed("sx", "sy", percent)))
+    pairs = met.groupBy("gx", "gy", "cx", "cy").agg(F.count("*").alias("n"), F.first("sx").alias("sx"), F.first("sy").alias("sy"), early.alias("early")).filter(F.col("early") & (F.col("n") >= _met("sx", "sy", percent)))
     a, b = (label.select(F.col("g").alias(f"g{k}"), F.col("component").alias(f"c{k}"), F.col("rep").alias(r)) for k, r in (("x", "a"), ("y", "b")))
     more = _verified(pairs.join(a, ["gx", "cx"]).join(b, ["gy", "cy"]).select("a", "b").distinct(), docs, n, percent)
     final = components(first.union(more))
