@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelloom.llm import bpe_codec, decontaminate, jaccard_join, language_id, line_dedup, lm_scoring, quality_rules, sharding, token_counts
+from panelloom.llm import bpe_codec, decontaminate, jaccard_join, language_id, line_dedup, lm_scoring, quality_rules, sharding, suffix_dedup, token_counts
 from panelloom.llm.common import documents
 
 
@@ -36,6 +36,10 @@ def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.dedup_report(documents(spark, sf_dir))
 
 
+def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.removed(documents(spark, sf_dir))
+
+
 def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.linked(documents(spark, sf_dir), n=4, percent=85)
 
@@ -55,5 +59,5 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_codec.round_trip(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
-QUERIES = {f.__name__: f for f in (op1_lm_scoring, op2_token_counts, op3_decontaminate, op4_sharding, op5_line_dedup, op7_jaccard_join, op8_quality_rules, op9_language_id, op10_byte_bpe)}
+QUERIES = {f.__name__: f for f in (op1_lm_scoring, op2_token_counts, op3_decontaminate, op4_sharding, op5_line_dedup, op6_suffix_dedup, op7_jaccard_join, op8_quality_rules, op9_language_id, op10_byte_bpe)}
 SQL: dict[str, str] = {"op5_line_dedup": line_dedup.SQL}
