@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -20,7 +21,11 @@ def durable(df: DataFrame) -> DataFrame:
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-"))
-    return df.checkpoint(eager=True)
+    kept = df.checkpoint(eager=True)
+    # The driver drops shuffle files when it collects the plans that made them; without this they'd stay for a long query's whole run.
+    gc.collect()
+    context._jvm.System.gc()
+    return kept
 
 
 def slices(sizes, limit: int):

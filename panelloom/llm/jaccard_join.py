@@ -201,12 +201,13 @@ def linked(docs: DataFrame, n: int = 4, percent: int = 85) -> DataFrame:
     # Dealt by shingle once; what follows by shingle needs no other exchange.
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     holders = groups.select("g", "size", (F.col("reps") > 1).alias("several"), F.posexplode("prefix").alias("place", "token")).repartition(parts, "token")
+    shared = holders.groupBy("token").agg(F.count("*").alias("n"), F.max("several").alias("several")).filter("n > 1 OR several").select("token")
+    held = durable(holders.join(shared, "token").select("token", "g", "size", "place"))
     one = F.struct("g", "size")
-    leaders = holders.groupBy("token").agg(F.array_distinct(F.array(F.min(one), F.max(one))).alias("leads"), F.count("*").alias("n"), F.max("several").alias("several")).filter("n > 1 OR several")
-    held = durable(holders.join(leaders.select("token", "leads"), "token").select("token", "g", "size", "place", "leads"))
+    leaders = held.groupBy("token").agg(F.array_distinct(F.array(F.min(one), F.max(one))).alias("leads"))
 
     # Leaders for each group: those with which it shares most of the shingles they lead. Groups that share too few can't follow.
-    led = held.select("g", "size", F.explode("leads").alias("lead")).select("g", "size", F.col("lead.g").alias("b"), F.col("lead.size").alias("b_size")).filter("g <> b")
+    led = held.join(leaders, "token").select("g", "size", F.explode("leads").alias("lead")).select("g", "size", F.col("lead.g").alias("b"), F.col("lead.size").alias("b_size")).filter("g <> b")
     led = led.groupBy("g", "b").agg(F.count("*").alias("n"), F.first("size").alias("size"), F.first("b_size").alias("b_size"))
     led = led.filter((F.least("size", "b_size") * 100 >= F.greatest("size", "b_size") * percent) & (2 * F.col("n") >= _met("size", "b_size", percent)))
     best = led.groupBy("g").agg(F.slice(F.sort_array(F.collect_list(F.struct("n", -F.col("b"))), asc=False), 1, LEADERS).alias("m")).select("g", F.explode("m").alias("m")).select("g", (-F.col("m.col2")).alias("b"))
@@ -215,7 +216,7 @@ def linked(docs: DataFrame, n: int = 4, percent: int = 85) -> DataFrame:
     found = components(first)
 
     label = durable(members.join(found, F.col("rep") == F.col("node"), "left").select("rep", "g", "size", F.coalesce("component", "rep").alias("component")))
-    spread = durable(held.drop("leads").join(label.select("g", "component").distinct(), "g"))
+    spread = durable(held.join(label.select("g", "component").distinct(), "g"))
     kinds = spread.select("token", "component").distinct()
     x, y = (kinds.select("token", F.col("component").alias(c)) for c in ("cx", "cy"))
     crossed = x.join(y, "token").filter("cx < cy")
