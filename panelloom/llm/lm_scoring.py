@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from panelloom.llm.common import durable, slices
 
 #: Classes of the softmax, width of vectors, tokens whose counts go to every task, bytes of text at once.
-CLASSES, WIDTH, FREQUENT, BLOCK = 512, 16, 300_000, 2_000_000
+CLASSES, WIDTH, FREQUENT, BLOCK = 512, 16, 100_000, 2_000_000
 BATCH, NOISE, SPARSE, RATE, ROUNDS = 4096, 16, 16, 0.1, 2
 END = b"\n"
 SCHEMA = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
@@ -204,11 +204,11 @@ def fit(docs: DataFrame, rounds: int = ROUNDS) -> tuple[Vocabulary, Model, DataF
     """Counts over all of ``docs``, the model, and the table of counts."""
     counts = durable(token_counts(docs))
     total, distinct = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    top = counts.orderBy(F.desc("n"), "token").limit(FREQUENT).collect()  # a bounded number of rows
-    number = {bytes(r.token): i for i, r in enumerate(top)}
-    vocabulary = Vocabulary(number, np.array([r.n for r in top], np.int64), int(total), int(distinct), min(CLASSES, len(top)))
+    top = counts.orderBy(F.desc("n"), "token").limit(FREQUENT).toArrow()  # a bounded number of rows
+    number = {token: i for i, token in enumerate(top.column("token").to_pylist())}
+    vocabulary = Vocabulary(number, top.column("n").to_numpy(), int(total), int(distinct), min(CLASSES, len(number)))
     model = Model.start(vocabulary)
-    if not top:
+    if not number:
         return vocabulary, model, counts
     context = docs.sparkSession.sparkContext
     words = context.broadcast(vocabulary)
@@ -231,6 +231,8 @@ def fit(docs: DataFrame, rounds: int = ROUNDS) -> tuple[Vocabulary, Model, DataF
         mean = found.groupBy("i").agg((F.sum(F.col("n") * F.col("x")) / F.sum("n")).alias("x")).orderBy("i").collect()  # a row for each parameter
         if mean:
             model = Model.of(np.array([r.x for r in mean]), vocabulary.classes)
+        held.unpersist()
+    words.unpersist()
     return vocabulary, model, counts
 
 
