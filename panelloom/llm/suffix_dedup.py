@@ -39,8 +39,8 @@ from panelloom.llm.common import durable
 LENGTH, ANCHOR = 200, 72
 #: Largest stretch of a text handled at once, and about how many suffixes a range gets.
 SLICE, RANGE = 1 << 20, 60_000
-#: Rows up to which a checked side is broadcast; beyond, the joins shuffle.
-BROADCAST = 2_000_000
+#: Hashes of texts (8 bytes each) up to which they are broadcast; beyond, the joins shuffle.
+BROADCAST = 500_000
 SAMPLE = 20_000
 _WINDOW = LENGTH - ANCHOR + 1
 _BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -255,6 +255,12 @@ def _keyed(docs: DataFrame) -> DataFrame:
     return docs.select(F.xxhash64("text").alias("mark"), F.col("text"))
 
 
+def _some(texts: DataFrame, marked: DataFrame, n: int, how: str = "left_semi") -> DataFrame:
+    """The texts whose marks are in a table of n rows, or the others: only those then move."""
+    marks = marked.select("mark")
+    return texts.join(F.broadcast(marks) if n <= BROADCAST else marks, "mark", how)
+
+
 def repeated_anchors(docs: DataFrame) -> DataFrame:
     """mark (hash of a text) and ``hashes`` of its anchors that are met again."""
 
@@ -335,11 +341,10 @@ def repeats(docs: DataFrame) -> DataFrame:
         marks, starts, ends = zip(*rows, strict=True) if rows else ((), (), ())
         return pa.table({"mark": pa.array(marks, pa.int64()), "start": pa.array(starts, pa.int64()), "end": pa.array(ends, pa.int64())})
 
-    few = n_hashes <= BROADCAST
-    chosen = _keyed(docs).join(F.broadcast(wanted) if few else wanted, "mark")
+    chosen = _some(_keyed(docs), wanted, n_texts).join(wanted, "mark")
     runs = chosen.select("mark", "text", "hashes").mapInArrow(sort, RUN_SCHEMA)
     found = runs.groupBy("part").applyInArrow(merge, "mark long, start long, end long")
-    return durable(found.groupBy("mark").agg(F.collect_set(F.struct("start", "end")).alias("spans")))
+    return durable(found.distinct().groupBy("mark").agg(F.collect_set(F.struct("start", "end")).alias("spans")))
 
 
 def removed(docs: DataFrame) -> DataFrame:
@@ -366,9 +371,11 @@ def removed(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), batch.column(1), *(pa.array(c, t) for c, t in zip(columns, kinds, strict=True))], ["doc_id", "digest", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
     found = repeats(docs)
-    few = found.count() <= BROADCAST // 4
-    held = docs.select("doc_id", F.md5("text").alias("digest"), "text", F.xxhash64("text").alias("mark")).join(F.broadcast(found) if few else found, "mark", "left")
-    each = held.select("doc_id", "digest", "text", "spans").mapInArrow(run, "doc_id long, digest string, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    n_texts = found.count()
+    held = docs.select("doc_id", F.md5("text").alias("digest"), "text", F.xxhash64("text").alias("mark"))
+    cut = _some(held, found, n_texts).join(found, "mark").select("doc_id", "digest", "text", "spans")
+    rest = _some(held, found, n_texts, "left_anti").select("doc_id", "digest", "text", F.lit(None).cast("array<struct<start:bigint,end:bigint>>").alias("spans"))
+    each = cut.unionByName(rest).mapInArrow(run, "doc_id long, digest string, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
     # copies of whole texts, counted by digest; the texts themselves don't move
     copies = docs.filter(F.octet_length("text") >= LENGTH).groupBy(F.md5("text").alias("copied")).agg(F.count("*").alias("n")).filter("n > 1")
     whole = F.col("n").isNotNull()
