@@ -5,7 +5,7 @@ from __future__ import annotations
 import importlib
 
 #: Modules of ``panelloom.plans``; each holds QUERIES {name: function} and SQL {name: text}.
-MODULES: tuple[str, ...] = ("features", "evaluation", "tables")
+MODULES: tuple[str, ...] = ("features", "evaluation", "tables", "models")
 
 
 def _gathered(attribute: str) -> dict:
