@@ -27,7 +27,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelloom.llm.common import durable, slices
@@ -201,8 +201,9 @@ def linked(docs: DataFrame, n: int = 4, percent: int = 85) -> DataFrame:
     # Dealt by shingle once; what follows by shingle needs no other exchange.
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     holders = groups.select("g", "size", (F.col("reps") > 1).alias("several"), F.posexplode("prefix").alias("place", "token")).repartition(parts, "token")
-    shared = holders.groupBy("token").agg(F.count("*").alias("n"), F.max("several").alias("several")).filter("n > 1 OR several").select("token")
-    held = durable(holders.join(shared, "token").select("token", "g", "size", "place"))
+    same = Window.partitionBy("token")  # over the one exchange; rows of a frequent shingle spill
+    met = holders.withColumn("n", F.count("*").over(same)).withColumn("any", F.max("several").over(same))
+    held = durable(met.filter("n > 1 OR any").select("token", "g", "size", "place"))
     one = F.struct("g", "size")
     leaders = held.groupBy("token").agg(F.array_distinct(F.array(F.min(one), F.max(one))).alias("leads"))
 
