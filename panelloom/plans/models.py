@@ -391,7 +391,7 @@ def component_summary(spark, sf_dir):
     return a.unionByName(b, allowMissingColumns=True).unionByName(c, allowMissingColumns=True)
 
 
-@plan(PREDS + f" SELECT model, {_SCORE} FROM {_LB} GROUP BY model ORDER BY RMSE, model LIMIT 1")
+@plan(PREDS + f", s AS (SELECT model, {_SCORE} FROM {_LB} GROUP BY model), r AS (SELECT *, row_number() OVER (ORDER BY RMSE, model) AS k FROM s) SELECT model, MAE, RMSE FROM r WHERE k = 1")
 def topk_winner(spark, sf_dir):
     return _models(spark, sf_dir).groupBy("model").agg(*_score()).orderBy("RMSE", "model").limit(1)
 
