@@ -6,6 +6,9 @@ moves at most the borders beside it. Chunks of two or more lines, not all blank,
 documents by hash; those met again are compared byte by byte with the first, and all but the first,
 by doc_id and place, go. A chunk that only shares the hash stays.
 
+A passage is met only if a whole chunk lies inside it, which short passages mostly don't have.
+``without_passages`` misses none: it takes the window from each full line to the next in place of chunks.
+
 A null text stays null; an empty one is a single empty line and stays. Rows with the same doc_id
 count as one document: they keep the first occurrence in each. All by DataFrame functions. Repeated hashes are
 broadcast up to ``BROADCAST`` of them; beyond that the join shuffles.
@@ -95,7 +98,61 @@ def dedup_report(docs: DataFrame, mean_lines: int = 4) -> DataFrame:
     return found.select("doc_id", "line_dedup.*", F.md5("text").alias("kept_md5"))
 
 
-#: The same for DuckDB, with mean_lines 4.
+def passages(docs: DataFrame) -> DataFrame:
+    """doc_id, mark (a digest of the text), and i, j, hash of each window: a line that isn't blank to the next that isn't."""
+    cut = docs.filter(F.col("text").contains("\n")).select("doc_id", F.unhex(F.md5("text")).alias("mark"), F.split("text", "\n", -1).alias("lines"))
+    full = F.filter(F.transform("lines", lambda x, i: F.when(x.rlike(r"\S"), i)), lambda i: i.isNotNull())
+    cut = cut.withColumn("full", full).filter(F.size("full") > 1)
+
+    def window(i, k):
+        j = F.get("full", k + 1)
+        # ``lines`` is named twice, as in _text_of; 256 bits stand for the window's bytes
+        text = F.array_join(F.slice("lines", F.least(i, F.size("lines")) + 1, j - i + 1), "\n")
+        return F.struct(i.alias("i"), j.alias("j"), F.unhex(F.sha2(text, 256)).alias("hash"))
+
+    built = F.transform(F.slice("full", 1, F.size("full") - 1), window)
+    return cut.select("doc_id", "mark", F.explode(built).alias("w")).select("doc_id", "mark", "w.i", "w.j", "w.hash")
+
+
+def repeated_lines(docs: DataFrame) -> DataFrame:
+    """doc_id, mark and ``gone``, the sorted numbers of its lines in windows that occur earlier; only documents with any."""
+    windows = passages(docs)
+    place = F.struct("doc_id", "mark", "i", "j")
+    repeated = windows.groupBy("hash").agg(F.min(place).alias("first"), F.max(place).alias("last")).filter(~F.col("first").eqNullSafe(F.col("last"))).select("hash", "first")
+    repeated = durable(repeated)
+    met = windows.join(F.broadcast(repeated) if repeated.count() <= BROADCAST else repeated, "hash")
+    inside = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("mark") == F.col("first.mark")) & (F.col("i") <= F.col("first.j"))  # the first, or one that overlaps it
+    again = met.filter(~inside).select("doc_id", "mark", F.explode(F.sequence("i", "j")).alias("line"))
+    return again.groupBy("doc_id", "mark").agg(F.sort_array(F.collect_set("line")).alias("gone"))
+
+
+def without_passages(docs: DataFrame) -> DataFrame:
+    """``docs`` without any line of a passage that occurs earlier, by doc_id and place, and with ``line_dedup``: a struct of n_lines, removed_lines.
+
+    A passage is a run of equal lines of which two at least aren't blank, wherever it begins and
+    whatever surrounds it; every such run is made of windows from one full line to the next, so none is
+    missed. A line goes if such a window about it occurs earlier without overlap; so the first occurrence
+    of each line's text always stays. Rows with the same doc_id and text each keep their first occurrences.
+    """
+    gone = repeated_lines(docs).select(F.col("doc_id").alias("gone_id"), F.col("mark").alias("gone_mark"), "gone")
+    held = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id").alias("key"), F.unhex(F.md5("text")).alias("mark"))
+    held = held.join(gone, F.col("key").eqNullSafe(F.col("gone_id")) & (F.col("mark") == F.col("gone_mark")), "left")
+    cut = held.withColumn("lines", F.split("row.text", "\n", -1))
+    kept = F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), "gone")
+    text = F.when(F.col("gone").isNull(), F.col("row.text")).otherwise(F.array_join(F.transform(kept, lambda i: F.get("lines", i)), "\n"))
+    report = F.struct(
+        F.coalesce(F.when(F.col("lines").isNotNull(), F.size("lines")), F.lit(0)).cast("long").alias("n_lines"),
+        F.coalesce(F.when(F.col("gone").isNotNull(), F.size("gone")), F.lit(0)).cast("long").alias("removed_lines"),
+    )
+    return cut.select("row", text.alias("new_text"), report.alias("line_dedup")).select(*[F.col("new_text").alias("text") if c == "text" else F.col(f"row.`{c}`") for c in docs.columns], "line_dedup")
+
+
+def passage_report(docs: DataFrame) -> DataFrame:
+    """doc_id, n_lines, removed_lines, kept_md5 (of the remaining text) for each document."""
+    return without_passages(docs.select("doc_id", "text")).select("doc_id", "line_dedup.*", F.md5("text").alias("kept_md5"))
+
+
+#: ``dedup_report`` for DuckDB, with mean_lines 4.
 SQL = r"""
 WITH lines AS (
   SELECT doc_id, unnest(str_split(text, chr(10))) AS line, generate_subscripts(str_split(text, chr(10)), 1) AS i,

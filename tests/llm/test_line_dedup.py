@@ -51,3 +51,50 @@ def test_other_columns_pass_and_may_clash(spark):
 def test_rows_with_one_doc_id_are_one_document(spark, doc_id):
     docs = spark.createDataFrame([(doc_id, "p\nq\nr\ns")] * 2, "doc_id long, text string")
     assert {r.text for r in line_dedup.deduplicated(docs).collect()} == {"p\nq\nr\ns"}
+
+
+def brute(rows):
+    """Line by line: windows between neighbouring full lines, in order of doc_id and place."""
+    first, kept = {}, {}
+    for doc_id, text in sorted(rows, key=lambda r: r[0]):
+        lines = (text or "").split("\n")
+        full = [i for i, x in enumerate(lines) if x.strip()]
+        gone = set()
+        for i, j in zip(full, full[1:]):
+            at, end = first.setdefault("\n".join(lines[i : j + 1]), ((doc_id, i), j))
+            if at[0] != doc_id or i > end:
+                gone |= set(range(i, j + 1))
+        kept[doc_id] = text and "\n".join(x for i, x in enumerate(lines) if i not in gone)
+    return kept
+
+
+def test_no_passage_is_missed(spark):
+    """Passages of 2 to 10 lines in foreign surroundings, each in three documents: all but the first go whole."""
+    rows = []
+    for n in range(2, 11):
+        for p in range(12):
+            passage = [f"passage {n} {p} line {i} with some words" for i in range(n)]
+            for copy in range(3):
+                own = lambda side: [f"own {n} {p} {copy} {side} {i}" for i in range((p + copy) % 4)]
+                rows.append((len(rows), "\n".join([*own("a"), *passage, *own("b")])))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    kept = {r.doc_id: r.text for r in line_dedup.without_passages(docs).collect()}
+    assert kept == brute(rows)
+    left = [sum("passage" in x for x in kept[d].split("\n")) for d, _ in rows]
+    assert all(n == (text.count("passage") if d % 3 == 0 else 0) for n, (d, text) in zip(left, rows, strict=True))
+
+
+def test_passages_against_brute_force(spark):
+    rows = [r for r in table() if r[0] != 907] + [(907, "z\n" * 300), (908, "a\n\nb\nc"), (909, "x\na\n\nb"), (910, "a\nb")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    assert {r.doc_id: r.text for r in line_dedup.without_passages(docs).collect()} == brute(rows)
+    assert line_dedup.passage_report(docs.limit(0)).count() == 0
+
+
+def test_pipeline_stage_takes_passages(spark):
+    import corpus_pipeline
+
+    rows = [(1, "own 1\np\nq\nown 2", 15), (2, "r\np\nq\ns", 7), (3, "p\nq", 3), (4, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, n_chars long")
+    got = sorted(map(tuple, corpus_pipeline.remove_repeated_lines(spark, docs, "").collect()))
+    assert got == [(1, "own 1\np\nq\nown 2", 15), (2, "r\ns", 3), (4, None, None)]
