@@ -106,11 +106,26 @@ def fit_logistic(spark, sf_dir):
     return _probability(LogisticRegression(labelCol="active", weightCol="weight", maxIter=30).fit(_balanced(train)), test)
 
 
+#: Where training ends, as in the other backtests.
+_END = "(SELECT CAST(floor(0.8 * (max(t_idx) + 1)) AS INT) FROM panel)"
+
+
+def _only_class(panel, end):
+    flag = (F.col("notspec") > 0).cast("int")
+    return panel.filter(F.col("t_idx") < end).groupBy("region").agg(F.min(flag).alias("only_class"), (F.countDistinct(flag) < 2).alias("constant"))
+
+
 @plan(PANEL + " SELECT region, min((notspec > 0)::INT)::INT AS only_class, count(DISTINCT notspec > 0) < 2 AS constant FROM panel WHERE t_idx < 60 GROUP BY region")
 def fit_single_class_fallback(spark, sf_dir):
-    """Keys whose training rows show one class get that class as a constant prediction."""
-    flag = (F.col("notspec") > 0).cast("int")
-    return orders_panel(spark, sf_dir).filter("t_idx < 60").groupBy("region").agg(F.min(flag).alias("only_class"), (F.countDistinct(flag) < 2).alias("constant"))
+    """Keys whose training rows show one class get that class as a constant prediction; the first 60 steps only."""
+    return _only_class(orders_panel(spark, sf_dir), 60)
+
+
+@plan(PANEL + " SELECT region, min((notspec > 0)::INT)::INT AS only_class, count(DISTINCT notspec > 0) < 2 AS constant FROM panel WHERE t_idx < " + _END + " GROUP BY region")
+def fit_single_class_fallback_whole(spark, sf_dir):
+    """The same over all training steps."""
+    panel = orders_panel(spark, sf_dir)
+    return _only_class(panel, int(0.8 * bt.length(panel)))
 
 
 @plan()
@@ -186,14 +201,27 @@ def sample_hardness_bins(spark, sf_dir):
 _W = "OVER (PARTITION BY region ORDER BY t_idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
 
 
-@plan(PANEL + f", l AS (SELECT region, t_idx, y, lag(y) OVER (PARTITION BY region ORDER BY t_idx) AS x FROM panel), f AS (SELECT region, t_idx, y, x, regr_slope(y, x) {_W} AS b, regr_intercept(y, x) {_W} AS a FROM l) SELECT region, t_idx, y, round(a + b * x, 4) + 0.0 AS y_pred FROM f WHERE t_idx >= 1900")
-def fit_ar1_expanding(spark, sf_dir):
-    """Each step's forecast from a regression of the value on the one before over everything earlier."""
+_AR1 = f", l AS (SELECT region, t_idx, y, lag(y) OVER (PARTITION BY region ORDER BY t_idx) AS x FROM panel), f AS (SELECT region, t_idx, y, x, regr_slope(y, x) {_W} AS b, regr_intercept(y, x) {_W} AS a FROM l) SELECT region, t_idx, y, round(a + b * x, 4) + 0.0 AS y_pred FROM f"
+
+
+def _ar1(panel):
     w = Window.partitionBy("region").orderBy("t_idx")
     past = w.rowsBetween(Window.unboundedPreceding, -1)
-    held = orders_panel(spark, sf_dir).select("region", "t_idx", "y", F.lag("y").over(w).alias("x"))
+    held = panel.select("region", "t_idx", "y", F.lag("y").over(w).alias("x"))
     fits = held.select("region", "t_idx", "y", "x", F.regr_slope("y", "x").over(past).alias("b"), F.regr_intercept("y", "x").over(past).alias("a"))
-    return fits.filter("t_idx >= 1900").select("region", "t_idx", "y", R(F.col("a") + F.col("b") * F.col("x"), 4).alias("y_pred"))
+    return fits.select("region", "t_idx", "y", R(F.col("a") + F.col("b") * F.col("x"), 4).alias("y_pred"))
+
+
+@plan(PANEL + f", l AS (SELECT region, t_idx, y, lag(y) OVER (PARTITION BY region ORDER BY t_idx) AS x FROM panel), f AS (SELECT region, t_idx, y, x, regr_slope(y, x) {_W} AS b, regr_intercept(y, x) {_W} AS a FROM l) SELECT region, t_idx, y, round(a + b * x, 4) + 0.0 AS y_pred FROM f WHERE t_idx >= 1900")
+def fit_ar1_expanding(spark, sf_dir):
+    """Each step's forecast from a regression of the value on the one before over everything earlier; from step 1,900 on."""
+    return _ar1(orders_panel(spark, sf_dir)).filter("t_idx >= 1900")
+
+
+@plan(PANEL + _AR1)
+def fit_ar1_expanding_whole(spark, sf_dir):
+    """The same for every step; null until the values before it can be fitted."""
+    return _ar1(orders_panel(spark, sf_dir))
 
 
 def _linear(spark, sf_dir, keys, share=0.8):
@@ -225,12 +253,21 @@ def bt_test_segment(spark, sf_dir):
     return _linear(spark, sf_dir, ["all"], share=0.9)
 
 
+def _quantiles(preds):
+    v = F.col("y_pred") + F.col("i") % 5
+    return preds.withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(8)))).groupBy("region", "fold", "horizon").agg(F.median(v).alias("y_med"), F.percentile(v, 0.9).alias("y_q90"))
+
+
 @plan(PREDS + ", s AS (SELECT region, fold, horizon, y_pred + (i % 5) AS v FROM preds, (SELECT unnest(range(0, 9)) AS i) WHERE fold < 50) SELECT region, fold, horizon, median(v) AS y_med, quantile_cont(v, 0.9) AS y_q90 FROM s GROUP BY region, fold, horizon")
 def fcst_sample_quantiles(spark, sf_dir):
-    """Sampled forecasts reduced to their median and a quantile."""
-    p = _preds(spark, sf_dir).filter("fold < 50").withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(8))))
-    v = F.col("y_pred") + F.col("i") % 5
-    return p.groupBy("region", "fold", "horizon").agg(F.median(v).alias("y_med"), F.percentile(v, 0.9).alias("y_q90"))
+    """Sampled forecasts reduced to their median and a quantile; the first 50 folds only."""
+    return _quantiles(_preds(spark, sf_dir).filter("fold < 50"))
+
+
+@plan(PREDS + ", s AS (SELECT region, fold, horizon, y_pred + (i % 5) AS v FROM preds, (SELECT unnest(range(0, 9)) AS i)) SELECT region, fold, horizon, median(v) AS y_med, quantile_cont(v, 0.9) AS y_q90 FROM s GROUP BY region, fold, horizon")
+def fcst_sample_quantiles_whole(spark, sf_dir):
+    """The same for every fold."""
+    return _quantiles(_preds(spark, sf_dir))
 
 
 # --- calibration ---------------------------------------------------------------------------------
@@ -321,11 +358,22 @@ def hurdle_backtest(spark, sf_dir):
     return both.select("region", "t_idx", F.col("label").alias("y_true"), "y_prob", F.col("y_pred").alias("y_count"), (F.col("y_prob") * F.col("y_pred")).alias("y_pred"))
 
 
+def _positive_mean(panel, end):
+    positive = F.when(F.col("urgent") > 0, F.col("urgent"))
+    return panel.filter(F.col("t_idx") < end).groupBy("region").agg(F.count(positive).alias("n_positive"), F.when(F.count(positive) < 50, F.round(F.coalesce(F.avg(positive), F.lit(1.0)), 6)).alias("constant"))
+
+
 @plan(PANEL + " SELECT region, count(*) FILTER (WHERE urgent > 0)::BIGINT AS n_positive, CASE WHEN count(*) FILTER (WHERE urgent > 0) < 50 THEN round(coalesce(avg(urgent) FILTER (WHERE urgent > 0), 1.0), 6) END AS constant FROM panel WHERE t_idx < 600 GROUP BY region")
 def fit_positive_mean_fallback(spark, sf_dir):
-    """Under 50 positive days the mean of those stands for the count model, 1 if there are none."""
-    positive = F.when(F.col("urgent") > 0, F.col("urgent"))
-    return orders_panel(spark, sf_dir).filter("t_idx < 600").groupBy("region").agg(F.count(positive).alias("n_positive"), F.when(F.count(positive) < 50, F.round(F.coalesce(F.avg(positive), F.lit(1.0)), 6)).alias("constant"))
+    """Under 50 positive days the mean of those stands for the count model, 1 if there are none; the first 600 steps only."""
+    return _positive_mean(orders_panel(spark, sf_dir), 600)
+
+
+@plan(PANEL + " SELECT region, count(*) FILTER (WHERE urgent > 0)::BIGINT AS n_positive, CASE WHEN count(*) FILTER (WHERE urgent > 0) < 50 THEN round(coalesce(avg(urgent) FILTER (WHERE urgent > 0), 1.0), 6) END AS constant FROM panel WHERE t_idx < " + _END + " GROUP BY region")
+def fit_positive_mean_fallback_whole(spark, sf_dir):
+    """The same over all training steps."""
+    panel = orders_panel(spark, sf_dir)
+    return _positive_mean(panel, int(0.8 * bt.length(panel)))
 
 
 @plan()
