@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 FEATURES = ("lag_1", "lag_7", "mean_28")
+HORIZONS = (1, 2, 3, 4, 5, 6, 7)
 
 
 def tabular(panel: DataFrame) -> DataFrame:
@@ -22,11 +23,12 @@ def tabular(panel: DataFrame) -> DataFrame:
     ).filter("t_idx >= 28")
 
 
-def linear_backtest(panel: DataFrame, keys: list[str], start: int, horizons: tuple[int, ...] = (1, 7), retrain: int = 28, ridge: float = 1e-6) -> DataFrame:
+def linear_backtest(panel: DataFrame, keys: list[str], start: int, horizons: tuple[int, ...] = HORIZONS, retrain: int = 28, ridge: float | list[float] = 1e-6) -> DataFrame:
     """(region, t0, horizon, y_true, y_pred) of least squares refitted every ``retrain`` steps on all earlier rows.
 
     A fit needs only sums of products. They are grouped by key, horizon and the refit from which on a
-    row is known, then summed up over refits: all folds, keys and horizons in two shuffles.
+    row is known, then summed up over refits: all folds, keys and horizons in two shuffles. A list of
+    ridges is solved from the same sums; the column ``ridge`` tells them apart.
     """
     w = Window.partitionBy("region").orderBy("t_idx")
     names = ("one", *FEATURES)
@@ -43,20 +45,88 @@ def linear_backtest(panel: DataFrame, keys: list[str], start: int, horizons: tup
     running = parts.select(*keys, "horizon", "fit", F.array(*[F.sum(c).over(up) for c in columns]).alias("sums"))
 
     @F.pandas_udf("array<double>")
-    def solve(sums: pd.Series) -> pd.Series:
-        def one(s):
+    def solve(sums: pd.Series, ridges: pd.Series) -> pd.Series:
+        def one(s, ridge):
             xx = np.zeros((len(names), len(names)))
             for v, (a, b) in zip(s, pairs, strict=False):
                 i, j = names.index(a), names.index(b)
                 xx[i, j] = xx[j, i] = v
             return np.linalg.solve(xx + ridge * np.eye(len(names)), np.asarray(s[len(pairs) :])).tolist()
 
-        return sums.map(one)
+        return pd.Series([one(s, r) for s, r in zip(sums, ridges, strict=True)])
 
-    fits = running.withColumn("beta", solve("sums")).select(*keys, "horizon", "fit", "beta")
+    several = isinstance(ridge, list)
+    held = running.withColumn("ridge", F.explode(F.array(*map(F.lit, ridge))) if several else F.lit(ridge))
+    fits = held.withColumn("beta", solve("sums", "ridge")).select(*keys, "horizon", "fit", "ridge", "beta")
     asked = rows.filter(F.col("t_idx") >= start).withColumn("fit", F.floor((F.col("t_idx") - start) / retrain).cast("int"))
     value = sum((F.col(n) * F.col("beta")[i] for i, n in enumerate(names)), F.lit(0.0))
-    return asked.join(fits, [*keys, "horizon", "fit"]).select("region", F.col("t_idx").alias("t0"), "horizon", F.col("y").alias("y_true"), value.alias("y_pred"))
+    return asked.join(fits, [*keys, "horizon", "fit"]).select("region", F.col("t_idx").alias("t0"), "horizon", F.col("y").alias("y_true"), value.alias("y_pred"), *["ridge"] * several)
+
+
+def autoregression(panel: DataFrame, order: int = 7, ridge: float = 1e-6) -> DataFrame:
+    """(region, t_idx, y, y_pred): each step's forecast from its ``order`` last values, refitted at each step on all earlier ones by running sums.
+
+    Null until there are more earlier rows than coefficients.
+    """
+    w = Window.partitionBy("region").orderBy("t_idx")
+    names = ("one", *(f"x{i}" for i in range(1, order + 1)))
+    held = panel.select("region", "t_idx", F.col("y").cast("double").alias("y"), F.lit(1.0).alias("one"), *[F.lag("y", i).over(w).cast("double").alias(f"x{i}") for i in range(1, order + 1)]).filter(f"x{order} IS NOT NULL")
+    pairs = list(combinations_with_replacement(range(len(names)), 2))
+    past = w.rowsBetween(Window.unboundedPreceding, -1)
+    sums = [F.sum(F.col(names[a]) * F.col(names[b])).over(past) for a, b in pairs] + [F.sum(F.col(n) * F.col("y")).over(past) for n in names]
+    rows = held.select("region", "t_idx", "y", F.array(*names).alias("x"), F.array(*sums).alias("sums"))
+
+    @F.pandas_udf("double")
+    def forecast(x: pd.Series, sums: pd.Series) -> pd.Series:
+        def one(v, s):
+            if s[0] is None or not s[0] > len(names):
+                return None
+            xx = np.zeros((len(names), len(names)))
+            for value, (i, j) in zip(s, pairs, strict=False):
+                xx[i, j] = xx[j, i] = value
+            return float(np.linalg.solve(xx + ridge * np.eye(len(names)), np.asarray(s[len(pairs) :], float)) @ np.asarray(v, float))
+
+        return pd.Series([one(v, s) for v, s in zip(x, sums, strict=True)], dtype="float64")
+
+    found = rows.withColumn("f", forecast("x", "sums")).select("region", "t_idx", F.when(F.col("f").isNotNull() & ~F.isnan("f"), F.col("f")).alias("y_pred"))
+    return panel.select("region", "t_idx", "y").join(found, ["region", "t_idx"], "left")
+
+
+def stationarity(panel: DataFrame) -> DataFrame:
+    """(region, differenced, df_t, kpss, stationary) of each series and of its differences.
+
+    Dickey-Fuller without lags from sums of products, cut -2.86; KPSS about a level, cut 0.463, with
+    Bartlett weights up to a lag chosen from the autocovariances (Hobijn). Constant series are stationary.
+    """
+    w = Window.partitionBy("region").orderBy("t_idx")
+    raw = panel.select("region", "t_idx", F.lit(False).alias("differenced"), F.col("y").cast("double").alias("y"))
+    steps = panel.select("region", "t_idx", F.lit(True).alias("differenced"), (F.col("y") - F.lag("y").over(w)).cast("double").alias("y")).filter("y IS NOT NULL")
+    keys = ["region", "differenced"]
+    ordered, whole = Window.partitionBy(*keys).orderBy("t_idx"), Window.partitionBy(*keys)
+    e = raw.unionByName(steps).withColumn("n", F.count("*").over(whole)).withColumn("e", F.col("y") - F.avg("y").over(whole))
+    e = e.withColumn("x", F.lag("y").over(ordered)).withColumn("dy", F.col("y") - F.col("x")).withColumn("s", F.sum("e").over(ordered))
+    one = e.groupBy(*keys).agg(
+        F.first("n").alias("n"), (F.min("y") == F.max("y")).alias("constant"), F.sum(F.col("e") * F.col("e")).alias("g0"), F.sum(F.col("s") * F.col("s")).alias("eta"),
+        F.count("dy").alias("m"), F.covar_samp("dy", "x").alias("sxy"), F.var_samp(F.when(F.col("dy").isNotNull(), F.col("x"))).alias("sxx"), F.var_samp("dy").alias("syy"),
+    )
+
+    def products(most):
+        """Autocovariance sums of the lags 1 to ``most``, a column of the key."""
+        left = e.join(most, keys).select(*keys, "t_idx", "e", F.explode(F.expr("sequence(1, most)")).alias("lag")).withColumn("t_idx", F.col("t_idx") + F.col("lag"))
+        return left.join(e.select(*keys, "t_idx", F.col("e").alias("later")), [*keys, "t_idx"]).groupBy(*keys, "lag").agg(F.sum(F.col("e") * F.col("later")).alias("g"))
+
+    varied = one.filter("NOT constant AND n > 2")
+    few = varied.select(*keys, F.greatest(F.floor(F.pow("n", F.lit(2 / 9))), F.lit(1)).cast("int").alias("most"))
+    moved = products(few).groupBy(*keys).agg(F.sum("g").alias("a"), F.sum(F.col("lag") * F.col("g")).alias("b"))
+    ratio = (2 * F.col("b")) / (F.col("g0") + 2 * F.col("a"))
+    lags = F.least(F.floor(1.1447 * F.pow(ratio * ratio, F.lit(1 / 3)) * F.pow("n", F.lit(1 / 3))), F.col("n") - 1).cast("int")
+    chosen = varied.join(moved, keys).select(*keys, lags.alias("most"))
+    weighed = products(chosen.filter("most > 0")).join(chosen, keys).groupBy(*keys).agg(F.sum((1 - F.col("lag") / (F.col("most") + 1)) * F.col("g")).alias("tail"))
+    kpss = F.when(~F.col("constant"), F.col("eta") / F.col("n") / (F.col("g0") + 2 * F.coalesce("tail", F.lit(0.0))))
+    left = (F.col("syy") - F.col("sxy") * F.col("sxy") / F.col("sxx")) * (F.col("m") - 1) / (F.col("m") - 2)
+    t = F.when(~F.col("constant"), F.col("sxy") / F.col("sxx") / F.sqrt(left / (F.col("sxx") * (F.col("m") - 1))))
+    found = one.join(weighed, keys, "left").select(*keys, "constant", t.alias("df_t"), kpss.alias("kpss"))
+    return found.select(*keys, "df_t", "kpss", (F.col("constant") | F.coalesce((F.col("df_t") < -2.86) & (F.col("kpss") < 0.463), F.lit(False))).alias("stationary"))
 
 
 def platt(preds: DataFrame, key: str = "horizon", steps: int = 12, ridge: float = 1e-4) -> DataFrame:

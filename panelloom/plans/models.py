@@ -34,6 +34,18 @@ def _split(spark, sf_dir):
     return rows.filter(F.col("t_idx") < cut), rows.filter(F.col("t_idx") >= cut)
 
 
+def _ahead(spark, sf_dir):
+    """As _split, a row for each horizon: ``label`` and ``active`` of the step horizon - 1 later; training labels lie before the cut."""
+    panel = orders_panel(spark, sf_dir)
+    cut = int(0.8 * bt.length(panel))
+    w = Window.partitionBy("region").orderBy("t_idx")
+    later = F.array(*[F.struct(F.lit(h).alias("horizon"), F.lead("label", h - 1).over(w).alias("label")) for h in ln.HORIZONS])
+    rows = ln.tabular(panel).withColumn("later", later).withColumn("l", F.explode("later")).filter("l.label IS NOT NULL")
+    rows = rows.select("region", "t_idx", *COLUMNS, "l.horizon", "l.label", (F.col("l.label") > 0).cast("double").alias("active"))
+    rows = VectorAssembler(inputCols=COLUMNS, outputCol="features").transform(rows)
+    return rows.filter(F.col("t_idx") + F.col("horizon") - 1 < cut), rows.filter(F.col("t_idx") >= cut)
+
+
 def _scored(model, test, name="prediction"):
     return model.transform(test).select("region", "t_idx", "label", F.col(name).alias("y_pred"))
 
@@ -224,6 +236,12 @@ def fit_ar1_expanding_whole(spark, sf_dir):
     return _ar1(orders_panel(spark, sf_dir))
 
 
+@plan()
+def fit_ar7_expanding(spark, sf_dir):
+    """Each step's forecast from its last seven values, refitted at each step on everything earlier."""
+    return ln.autoregression(orders_panel(spark, sf_dir))
+
+
 def _linear(spark, sf_dir, keys, share=0.8):
     panel = orders_panel(spark, sf_dir)
     start = int(share * bt.length(panel))
@@ -350,12 +368,17 @@ def hurdle_hard_gate(spark, sf_dir):
 
 @plan()
 def hurdle_backtest(spark, sf_dir):
-    """Probability of activity times the count expected on active days."""
-    train, test = _split(spark, sf_dir)
-    stage1 = LogisticRegression(labelCol="active", weightCol="weight", maxIter=30).fit(_balanced(train))
-    stage2 = GeneralizedLinearRegression(family="tweedie", variancePower=1.5, linkPower=0.0, maxIter=15, regParam=1e-4).fit(train.filter("label > 0"))
-    both = _probability(stage1, test).join(_scored(stage2, test), ["region", "t_idx"])
-    return both.select("region", "t_idx", F.col("label").alias("y_true"), "y_prob", F.col("y_pred").alias("y_count"), (F.col("y_prob") * F.col("y_pred")).alias("y_pred"))
+    """Probability of activity times the count expected on active days: a pair of models for each step of the week ahead."""
+    train, test = _ahead(spark, sf_dir)
+    out = None
+    for h in ln.HORIZONS:
+        of = lambda x, h=h: x.filter(F.col("horizon") == h)
+        stage1 = LogisticRegression(labelCol="active", weightCol="weight", maxIter=30).fit(_balanced(of(train)))
+        stage2 = GeneralizedLinearRegression(family="tweedie", variancePower=1.5, linkPower=0.0, maxIter=15, regParam=1e-4).fit(of(train).filter("label > 0"))
+        both = _probability(stage1, of(test)).join(_scored(stage2, of(test)), ["region", "t_idx"])
+        part = both.select("region", "t_idx", F.lit(h).alias("horizon"), F.col("label").alias("y_true"), "y_prob", F.col("y_pred").alias("y_count"), (F.col("y_prob") * F.col("y_pred")).alias("y_pred"))
+        out = part if out is None else out.unionByName(part)
+    return out
 
 
 def _positive_mean(panel, end):
@@ -385,7 +408,7 @@ def multi_target_backtest(spark, sf_dir):
     start = int(0.8 * bt.length(p))
     long = p.unpivot(["region", "t_idx", "event_date"], list(PRIORITIES), "target", "y")
     keyed = long.select(F.concat_ws("|", "region", "target").alias("region"), "t_idx", "event_date", "y", "target")
-    return ln.linear_backtest(keyed, ["target"], start, horizons=(1,)).select(F.split("region", r"\|")[0].alias("region"), F.split("region", r"\|")[1].alias("target"), "t0", "horizon", "y_true", "y_pred")
+    return ln.linear_backtest(keyed, ["target"], start).select(F.split("region", r"\|")[0].alias("region"), F.split("region", r"\|")[1].alias("target"), "t0", "horizon", "y_true", "y_pred")
 
 
 @plan(PANEL + ", s AS (SELECT region, avg((urgent > 0)::INT) FILTER (WHERE y > 0) AS given FROM panel GROUP BY region), a AS (SELECT region, avg((y > 0)::INT) AS event FROM panel GROUP BY region) SELECT region, round(event * given, 6) AS p FROM s JOIN a USING (region)")
@@ -444,7 +467,7 @@ def topk_winner(spark, sf_dir):
     return _models(spark, sf_dir).groupBy("model").agg(*_score()).orderBy("RMSE", "model").limit(1)
 
 
-def _importances(spark, sf_dir, horizons=(1, 7)):
+def _importances(spark, sf_dir, horizons=ln.HORIZONS):
     """(horizon, feature, gain) of a small boosted model for each horizon."""
     panel = orders_panel(spark, sf_dir)
     w = Window.partitionBy("region").orderBy("t_idx")
@@ -473,41 +496,43 @@ def topk_importance(spark, sf_dir):
 
 @plan()
 def importance_by_horizon(spark, sf_dir):
-    return _importances(spark, sf_dir).groupBy("feature").pivot("horizon", [1, 7]).agg(F.first("gain"))
+    return _importances(spark, sf_dir).groupBy("feature").pivot("horizon", list(ln.HORIZONS)).agg(F.first("gain"))
 
 
 @plan()
-def importance_permutation(spark, sf_dir, shuffles: int = 3):
-    """Loss of accuracy when a feature's values are dealt anew: joined by two hash orders within each region."""
-    train, test = _split(spark, sf_dir)
-    model = LinearRegression(regParam=1e-4).fit(train)
-    beta = dict(zip(COLUMNS, model.coefficients.toArray().tolist(), strict=True))
+def importance_permutation(spark, sf_dir, shuffles: int = 10):
+    """Loss of accuracy by horizon when a feature's values are dealt anew: joined by two hash orders within each region."""
+    train, test = _ahead(spark, sf_dir)
+    fits = []
+    for h in ln.HORIZONS:
+        model = LinearRegression(regParam=1e-4).fit(train.filter(F.col("horizon") == h))
+        fits.append((h, float(model.intercept), *model.coefficients.toArray().tolist()))
+    betas = spark.createDataFrame(fits, ", ".join(["horizon int", "b double", *(f"b_{c} double" for c in COLUMNS)]))
+    dealt = test.withColumn("s", F.explode(F.sequence(F.lit(0), F.lit(shuffles - 1))))
+    a, b = (Window.partitionBy("region", "horizon", "s").orderBy(F.xxhash64("t_idx", 2 * F.col("s") + k), "t_idx") for k in (0, 1))
+    left = dealt.select("region", "horizon", "s", "label", *COLUMNS, F.row_number().over(a).alias("i"))
+    right = dealt.select("region", "horizon", "s", *[F.col(c).alias(f"{c}_new") for c in COLUMNS], F.row_number().over(b).alias("i"))
     error = lambda p: F.avg(F.abs(p - F.col("label")))
-    straight = sum((F.col(c) * b for c, b in beta.items()), F.lit(float(model.intercept)))
-    out = None
-    for s in range(shuffles):
-        a, b = (Window.partitionBy("region").orderBy(F.xxhash64("t_idx", F.lit(seed))) for seed in (2 * s, 2 * s + 1))
-        left = test.select("region", "label", *COLUMNS, F.row_number().over(a).alias("i"))
-        right = test.select("region", *[F.col(c).alias(f"{c}_new") for c in COLUMNS], F.row_number().over(b).alias("i"))
-        drops = left.join(right, ["region", "i"]).agg(*[(error(straight + (F.col(f"{c}_new") - F.col(c)) * beta[c]) - error(straight)).alias(c) for c in COLUMNS])
-        part = drops.unpivot([], COLUMNS, "feature", "drop")
-        out = part if out is None else out.unionByName(part)
-    return out.groupBy("feature").agg(F.avg("drop").alias("mean_drop"), F.stddev("drop").alias("sd_drop"))
+    straight = sum((F.col(c) * F.col(f"b_{c}") for c in COLUMNS), F.col("b"))
+    drops = left.join(right, ["region", "horizon", "s", "i"]).join(F.broadcast(betas), "horizon").groupBy("horizon", "s")
+    drops = drops.agg(*[(error(straight + (F.col(f"{c}_new") - F.col(c)) * F.col(f"b_{c}")) - error(straight)).alias(c) for c in COLUMNS])
+    return drops.unpivot(["horizon", "s"], COLUMNS, "feature", "drop").groupBy("feature", "horizon").agg(F.avg("drop").alias("mean_drop"), F.stddev("drop").alias("sd_drop"))
 
 
 @plan()
-def tune_random_search(spark, sf_dir):
-    """Trials of ridge strength and refit stride, scored by the backtest; the export of all trials."""
+def tune_random_search(spark, sf_dir, trials: int = 50):
+    """Trials of ridge strength and refit stride, scored by the backtest over all horizons; the export of all trials."""
     import random
 
     panel = orders_panel(spark, sf_dir)
-    start, pick, trials = int(0.8 * bt.length(panel)), random.Random(1), None
-    for k in range(3):
-        params = {"ridge": 10 ** pick.uniform(-6, 2), "retrain": pick.choice([14, 28, 56])}
-        one = ln.linear_backtest(panel, ["all"], start, horizons=(1,), **params).agg(F.sqrt(F.avg((F.col("y_pred") - F.col("y_true")) ** 2)).alias("value"))
-        one = one.select(F.lit(k).alias("number"), "value", F.lit(str(params)).alias("params"), F.lit("complete").alias("state"))
-        trials = one if trials is None else trials.unionByName(one)
-    return trials
+    start, pick, out = int(0.8 * bt.length(panel)), random.Random(1), None
+    drawn = [(k, 10 ** pick.uniform(-6, 2), pick.choice([14, 28, 56])) for k in range(trials)]
+    params = spark.createDataFrame([(k, ridge, retrain, str({"ridge": ridge, "retrain": retrain})) for k, ridge, retrain in drawn], "number int, ridge double, retrain int, params string")
+    for stride in sorted({d[2] for d in drawn}):  # one backtest solves all ridges of a stride
+        one = ln.linear_backtest(panel, ["all"], start, retrain=stride, ridge=[d[1] for d in drawn if d[2] == stride])
+        one = one.groupBy("ridge", F.lit(stride).alias("retrain")).agg(F.sqrt(F.avg((F.col("y_pred") - F.col("y_true")) ** 2)).alias("value"))
+        out = one if out is None else out.unionByName(one)
+    return out.join(F.broadcast(params), ["ridge", "retrain"]).select("number", "value", "params", F.lit("complete").alias("state"))
 
 
 _DF = ", l AS (SELECT region, t_idx, y, lag(y) OVER (PARTITION BY region ORDER BY t_idx) AS x FROM panel), d AS (SELECT region, y - x AS dy, x FROM l WHERE x IS NOT NULL), c AS (SELECT region, count(*) AS n, covar_samp(dy, x) AS sxy, var_samp(x) AS sxx, var_samp(dy) AS syy FROM d GROUP BY region)"
@@ -523,4 +548,7 @@ def profile_stationarity(spark, sf_dir):
     return c.select("region", t.alias("t")).select("region", F.round("t", 3).alias("df_t"), (F.col("t") < -2.86).alias("stationary"))
 
 
-
+@plan()
+def profile_stationarity_both(spark, sf_dir):
+    """Dickey-Fuller and KPSS for each region, on the series and on its differences."""
+    return ln.stationarity(orders_panel(spark, sf_dir))

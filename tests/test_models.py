@@ -41,3 +41,64 @@ def test_whole_ranges(spark, db):
     trained = panel.filter(f"t_idx < {start} AND urgent > 0").count()
     assert same(spark, db, "fit_positive_mean_fallback_whole").n_positive.sum() == trained
     assert len(same(spark, db, "fit_single_class_fallback_whole")) == regions
+
+
+def test_autoregression_is_a_refit_at_each_step(spark):
+    import numpy as np
+
+    from panelloom.operators import learners as ln
+
+    y = np.random.default_rng(2).poisson(4, 60).tolist()
+    panel = spark.createDataFrame([("a", t, v) for t, v in enumerate(y)] + [("b", t, 3) for t in range(60)], "region string, t_idx int, y long")
+    got = {(r.region, r.t_idx): r.y_pred for r in ln.autoregression(panel).collect()}
+    x = np.array([[1.0, *y[t - 7 : t][::-1]] for t in range(7, 60)])
+    for t in range(60):
+        n = t - 7
+        if n <= 8:
+            assert got["a", t] is None
+        else:
+            beta = np.linalg.lstsq(x[:n], np.array(y[7:t], float), rcond=None)[0]
+            assert abs(got["a", t] - x[n] @ beta) < 1e-3
+    assert abs(got["b", 59] - 3) < 1e-3
+
+
+def kpss(v):
+    """As published, in plain loops."""
+    n, e = len(v), [a - sum(v) / len(v) for a in v]
+    g = lambda lag: sum(a * b for a, b in zip(e[lag:], e, strict=False))
+    few = int(n ** (2 / 9))
+    s0, s1 = g(0) / n + sum(2 * g(i) / n for i in range(1, few + 1)), sum(i * 2 * g(i) / n for i in range(1, few + 1))
+    lags = min(int(1.1447 * ((s1 / s0) ** 2) ** (1 / 3) * n ** (1 / 3)), n - 1)
+    total, eta = 0.0, 0.0
+    for a in e:
+        total += a
+        eta += total * total
+    return eta / n**2 / ((g(0) + 2 * sum((1 - i / (lags + 1)) * g(i) for i in range(1, lags + 1))) / n)
+
+
+def test_stationarity_of_series_and_differences(spark):
+    import numpy as np
+
+    from panelloom.operators import learners as ln
+
+    pick = np.random.default_rng(5)
+    series = {"noise": pick.poisson(9, 200).tolist(), "walk": np.cumsum(pick.integers(-5, 6, 200)).tolist(), "flat": [4] * 200}
+    panel = spark.createDataFrame([(k, t, int(v)) for k, x in series.items() for t, v in enumerate(x)], "region string, t_idx int, y long")
+    got = {(r.region, r.differenced): r for r in ln.stationarity(panel).collect()}
+    assert len(got) == 6
+    for k in ("noise", "walk"):
+        assert abs(got[k, False].kpss - kpss(series[k])) < 1e-9
+        assert abs(got[k, True].kpss - kpss(np.diff(series[k]).tolist())) < 1e-9
+    assert {k: r.stationary for k, r in got.items() if k[0] != "noise" or not k[1]} == {("noise", False): True, ("walk", False): False, ("walk", True): True, ("flat", False): True, ("flat", True): True}
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no tables")
+def test_every_horizon(spark):
+    week = {1, 2, 3, 4, 5, 6, 7}
+    of = lambda name: {r.horizon for r in models.QUERIES[name](spark, SF).select("horizon").distinct().collect()}
+    assert of("bt_linear_global") == of("multi_target_backtest") == of("hurdle_backtest") == week
+    drops = models.importance_permutation(spark, SF).toPandas()
+    assert set(drops.horizon) == week and len(drops) == 7 * len(models.COLUMNS) and drops.sd_drop.notna().all()
+    assert {f"{h}" for h in week} <= set(models.importance_by_horizon(spark, SF).columns)
+    trials = models.tune_random_search(spark, SF).toPandas()
+    assert sorted(trials.number) == list(range(50)) and trials.value.gt(0).all()
