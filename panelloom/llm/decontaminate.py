@@ -2,7 +2,8 @@
 
 Words are runs of letters and digits, lower-cased; a shingle is five words (a shorter text is one
 shingle). A window of an item's size is worth a fingerprint only where it shares shingles with that
-item: less than ``2 t / (1 + t)`` of the item's shingles in common can't reach similarity t. Of those
+item: less than ``2 t / (1 + t)`` of the item's shingles in common can't reach similarity t; where the
+whole document has m shingles and the item n > m, less than ``t (n + m) / (1 + t)`` can't. Of those
 windows, the 64-bit SimHash, in which each shingle weighs as often as it occurs, is cut into
 ``BLOCKS`` blocks. Items are listed under every block value within ``FLIPS`` bits of theirs, so by
 the pigeonhole principle every pair within ``BLOCKS * (FLIPS + 1) - 1`` bits meets. Pairs that meet
@@ -82,19 +83,19 @@ def leaks(docs: DataFrame, benchmark: DataFrame, least_similarity: float = 0.8)
     items = durable(_worded(benchmark, ["item_id"]).withColumn("fingerprint", simhash("shingles")).withColumn("size", F.size("words")))
     item_shingles = items.select("item_id", "size", F.size("shingles").alias("of"), F.posexplode_outer("shingles").alias("item_place", "shingle"))
     n_shingles = item_shingles.count()
-    share = 2 * least_similarity / (1 + least_similarity)
+    share = least_similarity / (1 + least_similarity)
 
     short = tuple(sorted(r["size"] for r in items.filter(F.col("size") < SHINGLE).select("size").distinct().collect()))  # four at most
     # The outer form: the inner one pushes a filter on the array's size below, where the hashes would be computed anew for each place.
     worded = _worded(docs, ["doc_id"], short)
-    places = worded.select("doc_id", F.posexplode_outer("shingles").alias("place", "shingle"))
+    places = worded.select("doc_id", F.size("shingles").alias("own"), F.posexplode_outer("shingles").alias("place", "shingle"))
     if short:
-        places = places.union(worded.select("doc_id", F.explode_outer("brief").alias("b")).select("doc_id", "b.place", "b.shingle")).filter("shingle IS NOT NULL")
+        places = places.union(worded.select("doc_id", F.size("shingles").alias("own"), F.explode_outer("brief").alias("b")).select("doc_id", "own", "b.place", "b.shingle")).filter("shingle IS NOT NULL")
     hits = places.join(F.broadcast(item_shingles) if n_shingles <= BROADCAST else item_shingles, "shingle")
     starts = (
         hits.groupBy("doc_id", "item_id", "size", "of")
-        .agg(F.countDistinct("item_place").alias("met"), F.collect_set(F.col("place") - F.col("item_place")).alias("starts"))
-        .filter(F.col("met") >= F.ceil(F.col("of") * share - 1e-9))
+        .agg(F.min("own").alias("own"), F.countDistinct("item_place").alias("met"), F.collect_set(F.col("place") - F.col("item_place")).alias("starts"))
+        .filter(F.col("met") >= F.ceil((F.col("of") + F.least("own", "of")) * share - 1e-9))
         .groupBy("doc_id")
         .agg(F.collect_list(F.struct("item_id", "size", "starts")).alias("wanted"))
     )

@@ -56,3 +56,16 @@ def test_clean_keeps_the_rest(spark):
     assert sorted(r.wanted_id for r in decontaminate.clean(docs, items).collect()) == ["b", "c"]
     assert decontaminate.clean(docs.limit(0), items).count() == 0
     assert decontaminate.clean(docs, items.limit(0)).count() == 4
+
+
+def test_documents_shorter_than_the_item(spark):
+    pick = random.Random(3)
+    items = [(i, " ".join(f"w{pick.randrange(900)}" for _ in range(40))) for i in range(12)]
+    docs = []
+    for i, item in items:
+        w = item.split()
+        docs += [(100 * i + n, " ".join(w[n:])) for n in range(0, 10)] + [(100 * i + 50 + n, " ".join(w[: 40 - n])) for n in range(1, 10)]
+    want = brute(docs, items)
+    got = decontaminate.leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert {(r.doc_id, r.item_id): round(r.similarity, 9) for r in got} == {k: round(v, 9) for k, v in want.items()}
+    assert {(5, 0), (55, 0)} <= set(want) and (9, 0) not in want
