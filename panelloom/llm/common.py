@@ -4,9 +4,14 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import time
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Seconds between two collections of the driver's dropped plans, and when the last was.
+BETWEEN = 5
+_collected = [0.0]
+
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
@@ -22,9 +27,12 @@ def durable(df: DataFrame) -> DataFrame:
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-"))
     kept = df.checkpoint(eager=True)
-    # The driver drops shuffle files when it collects the plans that made them; without this they'd stay for a long query's whole run.
-    gc.collect()
-    context._jvm.System.gc()
+    # The driver drops shuffle files when it collects the plans that made them; without this they'd stay for a long query's
+    # whole run. Quick steps leave little behind, so they don't pay for a collection each.
+    if time.monotonic() - _collected[0] > BETWEEN:
+        gc.collect()
+        context._jvm.System.gc()
+        _collected[0] = time.monotonic()
     return kept
 
 
