@@ -15,10 +15,14 @@ Every byte covered by a string of ``LENGTH`` bytes that also starts anywhere els
 4. In the merged order suffixes that share their anchor's bytes lie together. A stretch that begins j
    bytes before its anchor repeats if another suffix shares ``LENGTH - j`` bytes with it and the j bytes
    before the anchor as well.
+5. An anchor that more than ``HOT`` texts hold would put all its suffixes into one range. Its surroundings
+   are compared by Spark instead: equal ones are one; the others meet on the ``LENGTH - SPAN`` bytes that all
+   stretches of ``SPAN`` neighbouring starts share, and where two do, on each stretch's digest. All of that is
+   counted before it is shuffled, and no task holds an anchor's places.
 
-A text that is there twice or more is covered whole, if it has ``LENGTH`` bytes. A null text counts as
+Texts are known by two 64-bit hashes. A text that is there twice or more is covered whole, if it has ``LENGTH`` bytes. A null text counts as
 empty; nothing is removed from shorter texts. Rows are taken as they come, so repeated doc_ids are
-texts of their own.
+texts of their own. Only doc_id and text are read, so other columns may have any name.
 """
 
 from __future__ import annotations
@@ -26,6 +30,7 @@ from __future__ import annotations
 import hashlib
 from bisect import bisect_right
 from collections.abc import Iterator
+from functools import reduce
 from itertools import combinations
 
 import numpy as np
@@ -42,6 +47,11 @@ SLICE, RANGE = 1 << 20, 60_000
 #: Hashes of texts (8 bytes each) up to which they are broadcast; beyond, the joins shuffle.
 BROADCAST = 500_000
 SAMPLE = 20_000
+#: Texts of one anchor above which its suffixes don't go to one range; starts that are first compared together.
+HOT, SPAN = 10_000, 16
+#: Texts that a task remembers as done.
+REMEMBERED = 100_000
+_MARK = ["m1", "m2"]
 _WINDOW = LENGTH - ANCHOR + 1
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _BACK = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
@@ -100,7 +110,7 @@ def _shared(x: bytes, y: bytes, start: int = 0) -> int:
 
 
 class Entry:
-    """A suffix from its anchor, the reversed bytes before it, the least distance of a start, and all places (text, anchor)."""
+    """A suffix from its anchor, the reversed bytes before it, the least distance of a start, and all places (two hashes of the text, anchor)."""
 
     __slots__ = ("right", "left", "least", "places")
 
@@ -108,11 +118,11 @@ class Entry:
         self.right, self.left, self.least, self.places = right, left, least, places
 
 
-def entries(data: bytes, wanted: set[int], text: int):
+def entries(data: bytes, wanted: set[int], text: tuple[int, int]):
     """The suffixes of a text whose anchors are wanted."""
     for lo, hi, a, h in zip(*(x.tolist() for x in anchors(data)), strict=True):
         if h in wanted:
-            yield Entry(data[a : hi + LENGTH], data[lo:a][::-1], a - hi, [(text, a)])
+            yield Entry(data[a : hi + LENGTH], data[lo:a][::-1], a - hi, [(*text, a)])
 
 
 def packed(run: list[Entry]) -> tuple:
@@ -126,24 +136,24 @@ def packed(run: list[Entry]) -> tuple:
     numbers = lambda x, t: np.array(list(x), t).tobytes()
     return (
         numbers(lcp, "<u2"), numbers(map(len, tails), "<u2"), b"".join(tails), numbers((len(e.left) for e in run), "<u2"), b"".join(e.left for e in run),
-        numbers((e.least for e in run), "<i2"), numbers((len(e.places) for e in run), "<i4"), numbers((t for e in run for t, _ in e.places), "<i8"), numbers((a for e in run for _, a in e.places), "<i8"),
+        numbers((e.least for e in run), "<i2"), numbers((len(e.places) for e in run), "<i4"), *(numbers((p[k] for e in run for p in e.places), "<i8") for k in range(3)),
     )
 
 
-_COLUMNS = ("lcp", "sizes", "tails", "left_sizes", "lefts", "least", "counts", "texts", "at")
+_COLUMNS = ("lcp", "sizes", "tails", "left_sizes", "lefts", "least", "counts", "m1", "m2", "at")
 RUN_SCHEMA = "part int, " + ", ".join(f"{c} binary" for c in _COLUMNS)
 
 
 def unpacked(columns: tuple) -> Iterator[tuple[int, Entry]]:
     """(length of the prefix shared with the one before, suffix) in order."""
-    lcp, sizes, tails, left_sizes, lefts, least, counts, texts, at = columns
+    lcp, sizes, tails, left_sizes, lefts, least, counts, *places = columns
     ints = lambda x, t: np.frombuffer(x, t).tolist()
-    texts, at = ints(texts, "<i8"), ints(at, "<i8")
+    places = list(zip(*(ints(x, "<i8") for x in places), strict=True))
     i = j = k = 0
     before = b""
     for n, size, left, low, count in zip(ints(lcp, "<u2"), ints(sizes, "<u2"), ints(left_sizes, "<u2"), ints(least, "<i2"), ints(counts, "<i4"), strict=True):
         before = before[:n] + tails[i : i + size]
-        yield n, Entry(before, lefts[j : j + left], low, list(zip(texts[k : k + count], at[k : k + count], strict=True)))
+        yield n, Entry(before, lefts[j : j + left], low, places[k : k + count])
         i, j, k = i + size, j + left, k + count
 
 
@@ -213,23 +223,27 @@ def repeated(group: list[Entry], lcp: list[int]) -> Iterator[tuple[Entry, int, i
     order = sorted(range(n), key=lambda i: group[i].left)
     before = np.array([0] + [_shared(group[a].left, group[b].left) for a, b in zip(order, order[1:], strict=False)])
     least, most = np.array([e.least for e in group]), np.array([len(e.left) for e in group])
-    for j in range(int(least.min()), int(most.max()) + 1):
+    first, last = int(least.min()), int(most.max())
+    found = np.zeros((n, last - first + 3), np.int8)
+    for j in range(first, last + 1):
         right = np.cumsum(after < LENGTH - j)
         left = np.zeros(n, np.int64)
         left[order] = np.cumsum(before < j)
         ok = np.flatnonzero((least <= j) & (j <= most))
         _, back, count = np.unique(right[ok] * (n + 1) + left[ok], return_inverse=True, return_counts=True)
-        for i in ok[count[back] > 1].tolist():
-            yield group[i], j, j
+        found[ok[count[back] > 1], j - first + 1] = 1
+    change = np.diff(found)
+    for (i, a), (_, b) in zip(np.argwhere(change == 1).tolist(), np.argwhere(change == -1).tolist(), strict=True):
+        yield group[i], a + first, b + first - 1
 
 
-def spans(runs: list[Iterator[tuple[int, Entry]]]) -> Iterator[tuple[int, int, int]]:
-    """(text, start, end) of the bytes that suffixes of these runs show to repeat."""
+def spans(runs: list[Iterator[tuple[int, Entry]]]) -> Iterator[tuple[int, int, int, int]]:
+    """(two hashes of the text, start, end) of the bytes that suffixes of these runs show to repeat."""
 
     def close():
         for e, a, b in repeated(group, lcp):
-            for text, at in e.places:
-                yield text, at - b, at - a + LENGTH
+            for m1, m2, at in e.places:
+                yield m1, m2, at - b, at - a + LENGTH
 
     group: list[Entry] = []
     lcp: list[int] = []
@@ -251,34 +265,48 @@ def spans(runs: list[Iterator[tuple[int, Entry]]]) -> Iterator[tuple[int, int, i
         yield from close()
 
 
+def _marks() -> list:
+    return [F.xxhash64("text").alias("m1"), F.xxhash64(F.lit(LENGTH), "text").alias("m2")]
+
+
 def _keyed(docs: DataFrame) -> DataFrame:
-    return docs.select(F.xxhash64("text").alias("mark"), F.col("text"))
+    return docs.select(*_marks(), F.col("text"))
 
 
 def _some(texts: DataFrame, marked: DataFrame, n: int, how: str = "left_semi") -> DataFrame:
     """The texts whose marks are in a table of n rows, or the others: only those then move."""
-    marks = marked.select("mark")
-    return texts.join(F.broadcast(marks) if n <= BROADCAST else marks, "mark", how)
+    marks = marked.select(*_MARK)
+    return texts.join(F.broadcast(marks) if n <= BROADCAST else marks, _MARK, how)
+
+
+def _fresh(batches, others: int):
+    """The two hashes, the text and ``others`` more values of each row, but for texts that the task has just had."""
+    seen: set[tuple[int, int]] = set()
+    for batch in batches:
+        texts = batch.column(2).cast(pa.binary())
+        more = [batch.column(3 + k) for k in range(others)]
+        for i, mark in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)):
+            if mark not in seen:
+                if len(seen) >= REMEMBERED:
+                    seen.clear()
+                seen.add(mark)
+                yield mark, texts[i].as_py() or b"", [x[i] for x in more]
 
 
 def repeated_anchors(docs: DataFrame) -> DataFrame:
-    """mark (hash of a text) and ``hashes`` of its anchors that are met again."""
+    """m1, m2 (hashes of a text), and ``hashes`` of its anchors that are met again: those of at most HOT texts, and ``hot`` ones."""
 
     def run(batches):
-        seen: set[int] = set()
-        for batch in batches:
-            marks, texts = batch.column(0).to_pylist(), batch.column(1).cast(pa.binary())
-            for i, mark in enumerate(marks):
-                if mark in seen:
-                    continue
-                seen.add(mark)
-                h, n = np.unique(anchors(texts[i].as_py() or b"")[3], return_counts=True)
-                if len(h):
-                    yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(np.full(len(h), mark, np.int64)), pa.array(n > 1)], ["h", "mark", "twice"])
+        for mark, data, _ in _fresh(batches, 0):
+            h, n = np.unique(anchors(data)[3], return_counts=True)
+            if len(h):
+                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), *(pa.array(np.full(len(h), m, np.int64)) for m in mark), pa.array(n > 1)], ["h", *_MARK, "twice"])
 
-    met = _keyed(docs.filter(F.octet_length("text") >= LENGTH)).mapInArrow(run, "h long, mark long, twice boolean")
-    again = met.groupBy("h").agg(F.min("mark").alias("a"), F.max("mark").alias("b"), F.max("twice").alias("t")).filter("a < b OR t").select("h")
-    return met.select("h", "mark").join(again, "h", "left_semi").groupBy("mark").agg(F.collect_set("h").alias("hashes"))
+    met = _keyed(docs.filter(F.octet_length("text") >= LENGTH)).mapInArrow(run, "h long, m1 long, m2 long, twice boolean")
+    again = met.groupBy("h").agg(*[f(m).alias(f"{m}{k}") for m in _MARK for k, f in (("a", F.min), ("b", F.max))], F.max("twice").alias("t"), F.count("*").alias("n"))
+    again = again.filter("m1a < m1b OR m2a < m2b OR t").select("h", (F.col("n") > HOT).alias("is_hot"))
+    held = met.select("h", *_MARK).join(again, "h")
+    return held.groupBy(*_MARK).agg(F.collect_set(F.when(~F.col("is_hot"), F.col("h"))).alias("hashes"), F.collect_set(F.when(F.col("is_hot"), F.col("h"))).alias("hot"))
 
 
 def splitters(docs: DataFrame, parts: int) -> list[bytes]:
@@ -287,27 +315,77 @@ def splitters(docs: DataFrame, parts: int) -> list[bytes]:
     share = min(1.0, 2000 / max(1, n))
 
     def run(batches):
-        for batch in batches:
-            for data in batch.column(1).cast(pa.binary()).to_pylist():
-                _, _, at, _ = anchors(data or b"")
-                keys = [data[a : a + ANCHOR] for a in at[:: max(1, len(at) // 10)].tolist()]
-                yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary())], ["k"])
+        for _, data, _ in _fresh(batches, 0):
+            _, _, at, _ = anchors(data)
+            keys = [data[a : a + ANCHOR] for a in at[:: max(1, len(at) // 10)].tolist()]
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary())], ["k"])
 
-    drawn = _keyed(docs).filter(F.pmod("mark", F.lit(1 << 30)) < int(share * (1 << 30)) + 1)
+    drawn = _keyed(docs).filter(F.pmod("m1", F.lit(1 << 30)) < int(share * (1 << 30)) + 1)
     keys = sorted(bytes(r.k) for r in drawn.mapInArrow(run, "k binary").limit(SAMPLE).collect())
     return sorted({keys[i * len(keys) // parts] for i in range(1, parts)}) if keys else []
 
 
+def _hot_spans(chosen: DataFrame) -> DataFrame:
+    """m1, m2, start, end of the bytes about hot anchors that repeat. ``chosen``: m1, m2, text, hot."""
+
+    def run(batches):
+        told: set[bytes] = set()
+        for (m1, m2), data, (hot,) in _fresh(batches, 1):
+            places, around = [], []
+            for e in entries(data, set(np.asarray(hot.values).view(np.uint64).tolist()), (m1, m2)):
+                ctx = hashlib.md5(e.least.to_bytes(2, "little", signed=True) + len(e.left).to_bytes(2, "little") + e.left + e.right).digest()
+                fresh = ctx not in told
+                if fresh:
+                    if len(told) >= REMEMBERED:
+                        told.clear()
+                    told.add(ctx)
+                places.append((e.places[0][2], ctx))
+                around.append((e.left, e.right, e.least) if fresh else (None, None, None))
+            if places:
+                at, ctx = zip(*places, strict=True)
+                left, right, least = zip(*around, strict=True)
+                many = len(at)
+                yield pa.RecordBatch.from_arrays(
+                    [*(pa.array(np.full(many, m, np.int64)) for m in (m1, m2)), pa.array(at, pa.int64()), pa.array(ctx, pa.binary()), pa.array(left, pa.binary()), pa.array(right, pa.binary()), pa.array(least, pa.int32())],
+                    [*_MARK, "at", "ctx", "lefts", "rights", "least"],
+                )
+
+    held = durable(chosen.select(*_MARK, "text", "hot").mapInArrow(run, "m1 long, m2 long, at long, ctx binary, lefts binary, rights binary, least int"))
+    counts = held.groupBy("ctx").agg(F.count("*").alias("n"))
+    around = held.filter("rights IS NOT NULL").select("ctx", "lefts", "rights", "least").dropDuplicates(["ctx"])
+    most = F.octet_length("lefts")
+
+    def shared(rows, key, at_least=2):
+        """The rows whose key, a digest, is met in two surroundings or more; counted within tasks first."""
+        again = durable(rows.groupBy(key).count().filter(F.col("count") >= at_least).select(key))
+        return rows.join(F.broadcast(again) if again.count() <= BROADCAST else again, key, "left_semi")
+
+    # Stretches of starts j1 .. j2 before the anchor all hold the j1 bytes before it and LENGTH - j2 bytes from it on.
+    ranges = F.array(*[F.struct(F.lit(j).alias("j1"), F.lit(min(j + SPAN, _WINDOW) - 1).alias("j2")) for j in range(0, _WINDOW, SPAN)])
+    common = lambda j1, j2: F.md5(F.concat(j1.cast("string").cast("binary"), F.substring("lefts", F.lit(1), j1), F.substring("rights", F.lit(1), LENGTH - j2)))
+    cut = around.select("ctx", "lefts", "rights", "least", F.explode(ranges).alias("r")).select("*", F.greatest("r.j1", "least").alias("a"), F.least(F.col("r.j2"), most).alias("b"))
+    # The key takes the range's own ends: a context that covers only a part of the range has them as well, but for its outermost bytes.
+    cut = cut.filter("a <= b").withColumn("key", common(F.col("r.j1"), F.col("r.j2")))
+    each = shared(cut, "key").select("ctx", "lefts", "rights", F.explode(F.sequence("a", "b")).alias("j")).withColumn("stretch", common(F.col("j"), F.col("j")))
+    alone = shared(each, "stretch").groupBy("ctx").agg(F.collect_set("j").alias("js"))
+    known = around.select("ctx", "least", most.alias("most")).join(counts, "ctx").join(alone, "ctx", "left")
+    known = known.select("ctx", F.when(F.col("n") > 1, F.sequence("least", "most")).otherwise(F.col("js")).alias("js")).filter("js IS NOT NULL")
+    ends = lambda step: F.sort_array(F.filter("js", lambda j: ~F.array_contains("js", j + step)))
+    known = durable(known.select("ctx", F.arrays_zip(ends(-1).alias("a"), ends(1).alias("b")).alias("runs")))
+    places = held.select(*_MARK, "at", "ctx").join(F.broadcast(known) if known.count() <= BROADCAST // 8 else known, "ctx")
+    return places.select(*_MARK, "at", F.explode("runs").alias("r")).select(*_MARK, (F.col("at") - F.col("r.b")).alias("start"), (F.col("at") - F.col("r.a") + LENGTH).alias("end"))
+
+
 def repeats(docs: DataFrame) -> DataFrame:
-    """mark and ``spans`` (array of start, end) of each text with bytes that suffixes show to repeat."""
+    """m1, m2 and ``spans`` (array of start, end) of each text with bytes that suffixes show to repeat."""
     wanted = durable(repeated_anchors(docs))
-    n_texts, n_hashes = wanted.agg(F.count("*"), F.coalesce(F.sum(F.size("hashes")), F.lit(0))).first()
+    count = lambda c: F.coalesce(F.sum(F.size(c)), F.lit(0))
+    n_texts, n_hashes, n_hot = wanted.agg(F.count("*"), count("hashes"), count("hot")).first()
     parts = int(max(1, n_hashes // RANGE, min(64, n_hashes // 2000)))
     borders = splitters(docs, parts)
 
     def sort(batches):
         held: dict = {}
-        seen: set[int] = set()
         size = 0
 
         def flush():
@@ -318,33 +396,30 @@ def repeats(docs: DataFrame) -> DataFrame:
             for part, run in cut.items():
                 yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), *(pa.array([c], pa.binary()) for c in packed(run))], ["part", *_COLUMNS])
 
-        for batch in batches:
-            texts, hashes = batch.column(1).cast(pa.binary()), batch.column(2)
-            for i, mark in enumerate(batch.column(0).to_pylist()):
-                if mark in seen:
-                    continue
-                seen.add(mark)
-                for e in entries(texts[i].as_py(), set(np.asarray(hashes[i].values).view(np.uint64).tolist()), mark):
-                    old = held.setdefault((e.right, e.left, e.least), e)
-                    if old is not e:
-                        old.places += e.places
-                    else:
-                        size += len(e.right) + len(e.left) + 300
+        for mark, data, (hashes,) in _fresh(batches, 1):
+            for e in entries(data, set(np.asarray(hashes.values).view(np.uint64).tolist()), mark):
+                old = held.setdefault((e.right, e.left, e.least), e)
+                if old is not e:
+                    old.places += e.places
+                else:
+                    size += len(e.right) + len(e.left) + 300
             if size > 60_000_000:
                 yield from flush()
-                held, size = {}, 0
+                held.clear()
+                size = 0
         yield from flush()
 
     def merge(key, table):
         runs = [unpacked(tuple(table.column(c)[i].as_py() for c in _COLUMNS)) for i in range(table.num_rows)]
-        rows = list(spans(runs))
-        marks, starts, ends = zip(*rows, strict=True) if rows else ((), (), ())
-        return pa.table({"mark": pa.array(marks, pa.int64()), "start": pa.array(starts, pa.int64()), "end": pa.array(ends, pa.int64())})
+        rows = np.array(list(spans(runs)), np.int64).reshape(-1, 4)
+        return pa.table({c: pa.array(rows[:, k]) for k, c in enumerate((*_MARK, "start", "end"))})
 
-    chosen = _some(_keyed(docs), wanted, n_texts).join(wanted, "mark")
-    runs = chosen.select("mark", "text", "hashes").mapInArrow(sort, RUN_SCHEMA)
-    found = runs.groupBy("part").applyInArrow(merge, "mark long, start long, end long")
-    return durable(found.distinct().groupBy("mark").agg(F.collect_set(F.struct("start", "end")).alias("spans")))
+    chosen = _some(_keyed(docs), wanted, n_texts).join(wanted, _MARK)
+    runs = chosen.select(*_MARK, "text", "hashes").mapInArrow(sort, RUN_SCHEMA)
+    found = [runs.groupBy("part").applyInArrow(merge, "m1 long, m2 long, start long, end long")]
+    if n_hot:
+        found.append(_hot_spans(chosen.filter(F.size("hot") > 0)))
+    return durable(reduce(DataFrame.union, found).distinct().groupBy(*_MARK).agg(F.collect_set(F.struct("start", "end")).alias("spans")))
 
 
 def removed(docs: DataFrame) -> DataFrame:
@@ -372,8 +447,8 @@ def removed(docs: DataFrame) -> DataFrame:
 
     found = repeats(docs)
     n_texts = found.count()
-    held = docs.select("doc_id", F.md5("text").alias("digest"), "text", F.xxhash64("text").alias("mark"))
-    cut = _some(held, found, n_texts).join(found, "mark").select("doc_id", "digest", "text", "spans")
+    held = docs.select("doc_id", F.md5("text").alias("digest"), "text", *_marks())
+    cut = _some(held, found, n_texts).join(found, _MARK).select("doc_id", "digest", "text", "spans")
     rest = _some(held, found, n_texts, "left_anti").select("doc_id", "digest", "text", F.lit(None).cast("array<struct<start:bigint,end:bigint>>").alias("spans"))
     each = cut.unionByName(rest).mapInArrow(run, "doc_id long, digest string, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
     # copies of whole texts, counted by digest; the texts themselves don't move
