@@ -2,9 +2,12 @@
 
 A text that compresses far better than prose of its length repeats itself or follows a template; one
 that hardly compresses is noise. Limits depend on the length, since short texts compress less. The
-whole document has to lie inside the band of its length, and so do at least half of its fixed chunks.
+whole document has to lie inside the band of its length, and so do at least half of its fixed chunks. A last
+piece of under a quarter of a chunk belongs to the chunk before it, so every byte is judged.
 
 A null text has no words, lines or symbols, and fails the base rules like any text of under 20 words.
+Very long texts are measured whole, one at a time. Every row is judged alone, so repeated rows get the same
+verdict. Only doc_id and text are read, so other columns may have any name.
 """
 
 from __future__ import annotations
@@ -34,6 +37,16 @@ def limits(sizes, bands=BANDS):
     return np.interp(x, np.log2(at), low), np.interp(x, np.log2(at), high)
 
 
+def chunks_of(data: bytes) -> list[bytes]:
+    """Chunks of CHUNK bytes over the whole text, a short last piece with the one before; none for a text of one chunk."""
+    if len(data) <= CHUNK:
+        return []
+    starts = [*range(0, len(data), CHUNK)]
+    if len(data) - starts[-1] < CHUNK // 4:
+        starts.pop()
+    return [data[a:b] for a, b in zip(starts, [*starts[1:], len(data)], strict=True)]
+
+
 def repeated_words(words: list[list[bytes]]) -> np.ndarray:
     """For each text, its words inside windows of eight that occur twice or more in it.
 
@@ -78,10 +91,9 @@ def measured(texts: list[bytes | None], compressor: zstandard.ZstdCompressor, ba
         failed = n < 20 or 100 * n_repeat > 30 * n
         ratio, chunks, out, kept = None, 0, 0, False
         if data:
-            parts = [data[i : i + CHUNK] for i in range(0, len(data), CHUNK)]
-            parts = [p for p in parts if len(p) >= CHUNK // 4] or parts[:1]
-            ratios = np.array([len(data) / len(compressor.compress(data)), *(len(p) / len(compressor.compress(p)) for p in (parts if len(data) > CHUNK else []))])
-            low, high = limits([len(data), *(len(p) for p in (parts if len(data) > CHUNK else []))], bands)
+            parts = [data, *chunks_of(data)]
+            ratios = np.array([len(p) / len(compressor.compress(p)) for p in parts])
+            low, high = limits([len(p) for p in parts], bands)
             bad = (ratios < low) | (ratios > high)
             ratio, chunks, out = float(ratios[0]), len(ratios) - 1, int(bad[1:].sum())
             kept = not failed and not bad[0] and 2 * out <= chunks

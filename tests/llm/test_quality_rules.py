@@ -1,3 +1,4 @@
+import math
 import random
 import re
 from collections import Counter
@@ -38,3 +39,44 @@ def test_bands(spark):
     docs = spark.createDataFrame([(0, prose), (1, noise), (2, table)], "doc_id long, text string")
     kept = {r.doc_id: r.kept for r in quality_rules.quality(docs).collect()}
     assert kept == {0: True, 1: False, 2: False}
+
+
+def verdict(text):
+    """Whole text and chunks one by one against their bands, in plain words."""
+    import zstandard
+
+    data, size = text.encode(), quality_rules.CHUNK
+    pieces = [data[i : i + size] for i in range(0, len(data), size)] if len(data) > size else []
+    if pieces and len(pieces[-1]) < size // 4:
+        last = pieces.pop()
+        pieces[-1] += last
+    assert b"".join(pieces) in (data, b"")
+
+    def inside(piece):
+        x = math.log2(len(piece))
+        rows = [(math.log2(n), lo, hi) for n, lo, hi in quality_rules.BANDS]
+        if x <= rows[0][0]:
+            low, high = rows[0][1:]
+        elif x >= rows[-1][0]:
+            low, high = rows[-1][1:]
+        else:
+            a, b = next((a, b) for a, b in zip(rows, rows[1:]) if a[0] <= x <= b[0])
+            low, high = (a[k] + (b[k] - a[k]) * (x - a[0]) / (b[0] - a[0]) for k in (1, 2))
+        return low <= len(piece) / len(zstandard.ZstdCompressor(level=3).compress(piece)) <= high
+
+    return inside(data) and 2 * sum(not inside(p) for p in pieces) <= len(pieces)
+
+
+def test_kept_against_brute_force(spark):
+    """Prose, templates and noise of all lengths; many end in a short piece, which counts."""
+    pick = random.Random(8)
+    syllables = ["".join(pick.choice("etaoinshrdlucmfw") for _ in range(pick.randint(2, 3))) for _ in range(60)]
+    prose = lambda n: " ".join("".join(pick.choice(syllables) for _ in range(pick.randint(1, 4))) for _ in range(n))
+    noise = lambda n: " ".join("".join(chr(pick.randint(0x4E00, 0x9FFF)) for _ in range(12)) for _ in range(n))
+    table = lambda n: " | ".join(f"row {i % 7} cell {i % 11}" for i in range(n))
+    texts = [pick.choice([prose, noise, table])(pick.choice([5, 30, 100, 700, 900, 1500])) for _ in range(120)]
+    texts += [prose(640) + " " + noise(n) for n in (1, 10, 20, 120)] + [prose(90000), prose(700), prose(700)]
+    docs = spark.createDataFrame([(i % 90, t, 1.0) for i, t in enumerate(texts)], "doc_id long, text string, ratio double")
+    got = sorted((r.doc_id, r.n_words, r.kept) for r in quality_rules.quality(docs).collect())
+    assert got == sorted((i % 90, brute(t)[0], not brute(t)[-1] and verdict(t)) for i, t in enumerate(texts))
+    assert 20 < sum(k for *_, k in got) < 110
