@@ -3,14 +3,16 @@
 Subwords are the 3- and 4-byte stretches of the lower-cased text, letters only, hashed into
 ``BUCKETS`` rows of an embedding table. A text is the mean of its rows; a linear layer and a softmax
 give the languages. Embeddings and layer are trained by stochastic gradient descent in numpy on a
-bounded sample: at most about ``per_lang`` labelled documents of each language, of at most
-``longest`` bytes each, drawn by a hash of doc_id. A tenth of the sample sets the temperature of the
+bounded sample: about ``per_lang`` labelled documents of each of the ``most`` most frequent languages, of at most
+``longest`` bytes each, drawn by a hash of doc_id and text, and never more than twice that number. A tenth of the sample sets the temperature of the
 scores and the score below which a text is rejected, so that about one good document in a thousand
 falls below it. For prediction embeddings and layer fold into one table, so whole texts of any length cost
 a gather and a sum.
 
 A text that is null or has no letter gets ``und``, score 0, and is rejected. Null languages are not
-learned from; without any labelled text everything is ``und``.
+learned from; without any labelled text everything is ``und``. Of languages with equal scores the first by
+name is taken. Every row is judged alone and whole, however long, so repeated rows get the same result;
+``kept`` returns all columns, whatever their names.
 """
 
 from __future__ import annotations
@@ -134,14 +136,15 @@ def fit(texts: list[str], languages: list[str], epochs: int = 6, rate: float = 0
     return model
 
 
-def learn(docs: DataFrame, per_lang: int = 1500, longest: int = 20_000) -> Model:
+def learn(docs: DataFrame, per_lang: int = 1500, longest: int = 20_000, most: int = 500) -> Model:
     """Fit on the bounded sample of ``docs`` (doc_id, text, lang)."""
     labelled = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.octet_length("text") <= longest)).select("doc_id", "text", "lang")
-    counts = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    counts = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(most).collect()}
     if not counts:
         return fit([], [])
     share = F.create_map(*[x for lang, n in counts.items() for x in (F.lit(lang), F.lit(min(1.0, per_lang / n)))])
-    drawn = labelled.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < share[F.col("lang")] * (1 << 30))
+    drawn = labelled.filter(F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30)) < share[F.col("lang")] * (1 << 30))
+    drawn = drawn.limit(2 * per_lang * len(counts))  # equal rows share a hash, so all or none of them are drawn
     rows = sorted(drawn.collect(), key=lambda r: (str(r.doc_id), r.text, r["lang"]))
     order = np.random.default_rng(0).permutation(len(rows))
     return fit([rows[i].text for i in order], [rows[i]["lang"] for i in order])
