@@ -1,16 +1,21 @@
 """Log-bilinear language model: trained in numpy by noise-contrastive estimation, scored by batched matrix products.
 
 Tokens are words, ``[^\\x20\\x09-\\x0D]+`` with A-Z lower-cased, then one end for each text. The
-``CLASSES`` most frequent tokens are classes of their own, all others share one. The vector of the
-next class is predicted as the sum of the two previous classes' vectors, each scaled by its
-position's weights; its products with all classes' vectors, normalised by a softmax, give the class's
-probability. A token of the shared class is then drawn by its count plus one among those of that
-class, one more standing for all unknown tokens, so probabilities of tokens sum to one.
-
-Counts are taken over all training texts. Training is data-parallel over all of them: in each round
-every task runs stochastic steps on its share from the common parameters, and the tasks' parameters
-are averaged, weighted by tokens. Counts of the ``FREQUENT`` most frequent tokens go to every task; the
-rarer ones are joined by a shuffle. Nothing else than those and the parameters passes the driver.
+``VOCABULARY`` most frequent tokens have vectors of their own, all rarer ones share one. The vector of the
+next token is predicted as the sum of the two previous tokens' vectors, each scaled by its position's
+weights. The softmax has two levels: tokens in order of frequency are cut into classes, about as many as
+the sum of the roots of the tokens' shares, which makes the products per token fewest; products with all classes' vectors and then with
+those of the class's tokens, each normalised, give the token's probability. A token of the shared vector is
+then drawn by its count plus one among those, one more standing for all unknown tokens. So
+probabilities of tokens sum to one.
+
+Training is by noise-contrastive estimation on both levels, with noise drawn from the classes' shares and from the
+tokens' shares in the class. Counts are taken over all training texts. Training is data-parallel over
+all of them: in each round every task runs stochastic steps on its share from the common parameters and
+sends what it changed in the rows it met; each row becomes the mean over those tasks, weighted by how
+often they met it. So scores depend a little on how the table is dealt. Counts of the frequent tokens go to
+every task; the rarer ones are joined by a shuffle. Nothing else than those and the parameters passes the driver,
+both of a size that ``VOCABULARY`` bounds.
 
 A null or empty text has only its end. Rows that repeat a doc_id and text are scored alike; a null
 doc_id is never held out. Without training texts all tokens are unknown.
@@ -31,9 +36,12 @@ from pyspark.sql import functions as F
 
 from panelloom.llm.common import durable, slices
 
-#: Classes of the softmax, width of vectors, tokens whose counts go to every task, bytes of text at once.
-CLASSES, WIDTH, FREQUENT, BLOCK = 512, 16, 100_000, 2_000_000
-BATCH, NOISE, SPARSE, RATE, ROUNDS = 4096, 16, 16, 0.1, 2
+#: Tokens with vectors and with counts in every task, width of vectors, bytes of text at once.
+VOCABULARY, WIDTH, BLOCK = 150_000, 16, 2_000_000
+#: Tokens of a step, noise for each token on either level, classes drawn for all tokens of a step, step size, and rounds.
+BATCH, NOISE, WORD_NOISE, DRAWN, RATE, ROUNDS = 4096, 16, 3, 64, 0.1, 2
+#: Parameter rows that travel together, and elements of one matrix product's result.
+ROWS, ELEMENTS = 4096, 1 << 20
 END = b"\n"
 SCHEMA = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
@@ -72,165 +80,255 @@ def _counted(held: Counter) -> pa.RecordBatch:
 
 @dataclass
 class Vocabulary:
-    """Number of each frequent token by falling count; the first ``classes`` are classes, and number ``classes`` is all others."""
+    """Number of each frequent token by falling count; the number after the last is all others."""
 
     number: dict[bytes, int]
     counts: np.ndarray
     total: int
     distinct: int
-    classes: int
 
     @property
     def shares(self) -> np.ndarray:
-        own = self.counts[: self.classes].astype(float)
-        return np.append(own, self.total - own.sum()) + 1
+        """Of all tokens with a vector, then of the others together."""
+        own = self.counts.astype(float)
+        own = np.append(own, self.total - own.sum()) + 1
+        return own / own.sum()
+
+    @property
+    def edges(self) -> np.ndarray:
+        """Where the classes begin, and the end; the last class is all other tokens.
+
+        With classes of s tokens of share p a token costs p * s products, and 1 / s classes: least where s goes as the root of 1 / p.
+        """
+        many = len(self.counts)
+        roots = np.cumsum(np.sqrt(self.shares[:-1]))
+        n = max(1, round(float(roots[-1]))) if many else 0
+        cuts = np.unique(np.searchsorted(roots, np.arange(n) * (roots[-1] / n))) if many else np.zeros(0, np.int64)
+        return np.concatenate([cuts, [many, many + 1]]).astype(np.int64)
 
     @property
     def rest(self) -> float:
-        """What the tokens of the shared class are divided by."""
-        return float(self.total - self.counts[: self.classes].sum() + self.distinct - self.classes + 1)
+        """What the tokens without a vector are divided by."""
+        return float(self.total - self.counts.sum() + self.distinct - len(self.counts) + 1)
 
 
-@dataclass
 class Model:
-    context: np.ndarray  # (classes + 2, WIDTH): the last two are the shared class and the place before a text
-    output: np.ndarray  # (classes + 1, WIDTH)
-    bias: np.ndarray
-    weights: np.ndarray  # (2, WIDTH): scales of the last and of the last but one
+    """Parameters in one matrix: vectors of contexts (the last for the place before a text), of tokens with their biases, of classes
+    with theirs, and the scales of the last token and of the last but one."""
 
-    def flat(self) -> np.ndarray:
-        return np.concatenate([x.ravel() for x in (self.context, self.output, self.bias, self.weights)]).astype(np.float64)
-
-    @classmethod
-    def of(cls, flat: np.ndarray, classes: int) -> "Model":
-        sizes = [(classes + 2, WIDTH), (classes + 1, WIDTH), (classes + 1,), (2, WIDTH)]
-        edges = np.cumsum([0, *(int(np.prod(s)) for s in sizes)])
-        return cls(*(flat[a:b].reshape(s).astype(np.float32) for a, b, s in zip(edges, edges[1:], sizes, strict=False)))
+    def __init__(self, rows: np.ndarray, edges: np.ndarray):
+        self.rows, self.edges = rows, edges
+        self.tokens = int(edges[-1])
+        self.of_class = np.repeat(np.arange(len(edges) - 1), np.diff(edges))
+        a, b = self.tokens + 1, 2 * self.tokens + 1
+        self.context, self.output, self.classes, self.scales = rows[:a], rows[a:b], rows[b:-2], rows[-2:]
 
     @classmethod
     def start(cls, vocabulary: Vocabulary) -> "Model":
         """The unigram model: outputs are 0 and biases the log shares."""
-        pick, k = np.random.default_rng(3), vocabulary.classes
-        share = vocabulary.shares
-        return cls(pick.normal(0, 0.3, (k + 2, WIDTH)).astype(np.float32), np.zeros((k + 1, WIDTH), np.float32), np.log(share / share.sum()).astype(np.float32), np.ones((2, WIDTH), np.float32))
+        share, edges = vocabulary.shares, vocabulary.edges
+        tokens, classes = len(share), len(edges) - 1
+        rows = np.zeros((2 * tokens + 1 + classes + 2, WIDTH + 1), np.float32)
+        model = cls(rows, edges)
+        model.context[:, :WIDTH] = np.random.default_rng(3).normal(0, 0.3, (tokens + 1, WIDTH))
+        of = np.add.reduceat(share, edges[:-1])
+        model.output[:, WIDTH] = np.log(share / of[model.of_class])
+        model.classes[:, WIDTH] = np.log(of)
+        model.scales[:] = 1
+        return model
 
     def predicted(self, last: np.ndarray, before: np.ndarray) -> np.ndarray:
-        return self.context[last] * self.weights[0] + self.context[before] * self.weights[1]
-
-    def log_probabilities(self, last: np.ndarray, before: np.ndarray) -> np.ndarray:
-        """Natural logs of every class after each pair of classes; rows sum to one."""
-        z = self.predicted(last, before) @ self.output.T + self.bias
-        z -= z.max(axis=1, keepdims=True)
-        return z - np.log(np.exp(z).sum(axis=1, keepdims=True))
+        return self.context[last, :WIDTH] * self.scales[0, :WIDTH] + self.context[before, :WIDTH] * self.scales[1, :WIDTH]
+
+    def log_probabilities(self, target: np.ndarray, last: np.ndarray, before: np.ndarray) -> np.ndarray:
+        """Natural log of each target's probability after the two tokens before it."""
+        pairs, back = np.unique(last.astype(np.int64) * (self.tokens + 1) + before, return_inverse=True)
+        h = self.predicted(pairs // (self.tokens + 1), pairs % (self.tokens + 1))
+        of, sums = self.of_class[target], np.empty(len(pairs), np.float32)
+        step = max(1, ELEMENTS // len(self.classes))
+        for a in range(0, len(pairs), step):
+            sums[a : a + step] = _log_sums(h[a : a + step], self.classes)
+        found = _scores(h[back], self.classes[of]) - sums[back]
+        order = np.argsort(of, kind="stable")
+        ends = np.searchsorted(of[order], np.arange(len(self.edges)))
+        for c in np.flatnonzero(np.diff(self.edges) > 1).tolist():
+            own = self.output[self.edges[c] : self.edges[c + 1]]
+            step = max(1, ELEMENTS // len(own))
+            for a in range(ends[c], ends[c + 1], step):
+                here = order[a : min(a + step, ends[c + 1])]
+                x = h[back[here]]
+                found[here] += _scores(x, self.output[target[here]]) - _log_sums(x, own)
+        return found
+
+
+def _scores(h: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    return np.einsum("nd,nd->n", h, rows[:, :WIDTH]) + rows[:, WIDTH]
+
+
+def _log_sums(h: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    z = h @ rows[:, :WIDTH].T
+    z += rows[:, WIDTH]
+    most = z.max(axis=1)
+    z -= most[:, None]
+    return np.log(np.exp(z, out=z).sum(axis=1)) + most
+
+
+def _data(z: np.ndarray) -> np.ndarray:
+    """The probability that a token is data and not noise, from the difference of its log odds."""
+    return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
 class Trainer:
-    """Stochastic steps with noise-contrastive estimation, with step sizes that fall as gradients add up.
+    """Stochastic steps with noise-contrastive estimation, with step sizes that fall as gradients add up."""
 
-    Noise comes from the class shares, ``NOISE`` times each token. Its expectation over all classes is taken
-    for one in ``SPARSE`` tokens of a batch, in one matrix product, and stands for the batch.
-    """
-
-    def __init__(self, model: Model, share: np.ndarray, seed: int):
-        self.params = [x.copy() for x in (model.context, model.output, model.bias, model.weights)]
-        self.seen = [np.full(x.shape, 1.0, np.float32) for x in self.params]
-        self.noise = (NOISE * share / share.sum()).astype(np.float32)
-        self.log_noise = np.log(self.noise)
+    def __init__(self, model: Model, vocabulary: Vocabulary, seed: int):
+        self.model = Model(model.rows.copy(), model.edges)
+        self.seen = np.ones(model.rows.shape, np.float32)
+        self.met = np.zeros(len(model.rows), np.float32)
+        share = vocabulary.shares
+        of = np.add.reduceat(share, model.edges[:-1])
+        self.class_ends = np.cumsum(of)
+        self.class_noise = np.log(NOISE * of).astype(np.float32)
+        self.ends = np.append(0, np.cumsum(share))
+        self.word_noise = np.log(WORD_NOISE * share / of[self.model.of_class]).astype(np.float32)
         self.pick = np.random.default_rng(seed)
 
-    @property
-    def model(self) -> Model:
-        return Model(*self.params)
-
-    def _step(self, i, rows, grad):
-        self.seen[i][rows] += grad * grad
-        self.params[i][rows] += RATE * grad / np.sqrt(self.seen[i][rows])
-
     def add(self, last, before, target) -> None:
         """One pass over a block in random order."""
         order = self.pick.permutation(len(target))
         for start in range(0, len(order), BATCH):
             rows = order[start : start + BATCH]
-            x, y, t = last[rows], before[rows], target[rows]
-            R, Q, b, C = self.params
-            rx, ry = R[x], R[y]
-            h = rx * C[0] + ry * C[1]
-            # 1 - the probability that the token is data
-            up = 1 / (1 + np.exp(np.clip((h * Q[t]).sum(1) + b[t] - self.log_noise[t], -30, 30)))
-            some = slice(0, max(1, len(rows) // SPARSE))
-            scale = len(rows) / len(x[some])
-            down = -scale * self.noise / (1 + np.exp(-np.clip(h[some] @ Q.T + b - self.log_noise, -30, 30)))
-            back = up[:, None] * Q[t]
-            back[some] += down @ Q
-            onto = down.T @ h[some]
-            bias = down.sum(0)
-            r, moved = _summed(t, np.column_stack([up[:, None] * h, up]))
-            onto[r] += moved[:, :-1]
-            bias[r] += moved[:, -1]
-            scales = np.stack([(back * rx).sum(0), (back * ry).sum(0)])
-            m, moved = _summed(np.concatenate([x, y]), np.concatenate([back * C[0], back * C[1]]))
-            every = np.arange(len(b))
-            self._step(1, every, onto)
-            self._step(2, every, bias)
-            self._step(0, m, moved)
-            self._step(3, np.arange(2), scales)
+            self._step(last[rows], before[rows], target[rows])
+
+    def _step(self, x, y, t) -> None:
+        m, edges = self.model, self.model.edges
+        c = m.of_class[t]
+        s0, s1 = m.scales[:, :WIDTH].copy()
+        rx, ry = m.context[x, :WIDTH], m.context[y, :WIDTH]
+        h = rx * s0 + ry * s1
+        # classes: the true one of each token against classes drawn once for all tokens of the step
+        drawn = np.searchsorted(self.class_ends, self.pick.random(DRAWN) * self.class_ends[-1]).clip(max=len(self.class_ends) - 1)
+        own, others = m.classes[c], m.classes[drawn]
+        up = 1 - _data(_scores(h, own) - self.class_noise[c])
+        down = _data(h @ others[:, :WIDTH].T + (others[:, WIDTH] - self.class_noise[drawn])) * np.float32(-NOISE / DRAWN)
+        back = up[:, None] * own[:, :WIDTH] + down @ others[:, :WIDTH]
+        classes = np.concatenate([c, drawn]), np.concatenate([_with_bias(up[:, None] * h, up), _with_bias(down.T @ h, down.sum(0))])
+        # tokens: the true one against tokens drawn from its class
+        here = np.flatnonzero(edges[c + 1] - edges[c] > 1)
+        k, tt, ch = h[here], t[here], c[here]
+        low, high = self.ends[edges[ch]], self.ends[edges[ch + 1]]
+        noise = np.searchsorted(self.ends, low[:, None] + self.pick.random((len(here), WORD_NOISE)) * (high - low)[:, None], side="right") - 1
+        noise = np.clip(noise, edges[ch][:, None], edges[ch + 1][:, None] - 1)
+        own, others = m.output[tt], m.output[noise]
+        up = 1 - _data(_scores(k, own) - self.word_noise[tt])
+        down = -_data(np.einsum("nd,nkd->nk", k, others[:, :, :WIDTH]) + others[:, :, WIDTH] - self.word_noise[noise])
+        back[here] += up[:, None] * own[:, :WIDTH] + np.einsum("nk,nkd->nd", down, others[:, :, :WIDTH])
+        pull = np.concatenate([up[:, None], down], axis=1)
+        tokens = np.concatenate([tt[:, None], noise], axis=1).ravel(), _with_bias((pull[:, :, None] * k[:, None, :]).reshape(-1, WIDTH), pull.ravel())
+        contexts = np.concatenate([x, y]), _with_bias(np.concatenate([back * s0, back * s1]), 0)
+        scales = np.arange(2), _with_bias(np.stack([(back * rx).sum(0), (back * ry).sum(0)]), 0)
+        base = 0
+        for part, (at, grad) in zip((m.context, m.output, m.classes, m.scales), (contexts, tokens, classes, scales), strict=True):
+            ids, total, n = _summed(at, grad)
+            self._move(ids + base, total, n)
+            base += len(part)
+
+    def _move(self, rows, grad, n) -> None:
+        seen = self.seen[rows] + grad * grad
+        self.seen[rows] = seen
+        self.model.rows[rows] += RATE * grad / np.sqrt(seen)
+        self.met[rows] += n
+
+    def changes(self, before: np.ndarray) -> Iterator[tuple[int, bytes, bytes, bytes]]:
+        """block, places in it, how often they were met, and by how much they changed, for the rows that were met."""
+        for block in range(0, len(before), ROWS):
+            at = np.flatnonzero(self.met[block : block + ROWS])
+            if len(at):
+                moved = (self.model.rows[block + at] - before[block + at]).astype("<f2")
+                yield block // ROWS, at.astype("<u2").tobytes(), self.met[block + at].tobytes(), moved.tobytes()
+
+
+def _with_bias(vectors: np.ndarray, bias) -> np.ndarray:
+    out = np.empty((len(vectors), WIDTH + 1), np.float32)
+    out[:, :WIDTH] = vectors
+    out[:, WIDTH] = bias
+    return out
 
 
 def _summed(rows: np.ndarray, values: np.ndarray):
-    """Distinct rows and the sums of their values."""
+    """Distinct rows, the sums of their values, and how many there were."""
     sort = np.argsort(rows, kind="stable")
     r = rows[sort]
-    heads = np.flatnonzero(np.append(True, r[1:] != r[:-1]))
-    return r[heads], np.add.reduceat(values[sort], heads, axis=0)
+    heads = np.flatnonzero(np.append(True, r[1:] != r[:-1])) if len(r) else np.zeros(0, np.int64)
+    return r[heads], np.add.reduceat(values[sort], heads, axis=0) if len(r) else values[:0], np.diff(np.append(heads, len(r)))
 
 
-def _classes(vocabulary: Vocabulary, texts):
-    """Token numbers (``len(number)`` for rare ones), classes, and the classes of the two tokens before, over all texts end to end."""
-    k, many = vocabulary.classes, len(vocabulary.number)
+def _numbered(vocabulary: Vocabulary, texts):
+    """Tokens of each text, and over all texts end to end: their numbers, and the numbers of the two tokens before; where texts begin."""
+    many = len(vocabulary.number)
     get = vocabulary.number.get
     lists = [tokens(t) for t in texts]
     ids = np.fromiter((get(w, many) for words in lists for w in words), np.int32)
     lengths = np.array([len(w) for w in lists])
     starts = np.append(0, np.cumsum(lengths))[:-1]
-    own = np.minimum(ids, k)
-    last = np.append(k + 1, own[:-1])
-    last[starts] = k + 1
-    before = np.append(k + 1, last[:-1])
-    before[starts] = k + 1
-    return lists, ids, own, last, before, lengths, starts
+    last = np.append(many + 1, ids[:-1])
+    last[starts] = many + 1
+    before = np.append(many + 1, last[:-1])
+    before[starts] = many + 1
+    return lists, ids, last, before, lengths, starts
+
+
+def _mean_changes(sent: DataFrame, n_rows: int) -> np.ndarray:
+    """Over tasks, weighted by how often each met the row. Sums by block of rows, which a partition takes one after another."""
+    schema = "block int, moved binary"
+
+    def run(batches):
+        sums: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for block, at, met, moved in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                held = sums.setdefault(block, np.zeros((ROWS, WIDTH + 2)))
+                n = np.frombuffer(met, np.float32)[:, None]
+                held[np.frombuffer(at, "<u2")] += np.concatenate([n, n * np.frombuffer(moved, "<f2").reshape(len(n), -1)], axis=1)
+        data = [(x[:, 1:] / np.maximum(x[:, :1], 1)).astype("<f4").tobytes() for x in sums.values()]
+        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array(data, pa.binary())], ["block", "moved"])
+
+    blocks = -(-n_rows // ROWS)
+    parts = min(blocks, int(sent.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    found = np.zeros((blocks * ROWS, WIDTH + 1), np.float32)
+    for r in sent.repartition(parts, "block").mapInArrow(run, schema).toLocalIterator():  # a fixed number of rows
+        found[r.block * ROWS : (r.block + 1) * ROWS] = np.frombuffer(r.moved, "<f4").reshape(ROWS, -1)
+    return found[:n_rows]
 
 
 def fit(docs: DataFrame, rounds: int = ROUNDS) -> tuple[Vocabulary, Model, DataFrame]:
     """Counts over all of ``docs``, the model, and the table of counts."""
     counts = durable(token_counts(docs))
     total, distinct = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    top = counts.orderBy(F.desc("n"), "token").limit(FREQUENT).toArrow()  # a bounded number of rows
+    top = counts.orderBy(F.desc("n"), "token").limit(VOCABULARY).toArrow()  # a bounded number of rows
     number = {token: i for i, token in enumerate(top.column("token").to_pylist())}
-    vocabulary = Vocabulary(number, top.column("n").to_numpy(), int(total), int(distinct), min(CLASSES, len(number)))
+    vocabulary = Vocabulary(number, top.column("n").to_numpy(), int(total), int(distinct))
     model = Model.start(vocabulary)
     if not number:
         return vocabulary, model, counts
     context = docs.sparkSession.sparkContext
     words = context.broadcast(vocabulary)
     for turn in range(rounds):  # each round takes the texts of one hash class, so that every text is used once
-        held = context.broadcast(model.flat())
+        held = context.broadcast(model.rows)
 
         def run(batches, turn=turn, held=held):
-            trainer, n = None, 0
+            trainer = None
             for _, texts in _blocks(batches):
                 v = words.value
-                trainer = trainer or Trainer(Model.of(held.value, v.classes), v.shares, seed=turn)
-                _, _, own, last, before, _, _ = _classes(v, texts)
-                trainer.add(last, before, own)
-                n += len(own)
-            if n:
-                yield pa.RecordBatch.from_arrays([pa.array([trainer.model.flat().tolist()], pa.list_(pa.float64())), pa.array([float(n)])], ["flat", "n"])
+                trainer = trainer or Trainer(Model(held.value, v.edges), v, seed=turn)
+                _, ids, last, before, _, _ = _numbered(v, texts)
+                trainer.add(last, before, ids)
+            if trainer:
+                columns = zip(*trainer.changes(held.value), strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.int32(), *[pa.binary()] * 3), strict=True)], ["block", "at", "met", "moved"])
 
         share = docs.filter(F.pmod(F.xxhash64("doc_id", "text"), F.lit(rounds)) == turn).select("doc_id", "text")
-        found = share.mapInArrow(run, "flat array<double>, n double").select("n", F.posexplode("flat").alias("i", "x"))
-        mean = found.groupBy("i").agg((F.sum(F.col("n") * F.col("x")) / F.sum("n")).alias("x")).orderBy("i").collect()  # a row for each parameter
-        if mean:
-            model = Model.of(np.array([r.x for r in mean]), vocabulary.classes)
+        moved = _mean_changes(share.mapInArrow(run, "block int, at binary, met binary, moved binary"), len(model.rows))
+        model = Model(model.rows + moved, model.edges)
         held.unpersist()
     words.unpersist()
     return vocabulary, model, counts
@@ -238,27 +336,17 @@ def fit(docs: DataFrame, rounds: int = ROUNDS) -> tuple[Vocabulary, Model, DataF
 
 def scored(docs: DataFrame, vocabulary: Vocabulary, model: Model, counts: DataFrame, modulus: int = 7, held: int = 2) -> DataFrame:
     """The columns of SCHEMA for each document."""
-    sent = docs.sparkSession.sparkContext.broadcast((vocabulary, model.flat()))
+    sent = docs.sparkSession.sparkContext.broadcast((vocabulary, model.rows))
 
     def run(batches):
-        v, flat = sent.value
-        m, k, many = Model.of(flat, v.classes), v.classes, len(v.number)
+        v, rows = sent.value
+        m, many = Model(rows, v.edges), len(v.number)
         gain = np.append(np.log10(v.counts + 1.0), 0.0)
-        within = gain - np.log10(v.rest)
         for doc_ids, texts in _blocks(batches):
-            lists, ids, own, last, before, lengths, starts = _classes(v, texts)
-            pair = last.astype(np.int64) * (k + 2) + before
-            pairs, back = np.unique(pair, return_inverse=True)
-            order = np.argsort(back, kind="stable")
-            edges = np.searchsorted(back[order], np.arange(0, len(pairs) + 2048, 2048))
-            log_p = np.zeros(len(ids))
-            for i, (a, b) in enumerate(zip(edges, edges[1:], strict=False)):
-                chunk = pairs[i * 2048 : (i + 1) * 2048]
-                here = order[a:b]
-                table = m.log_probabilities(chunk // (k + 2), chunk % (k + 2))
-                log_p[here] = table[back[here] - i * 2048, own[here]] / np.log(10)
-            shared, rare = own == k, ids == many
-            log_p[shared] += np.where(rare[shared], -np.log10(v.rest), within[ids[shared]])
+            lists, ids, last, before, lengths, starts = _numbered(v, texts)
+            log_p = m.log_probabilities(ids, last, before).astype(float) / np.log(10)
+            rare = ids == many
+            log_p[rare] -= np.log10(v.rest)
             add = lambda x: np.add.reduceat(x, starts).tolist()
             model_sum, base, known = add(log_p), add(gain[ids]), add((~rare).astype(np.int64))
             columns: list[list] = [[] for _ in range(8)]

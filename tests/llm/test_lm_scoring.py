@@ -31,7 +31,7 @@ def rows():
 
 @pytest.mark.parametrize("frequent", [300_000, 40])
 def test_counts_base_and_gain(spark, rows, monkeypatch, frequent):
-    monkeypatch.setattr(lm_scoring, "FREQUENT", frequent)
+    monkeypatch.setattr(lm_scoring, "VOCABULARY", frequent)
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
     out = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 2, F.lit(False))
     got = lm_scoring.scored(docs, *lm_scoring.fit(docs.filter(~out))).collect()
@@ -43,13 +43,49 @@ def test_counts_base_and_gain(spark, rows, monkeypatch, frequent):
     assert sum(r.score for r in new) > sum(r.base_score for r in new)
 
 
-def test_probabilities_sum_to_one():
-    v = lm_scoring.Vocabulary({b"x": 0, b"y": 1, b"z": 2}, np.array([5, 3, 2]), 14, 6, 2)
+def random_model(counts, total, distinct):
+    v = lm_scoring.Vocabulary({b"w%d" % i: i for i in range(len(counts))}, np.array(counts), total, distinct)
     m = lm_scoring.Model.start(v)
-    m.output += np.random.default_rng(0).normal(size=m.output.shape)
-    p = np.exp(m.log_probabilities(np.array([0, 3]), np.array([1, 2])))
-    assert np.allclose(p.sum(1), 1)
-    assert math.isclose(sum((n + 1) / v.rest for n in (2, 1, 1, 2)) + 1 / v.rest, 1)  # the four tokens of the shared class, and unknown ones
+    m.rows += np.random.default_rng(0).normal(size=m.rows.shape).astype(np.float32)
+    return v, m
+
+
+def test_probabilities_sum_to_one():
+    v, m = random_model(sorted(range(1, 60), reverse=True), 1900, 80)
+    assert len(m.edges) > 5
+    for last, before in ((0, 3), (59, 60), (60, 60), (7, 58)):
+        p = np.exp(m.log_probabilities(np.arange(60), np.full(60, last), np.full(60, before)))
+        assert math.isclose(p.sum(), 1, rel_tol=1e-5)
+    # the tokens of the shared vector, and unknown ones
+    assert math.isclose((v.total - v.counts.sum() + v.distinct - 59 + 1) / v.rest, 1)
+
+
+def test_score_token_by_token(spark, rows):
+    """Scores against a plain computation, one token and one softmax at a time."""
+    docs = spark.createDataFrame([r for r in rows if r[0] != 903], "doc_id long, text string").repartition(3)
+    v, m, counts = lm_scoring.fit(docs)
+    table = {bytes(r.token): r.n for r in counts.collect()}
+    got = {(r.doc_id, r.n_tokens): r.score for r in lm_scoring.scored(docs, v, m, counts).collect()}
+    w, many = lm_scoring.WIDTH, len(v.number)
+    scores = lambda h, part: np.array([float(h @ r[:w].astype(float) + r[w]) for r in part])
+    for doc_id, text in [r for r in rows if r[0] != 903][::40] + rows[-6:-3]:
+        before, last, want = many + 1, many + 1, 0.0
+        for token in tokens(text):
+            h = m.context[last, :w].astype(float) * m.scales[0, :w] + m.context[before, :w].astype(float) * m.scales[1, :w]
+            k = v.number.get(token, many)
+            c = int(np.searchsorted(m.edges, k, side="right")) - 1
+            of, own = scores(h, m.classes), scores(h, m.output[m.edges[c] : m.edges[c + 1]])
+            want += of[c] - math.log(np.exp(of).sum()) + own[k - m.edges[c]] - math.log(np.exp(own).sum())
+            if k == many:
+                want += math.log((table.get(token, 0) + 1) / v.rest)
+            before, last = last, k
+        assert math.isclose(got[doc_id, len(tokens(text))], want / math.log(10), rel_tol=1e-4, abs_tol=1e-3), doc_id
+
+
+def test_clashing_columns(spark):
+    docs = spark.createDataFrame([(1, "some text some", 4, None), (2, None, 5, "x")], "doc_id long, text string, n long, token string")
+    got = {r.doc_id: (r.n_tokens, r.n_known) for r in lm_scoring.scored(docs, *lm_scoring.fit(docs)).collect()}
+    assert got == {1: (4, 4), 2: (1, 1)}
 
 
 def test_no_rows(spark):
