@@ -149,4 +149,5 @@ def leaks(docs: DataFrame, benchmark: DataFrame, least_similarity: float = 0.8)
 def clean(docs: DataFrame, benchmark: DataFrame, least_similarity: float = 0.8) -> DataFrame:
     """The rows of ``docs`` that hold no item."""
     found = leaks(docs, benchmark, least_similarity).select(F.col("doc_id").alias("leak_id")).distinct()
-    return docs.join(found, F.col("doc_id").eqNullSafe(F.col("leak_id")), "left_anti")
+    held = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id").alias("key"))
+    return held.join(found, F.col("key").eqNullSafe(F.col("leak_id")), "left_anti").select(*[F.col(f"row.`{c}`").alias(c) for c in docs.columns])

@@ -55,6 +55,8 @@ def test_clean_keeps_the_rest(spark):
     docs = spark.createDataFrame([(1, "x One two three, four five six seven", "a"), (2, "other words", "b"), (None, None, "c"), (1, "y", "d")], "doc_id long, text string, wanted_id string")
     assert sorted(r.wanted_id for r in decontaminate.clean(docs, items).collect()) == ["b", "c"]
     assert decontaminate.clean(docs.limit(0), items).count() == 0
+    clash = docs.withColumnRenamed("wanted_id", "leak_id")
+    assert sorted(r.leak_id for r in decontaminate.clean(clash, items).collect()) == ["b", "c"]
     assert decontaminate.clean(docs, items.limit(0)).count() == 4
 
 
