@@ -9,8 +9,10 @@ by doc_id and place, go. A chunk that only shares the hash stays.
 A passage is met only if a whole chunk lies inside it, which short passages mostly don't have.
 ``without_passages`` misses none: it takes the window from each full line to the next in place of chunks.
 
-A null text stays null; an empty one is a single empty line and stays. Rows with the same doc_id
-count as one document: they keep the first occurrence in each. All by DataFrame functions. Repeated hashes are
+A null text stays null; an empty one is a single empty line and stays. Rows with the same doc_id and
+text count as one document: they keep the first occurrence in each. Rows with one doc_id and different
+texts are documents of their own, in the order of a digest of the text. Very long texts are cut like
+others; columns of the caller pass whatever their names. All by DataFrame functions. Repeated hashes are
 broadcast up to ``BROADCAST`` of them; beyond that the join shuffles.
 """
 
@@ -50,18 +52,39 @@ def _text_of(k: Column) -> Column:
     return F.array_join(F.slice("lines", F.least(_start(k), F.size("lines")) + 1, F.get("ends", k) - _start(k) + 1), "\n")
 
 
+def _digest(text: str) -> Column:
+    return F.unhex(F.md5(text))
+
+
+def _rows_as_they_are(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    """Each row of ``docs`` in a struct ``row``, and beside it what ``gone`` has for its doc_id and text. Each text moves once, as it is."""
+    held = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id").alias("key"), _digest("text").alias("mark"))
+    gone = gone.withColumnsRenamed({"doc_id": "gone_id", "mark": "gone_mark"})
+    return held.join(gone, F.col("key").eqNullSafe(F.col("gone_id")) & (F.col("mark") == F.col("gone_mark")), "left").drop("key", "mark", "gone_id", "gone_mark")
+
+
+def _with_text(cut: DataFrame, columns: list[str], text: Column, report: Column, name: str = "line_dedup") -> DataFrame:
+    """The caller's columns, with the new text, and ``report`` under that name.
+
+    The generator over one struct is a barrier: a caller's filter on the text would otherwise be pushed below
+    the projections, and with it a copy of everything the text is made of for each time it is named.
+    """
+    one = cut.select("row", text.alias("new_text"), report.alias("report")).select("row", F.explode(F.array(F.struct("new_text", "report"))).alias("new"))
+    return one.select(*[F.col("new.new_text").alias("text") if c == "text" else F.col(f"row.`{c}`").alias(c) for c in columns], F.col("new.report").alias(name))
+
+
 def removals(docs: DataFrame, mean_lines: int = 4) -> DataFrame:
-    """doc_id and ``removed``, the sorted numbers of its chunks that occur earlier; only documents with any."""
-    cut = chunked(docs.filter(F.col("text").contains("\n")).select("doc_id", "text"), mean_lines).drop("text")
+    """doc_id, mark (a digest of the text) and ``removed``, the sorted numbers of its chunks that occur earlier; only documents with any."""
+    cut = chunked(docs.filter(F.col("text").contains("\n")).select("doc_id", _digest("text").alias("mark"), "text"), mean_lines).drop("text")
     # The chunks are built in the row and only they are exploded: a row with all lines for each chunk would be quadratic.
     built = F.transform("ends", lambda end, k: F.struct(k.alias("k"), (end - _start(k) + 1).alias("size"), _text_of(k).alias("chunk")))
     chunks = (
-        cut.select("doc_id", F.explode_outer(F.filter(built, lambda c: c["size"] > 1)).alias("c"))
-        .select("doc_id", "c.k", "c.chunk")
+        cut.select("doc_id", "mark", F.explode_outer(F.filter(built, lambda c: c["size"] > 1)).alias("c"))
+        .select("doc_id", "mark", "c.k", "c.chunk")
         .filter(F.col("chunk").rlike(r"\S"))
         .withColumn("hash", F.xxhash64("chunk"))
     )
-    place = F.struct("doc_id", "k")
+    place = F.struct("doc_id", "mark", "k")
     repeated = chunks.groupBy("hash").agg(F.min(place).alias("first"), F.max(place).alias("last")).filter(~F.col("first").eqNullSafe(F.col("last"))).select("hash", "first")
     repeated = durable(repeated)
     few = repeated.count() <= BROADCAST
@@ -69,15 +92,12 @@ def removals(docs: DataFrame, mean_lines: int = 4) -> DataFrame:
     met = chunks.join(F.broadcast(repeated) if few else repeated, "hash")
     first = met.filter(place.eqNullSafe(F.col("first"))).select("hash", F.col("chunk").alias("first_chunk")).dropDuplicates(["hash"])
     again = met.filter(~place.eqNullSafe(F.col("first"))).join(first, "hash").filter(F.col("chunk") == F.col("first_chunk"))
-    return again.groupBy("doc_id").agg(F.sort_array(F.collect_set("k")).alias("removed"))
+    return again.groupBy("doc_id", "mark").agg(F.sort_array(F.collect_set("k")).alias("removed"))
 
 
 def deduplicated(docs: DataFrame, mean_lines: int = 4) -> DataFrame:
     """``docs`` with the remaining text in ``text``, and with ``line_dedup``: a struct of n_lines, n_chunks, removed_lines, removed_chunks."""
-    gone = removals(docs, mean_lines).select(F.col("doc_id").alias("gone_id"), "removed")
-    # Only the columns of the caller and one struct leave, whatever the caller's are called.
-    held = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id").alias("key"))
-    held = held.join(gone, F.col("key").eqNullSafe(F.col("gone_id")), "left")  # each text moves once, as it is
+    held = _rows_as_they_are(docs, removals(docs, mean_lines))
     cut = chunked(held.select("row", F.col("row.text").alias("text"), "removed"), mean_lines)
     kept = F.array_except(F.sequence(F.lit(0), F.size("ends") - 1), F.coalesce("removed", F.array().cast("array<int>")))
     lines_of = lambda k: F.get("ends", k) - _start(k) + 1
@@ -89,7 +109,7 @@ def deduplicated(docs: DataFrame, mean_lines: int = 4) -> DataFrame:
         F.coalesce(F.when(F.col("removed").isNotNull(), F.size("removed")), F.lit(0)).cast("long").alias("removed_chunks"),
     )
     text = F.when(F.col("removed").isNull(), F.col("text")).otherwise(F.array_join(F.transform("kept", _text_of), "\n"))
-    return cut.select("row", text.alias("new_text"), report.alias("line_dedup")).select(*[F.col("new_text").alias("text") if c == "text" else F.col(f"row.`{c}`") for c in docs.columns], "line_dedup")
+    return _with_text(cut, docs.columns, text, report)
 
 
 def dedup_report(docs: DataFrame, mean_lines: int = 4) -> DataFrame:
@@ -100,7 +120,7 @@ def dedup_report(docs: DataFrame, mean_lines: int = 4) -> DataFrame:
 
 def passages(docs: DataFrame) -> DataFrame:
     """doc_id, mark (a digest of the text), and i, j, hash of each window: a line that isn't blank to the next that isn't."""
-    cut = docs.filter(F.col("text").contains("\n")).select("doc_id", F.unhex(F.md5("text")).alias("mark"), F.split("text", "\n", -1).alias("lines"))
+    cut = docs.filter(F.col("text").contains("\n")).select("doc_id", _digest("text").alias("mark"), F.split("text", "\n", -1).alias("lines"))
     full = F.filter(F.transform("lines", lambda x, i: F.when(x.rlike(r"\S"), i)), lambda i: i.isNotNull())
     cut = cut.withColumn("full", full).filter(F.size("full") > 1)
 
@@ -126,25 +146,22 @@ def repeated_lines(docs: DataFrame) -> DataFrame:
     return again.groupBy("doc_id", "mark").agg(F.sort_array(F.collect_set("line")).alias("gone"))
 
 
-def without_passages(docs: DataFrame) -> DataFrame:
-    """``docs`` without any line of a passage that occurs earlier, by doc_id and place, and with ``line_dedup``: a struct of n_lines, removed_lines.
+def without_passages(docs: DataFrame, name: str = "line_dedup") -> DataFrame:
+    """``docs`` without any line of a passage that occurs earlier, by doc_id and place, and a struct ``name`` of n_lines, removed_lines.
 
     A passage is a run of equal lines of which two at least aren't blank, wherever it begins and
     whatever surrounds it; every such run is made of windows from one full line to the next, so none is
     missed. A line goes if such a window about it occurs earlier without overlap; so the first occurrence
     of each line's text always stays. Rows with the same doc_id and text each keep their first occurrences.
     """
-    gone = repeated_lines(docs).select(F.col("doc_id").alias("gone_id"), F.col("mark").alias("gone_mark"), "gone")
-    held = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id").alias("key"), F.unhex(F.md5("text")).alias("mark"))
-    held = held.join(gone, F.col("key").eqNullSafe(F.col("gone_id")) & (F.col("mark") == F.col("gone_mark")), "left")
-    cut = held.withColumn("lines", F.split("row.text", "\n", -1))
+    cut = _rows_as_they_are(docs, repeated_lines(docs)).withColumn("lines", F.split("row.text", "\n", -1))
     kept = F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), "gone")
     text = F.when(F.col("gone").isNull(), F.col("row.text")).otherwise(F.array_join(F.transform(kept, lambda i: F.get("lines", i)), "\n"))
     report = F.struct(
         F.coalesce(F.when(F.col("lines").isNotNull(), F.size("lines")), F.lit(0)).cast("long").alias("n_lines"),
         F.coalesce(F.when(F.col("gone").isNotNull(), F.size("gone")), F.lit(0)).cast("long").alias("removed_lines"),
     )
-    return cut.select("row", text.alias("new_text"), report.alias("line_dedup")).select(*[F.col("new_text").alias("text") if c == "text" else F.col(f"row.`{c}`") for c in docs.columns], "line_dedup")
+    return _with_text(cut, docs.columns, text, report, name)
 
 
 def passage_report(docs: DataFrame) -> DataFrame:

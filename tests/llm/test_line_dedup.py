@@ -53,6 +53,15 @@ def test_rows_with_one_doc_id_are_one_document(spark, doc_id):
     assert {r.text for r in line_dedup.deduplicated(docs).collect()} == {"p\nq\nr\ns"}
 
 
+def test_one_doc_id_with_different_texts(spark):
+    """Chunks that one of the texts loses don't go from the other."""
+    rows = [(0, "a\nb"), (1, "a\nb"), (1, "unique\nlines here"), (None, "a\nb"), (None, "other\nlines")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    # null comes first in the order of doc_ids, as it does for Spark's min
+    assert sorted(((str(r.doc_id), r.text) for r in line_dedup.deduplicated(docs, mean_lines=1000).collect())) == sorted([("0", ""), ("1", ""), ("1", "unique\nlines here"), ("None", "a\nb"), ("None", "other\nlines")])
+    assert sorted(((str(r.doc_id), r.text) for r in line_dedup.without_passages(docs).collect())) == sorted([("0", ""), ("1", ""), ("1", "unique\nlines here"), ("None", "a\nb"), ("None", "other\nlines")])
+
+
 def brute(rows):
     """Line by line: windows between neighbouring full lines, in order of doc_id and place."""
     first, kept = {}, {}
