@@ -8,14 +8,15 @@ from pyspark.sql import functions as F
 from panelloom.llm.common import durable
 
 
-def components(links: DataFrame, rounds: int = 60) -> DataFrame:
+def components(links: DataFrame) -> DataFrame:
     """(node, component): the smallest node reachable from each node of ``links`` (a, b).
 
     Large-star and small-star steps in turn: every step moves links towards the smallest neighbour,
-    so long chains halve, and a hub's links are pre-aggregated before they are shuffled.
+    so long chains halve, and a hub's links are pre-aggregated before they are shuffled. Steps go on until
+    nothing changes. Nodes may be of any type with an order; links of a node with itself are none.
     """
     links = durable(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u > v").distinct())
-    for _ in range(rounds):
+    while True:
         both = links.union(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
         # large star: each larger neighbour of a node gets the smallest of the node's neighbours

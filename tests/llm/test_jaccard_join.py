@@ -56,10 +56,46 @@ def test_odd_rows(spark):
     docs = spark.createDataFrame([(None, "a b c d e f"), (1, "a b c d e f"), (1, "a b c d e f"), (2, None), (3, "A b c d e f")], "doc_id long, text string")
     got = sorted(map(str, (tuple(r)[:2] + (r.component_id,) for r in jaccard_join.linked(docs).collect())))
     assert got == sorted(map(str, [(None, 3, 1), (1, 3, 1), (1, 3, 1), (2, 0, 2), (3, 3, 1)]))
-    assert sorted(str(r.doc_id) for r in jaccard_join.one_of_each(docs).collect()) == ["1", "1", "2", "None"]
+    assert sorted(str(r.doc_id) for r in jaccard_join.one_of_each(docs).collect()) == ["1", "2"]  # one row of the group of five-word copies, and the null text
     assert jaccard_join.linked(docs.limit(0)).count() == 0
 
 
+def test_repeated_doc_ids_with_different_texts(spark):
+    pick = random.Random(2)
+    x, y = (" ".join(f"{k}{pick.randrange(1000)}" for _ in range(60)) for k in "xy")
+    docs = spark.createDataFrame([(5, x), (5, y), (6, x + " more"), (7, y + " more"), (None, x + " less"), (8, "other words")], "doc_id long, text string")
+    got = sorted((str(r.doc_id), r.component_id) for r in jaccard_join.linked(docs).collect())
+    assert got == sorted([("5", 5), ("5", 5), ("6", 5), ("7", 5), ("None", 5), ("8", 8)])
+    assert sorted(r.doc_id for r in jaccard_join.one_of_each(docs).collect()) == [5, 5, 8]  # x and y don't link
+
+
+def test_many_near_copies_and_a_passage_common_to_all(spark):
+    pick = random.Random(21)
+    words = [f"v{i}" for i in range(5000)]
+    base = [pick.choice(words) for _ in range(100)]
+    passage = [f"p{i}" for i in range(40)]
+    docs = []
+    for d in range(300):
+        w = list(base)
+        for _ in range(pick.choice([0, 1, 1, 2, 2, 3, 4, 5])):
+            w[pick.randrange(100)] = pick.choice(words)
+        docs.append((d, " ".join(w)))
+    docs += [(d, " ".join([*passage, *(pick.choice(words) for _ in range(pick.choice([10, 30, 90])))])) for d in range(300, 500)]
+    for n, percent in ((4, 85), (5, 80)):
+        want = brute(docs, n, percent)
+        got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.linked(spark.createDataFrame(docs, "doc_id long, text string").repartition(9), n, percent).collect()}
+        assert got == want
+        assert len({c for d, (_, c) in want.items() if d < 300}) > 20
+
+
+def test_one_of_each_with_clashing_columns(spark):
+    rows = [(1, "a b c d e f", "x", 1, None), (2, "a b c d e f", "y", 2, None), (1, "a b c d e f", "z", 3, None), (3, None, None, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, rep string, mark long, `row` string")
+    got = jaccard_join.one_of_each(docs)
+    assert got.columns == docs.columns
+    assert sorted(r.doc_id for r in got.collect()) == [1, 3]
+
+
 def test_components(spark):
     chain = [(i, i + 1) for i in range(40)] + [(100, i) for i in range(101, 140)] + [(7, 7)]
     got = dict(map(tuple, components(spark.createDataFrame(chain, "a long, b long")).collect()))
