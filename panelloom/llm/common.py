@@ -17,15 +17,22 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
-def durable(df: DataFrame) -> DataFrame:
-    """``df`` written to the folder in spark.checkpoint.dir, so later stages reread it rather than compute it again.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder in spark.checkpoint.dir. A temporary folder stands in for it on a single machine only."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder:
+        return folder
+    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    return tempfile.mkdtemp(prefix="spark-")
+
 
-    Where the setting is absent (a local session), a temporary folder stands in.
-    """
+def durable(df: DataFrame) -> DataFrame:
+    """``df`` written to the folder in spark.checkpoint.dir, so later stages reread it rather than compute it again."""
     spark = df.sparkSession
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-"))
+        context.setCheckpointDir(shared_folder(spark))
     kept = df.checkpoint(eager=True)
     # The driver drops shuffle files when it collects the plans that made them; without this they'd stay for a long query's
     # whole run. Quick steps leave little behind, so they don't pay for a collection each.
