@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+
 def steps():
     return Window.partitionBy("region").orderBy("t_idx")
 
 
-
 def length(panel: DataFrame) -> int:
     """Steps of a dense panel."""
     return panel.agg(F.max("t_idx")).first()[0] + 1
@@ -76,12 +76,16 @@ def naive(panel: DataFrame, skeleton: DataFrame, method: str) -> DataFrame:
 
 def long_predictions(panel: DataFrame, horizon: int = 7, stride: int = 1, start: int | None = None) -> DataFrame:
     """(region, fold, horizon, date, y_true, y_pred, y_last, y_prob): weekly and last-value forecasts, and the smoothed share of active days."""
-    n = length(panel)
-    start = int(0.8 * n) if start is None else start
-    share = panel.withColumn("p", (F.coalesce(F.sum((F.col("y") > 0).cast("int")).over(steps().rowsBetween(-28, -1)), F.lit(0)) + 1) / F.lit(30.0))
-    skeleton = folds(panel, start, horizon, stride, n)
-    found = at(panel, "y", "y_true", F.col("t0") + F.col("horizon") - 1, skeleton, ("event_date",))
-    found = naive_weekly(panel, found, horizon)
-    found = at(panel, "y", "y_last", F.col("t0") - 1, found)
-    found = at(share, "p", "y_prob", F.col("t0"), found)
-    return found.select("region", "fold", "horizon", F.col("event_date").alias("date"), "y_true", "y_pred", "y_last", "y_prob")
+    if horizon > 7:
+        raise ValueError("beyond seven steps the value a week earlier isn't known yet")
+    w = steps()
+    n = F.count("*").over(Window.partitionBy("region"))  # dense: every key has all steps
+    begin = F.floor(0.8 * n).cast("int") if start is None else F.lit(start)
+    share = (F.coalesce(F.sum((F.col("y") > 0).cast("int")).over(w.rowsBetween(-28, -1)), F.lit(0)) + 1) / F.lit(30.0)
+    ahead = lambda h: F.struct(F.lit(h).alias("horizon"), F.lead("event_date", h - 1).over(w).alias("date"), F.lead("y", h - 1).over(w).alias("y_true"), F.lag("y", 8 - h).over(w).alias("y_pred"))
+    # One window holds all that a forecast needs, so nothing is joined and the panel is read once.
+    held = panel.select("region", F.col("t_idx").alias("t0"), n.alias("n"), begin.alias("start"), F.lag("y", 1).over(w).alias("y_last"), share.alias("y_prob"), F.array(*map(ahead, range(1, horizon + 1))).alias("ahead"))
+    made = held.filter((F.col("t0") >= F.col("start")) & (F.col("t0") <= F.col("n") - horizon) & ((F.col("t0") - F.col("start")) % stride == 0))
+    fold = F.floor((F.col("t0") - F.col("start")) / stride).cast("int").alias("fold")
+    found = made.select("region", fold, "y_last", "y_prob", F.explode("ahead").alias("a")).filter("a.y_pred IS NOT NULL AND y_last IS NOT NULL")
+    return found.select("region", "fold", "a.horizon", "a.date", "a.y_true", "a.y_pred", "y_last", "y_prob")

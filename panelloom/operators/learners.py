@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from panelloom.operators.shared import written
+
 FEATURES = ("lag_1", "lag_7", "mean_28")
 HORIZONS = (1, 2, 3, 4, 5, 6, 7)
 
@@ -133,7 +135,8 @@ def platt(preds: DataFrame, key: str = "horizon", steps: int = 12, ridge: float
     """(key, a, b) of 1 / (1 + exp(-(a + b logit p))) fitted for all keys at once by Newton's method; five sums a key and step."""
     spark = preds.sparkSession
     z = F.ln(F.least(F.greatest(F.col("y_prob"), F.lit(1e-6)), F.lit(1 - 1e-6)) / (1 - F.least(F.greatest(F.col("y_prob"), F.lit(1e-6)), F.lit(1 - 1e-6))))
-    held = preds.groupBy(key, z.alias("z")).agg(F.sum((F.col("y_true") > 0).cast("double")).alias("pos"), F.count("*").cast("double").alias("n"))
+    # A row for each distinct score, kept: every step reads it.
+    held = written(preds.groupBy(key, z.alias("z")).agg(F.sum((F.col("y_true") > 0).cast("double")).alias("pos"), F.count("*").cast("double").alias("n")))
     both = held.groupBy(key).agg(F.sum("pos").alias("p"), F.sum("n").alias("n")).filter("p > 0 AND p < n")  # one class: no calibrator
     now = {r[key]: (0.0, 1.0) for r in both.collect()}
     for _ in range(steps):
@@ -160,38 +163,56 @@ def calibrated(preds: DataFrame, fits: DataFrame, key: str = "horizon") -> DataF
     return preds.join(F.broadcast(fits), key, "left").withColumn("y_cal", F.coalesce(value, F.col("y_prob"))).drop("a", "b")
 
 
-def pav(values: np.ndarray, weights: np.ndarray) -> np.ndarray:
-    """Pool adjacent violators: the rising step function nearest to the values."""
-    blocks: list[list[float]] = []
-    for v, w in zip(values, weights, strict=True):
-        blocks.append([v, w, 1])
-        while len(blocks) > 1 and blocks[-2][0] >= blocks[-1][0]:
-            v2, w2, n2 = blocks.pop()
-            v1, w1, n1 = blocks.pop()
-            blocks.append([(v1 * w1 + v2 * w2) / (w1 + w2), w1 + w2, n1 + n2])
-    return np.repeat([b[0] for b in blocks], [int(b[2]) for b in blocks])
+def pooled(pos: np.ndarray, n: np.ndarray) -> list:
+    """Pool adjacent violators from the left, kept for every place: the blocks of cells 0 .. i as (pos, n, blocks before), linked to those before."""
+    heads, head = [None], None
+    for p, m in zip(pos.tolist(), n.tolist(), strict=True):
+        while head is not None and head[0] * m >= p * head[1]:
+            p, m, head = p + head[0], m + head[1], head[2]
+        head = (p, m, head)
+        heads.append(head)
+    return heads
+
+
+def joined_once(scores: np.ndarray, pos: np.ndarray, n: np.ndarray, asked: np.ndarray) -> np.ndarray:
+    """(p0, p1) for each asked score: the isotonic fit's value there with one negative, and with one positive, more.
+
+    Only the new cell's own block can differ from the fits of what lies left and of what lies right of it, so it
+    grows into those from the middle; they are pooled once for all scores.
+    """
+    left = pooled(pos, n)
+    # from the right the order is turned round: what rises to the right falls to the left
+    right = pooled((n - pos)[::-1], n[::-1])
+    found = np.zeros((len(asked), 2))
+    first, last = np.searchsorted(scores, asked, "left"), np.searchsorted(scores, asked, "right")
+    for k, (a, b) in enumerate(zip(first.tolist(), last.tolist(), strict=True)):
+        for y in (0.0, 1.0):
+            p, m = y + float(pos[a:b].sum()), 1.0 + float(n[a:b].sum())
+            l, r = left[a], right[len(scores) - b]
+            while True:
+                if l is not None and l[0] * m >= p * l[1]:
+                    p, m, l = p + l[0], m + l[1], l[2]
+                elif r is not None and (r[1] - r[0]) * m <= p * r[1]:
+                    p, m, r = p + r[1] - r[0], m + r[1], r[2]
+                else:
+                    break
+            found[k, int(y)] = p / m
+    return found
 
 
 def venn_abers(train: DataFrame, test: DataFrame, key: str = "horizon", grid: int = 10_000) -> DataFrame:
     """(key, score, p): each distinct test score joined once as negative and once as positive to the isotonic fit; p1 / (1 - p0 + p1).
 
-    Scores lie on a grid, so a key's group has a bounded number of rows however long the tables.
+    Scores lie on a grid, so a key's group has a bounded number of rows however long the tables; the finer
+    the grid, the less two scores are taken as one.
     """
     score = F.round(F.col("y_prob") * grid) / grid
     cells = train.groupBy(key, score.alias("score")).agg(F.sum((F.col("y_true") > 0).cast("double")).alias("pos"), F.count("*").cast("double").alias("n"), F.lit(0).alias("asked"))
     asked = test.select(key, score.alias("score")).distinct().select(key, "score", F.lit(0.0).alias("pos"), F.lit(0.0).alias("n"), F.lit(1).alias("asked"))
 
     def fit(frame: pd.DataFrame) -> pd.DataFrame:
-        known = frame[frame.asked == 0].groupby("score")[["pos", "n"]].sum()
-        rows = []
-        for s in sorted(frame[frame.asked == 1].score.unique()):
-            ends = []
-            for y in (0.0, 1.0):
-                cell = known.copy()
-                cell.loc[s] = cell.loc[s] + [y, 1.0] if s in cell.index else [y, 1.0]
-                cell = cell.sort_index()
-                ends.append(pav((cell.pos / cell.n).to_numpy(), cell.n.to_numpy())[cell.index.get_loc(s)])
-            rows.append((frame[key].iloc[0], s, ends[1] / (1 - ends[0] + ends[1])))
-        return pd.DataFrame(rows, columns=[key, "score", "p"])
+        known, wanted = frame[frame.asked == 0].sort_values("score"), np.sort(frame[frame.asked == 1].score.unique())
+        p = joined_once(known.score.to_numpy(), known.pos.to_numpy(), known.n.to_numpy(), wanted)
+        return pd.DataFrame({key: [frame[key].iloc[0]] * len(wanted), "score": wanted, "p": p[:, 1] / (1 - p[:, 0] + p[:, 1])})
 
     return cells.unionByName(asked).groupBy(key).applyInPandas(fit, f"{key} int, score double, p double")

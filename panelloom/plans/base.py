@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import SparkSession
 
+from panelloom.operators.shared import shared_folder
+
 
 class Plans:
     """QUERIES and SQL of a module, filled by a decorator."""
@@ -28,7 +29,7 @@ class Plans:
 
 def scratch(spark: SparkSession) -> str:
     """A new folder that driver and executors share."""
-    return f"{spark.conf.get('spark.checkpoint.dir', None) or tempfile.mkdtemp(prefix='spark-')}/{uuid.uuid4().hex}"
+    return f"{shared_folder(spark)}/{uuid.uuid4().hex}"
 
 
 PANEL = """

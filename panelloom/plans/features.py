@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from panelloom.operators import backtest as bt
 from panelloom.operators import windows as w
-from panelloom.plans.base import PANEL, Plans, scratch
+from panelloom.plans.base import PANEL, Plans
 from panelloom.sources.panels import orders_panel
 
 plan = Plans()
@@ -219,5 +219,3 @@ def ts_slice_by_step(spark, sf_dir):
     t0 = int(0.8 * bt.length(panel))
     return panel.filter(F.col("t_idx") < t0 + 7).select("region", "t_idx", "y", F.when(F.col("t_idx") < t0, "context").otherwise("target").alias("part"))
 
-
-__all__ = ["QUERIES", "SQL", "scratch"]

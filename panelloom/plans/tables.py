@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import json
 
 from pyspark.sql import functions as F
 
@@ -381,4 +380,3 @@ def set_distinct_static(spark, sf_dir):
     return table(spark, sf_dir, "customer").select("c_mktsegment", "c_nationkey").dropDuplicates()
 
 
-__all__ = ["QUERIES", "SQL", "json"]
