@@ -40,6 +40,8 @@ from panelloom.llm.common import durable, slices
 VOCABULARY, WIDTH, BLOCK = 150_000, 16, 2_000_000
 #: Tokens of a step, noise for each token on either level, classes drawn for all tokens of a step, step size, and rounds.
 BATCH, NOISE, WORD_NOISE, DRAWN, RATE, ROUNDS = 4096, 16, 3, 64, 0.1, 2
+#: Tokens that a task learns from in a round, about: smaller partitions are taken together, for a mean over many short runs learns little.
+TASK_TOKENS = 1_000_000
 #: Parameter rows that travel together, and elements of one matrix product's result.
 ROWS, ELEMENTS = 4096, 1 << 20
 END = b"\n"
@@ -168,6 +170,10 @@ def _scores(h: np.ndarray, rows: np.ndarray) -> np.ndarray:
 def _log_sums(h: np.ndarray, rows: np.ndarray) -> np.ndarray:
     z = h @ rows[:, :WIDTH].T
     z += rows[:, WIDTH]
+    # Most often no score can be so large that its exponential overflows, by the lengths of the vectors; then two passes are saved.
+    longest = np.sqrt((h * h).sum(axis=1).max() * (rows[:, :WIDTH] ** 2).sum(axis=1).max())
+    if longest + np.abs(rows[:, WIDTH]).max() < 60:
+        return np.log(np.exp(z, out=z).sum(axis=1))
     most = z.max(axis=1)
     z -= most[:, None]
     return np.log(np.exp(z, out=z).sum(axis=1)) + most
@@ -183,7 +189,7 @@ class Trainer:
 
     def __init__(self, model: Model, vocabulary: Vocabulary, seed: int):
         self.model = Model(model.rows.copy(), model.edges)
-        self.seen = np.ones(model.rows.shape, np.float32)
+        self.seen = np.ones(len(model.rows), np.float32)
         self.met = np.zeros(len(model.rows), np.float32)
         share = vocabulary.shares
         of = np.add.reduceat(share, model.edges[:-1])
@@ -224,8 +230,14 @@ class Trainer:
         down = -_data(np.einsum("nd,nkd->nk", k, others[:, :, :WIDTH]) + others[:, :, WIDTH] - self.word_noise[noise])
         back[here] += up[:, None] * own[:, :WIDTH] + np.einsum("nk,nkd->nd", down, others[:, :, :WIDTH])
         pull = np.concatenate([up[:, None], down], axis=1)
-        tokens = np.concatenate([tt[:, None], noise], axis=1).ravel(), _with_bias((pull[:, :, None] * k[:, None, :]).reshape(-1, WIDTH), pull.ravel())
-        contexts = np.concatenate([x, y]), _with_bias(np.concatenate([back * s0, back * s1]), 0)
+        moved = np.empty((len(here), WORD_NOISE + 1, WIDTH + 1), np.float32)
+        np.multiply(pull[:, :, None], k[:, None, :], out=moved[:, :, :WIDTH])
+        moved[:, :, WIDTH] = pull
+        tokens = np.concatenate([tt[:, None], noise], axis=1).ravel(), moved.reshape(-1, WIDTH + 1)
+        moved = np.zeros((2, len(x), WIDTH + 1), np.float32)
+        np.multiply(back, s0, out=moved[0, :, :WIDTH])
+        np.multiply(back, s1, out=moved[1, :, :WIDTH])
+        contexts = np.concatenate([x, y]), moved.reshape(-1, WIDTH + 1)
         scales = np.arange(2), _with_bias(np.stack([(back * rx).sum(0), (back * ry).sum(0)]), 0)
         base = 0
         for part, (at, grad) in zip((m.context, m.output, m.classes, m.scales), (contexts, tokens, classes, scales), strict=True):
@@ -234,9 +246,11 @@ class Trainer:
             base += len(part)
 
     def _move(self, rows, grad, n) -> None:
-        seen = self.seen[rows] + grad * grad
+        # one step size for a row: its gradients' mean squares add up
+        seen = self.seen[rows] + np.einsum("nd,nd->n", grad, grad) / (WIDTH + 1)
         self.seen[rows] = seen
-        self.model.rows[rows] += RATE * grad / np.sqrt(seen)
+        grad *= (RATE / np.sqrt(seen))[:, None]
+        self.model.rows[rows] += grad
         self.met[rows] += n
 
     def changes(self, before: np.ndarray) -> Iterator[tuple[int, bytes, bytes, bytes]]:
@@ -257,7 +271,7 @@ def _with_bias(vectors: np.ndarray, bias) -> np.ndarray:
 
 def _summed(rows: np.ndarray, values: np.ndarray):
     """Distinct rows, the sums of their values, and how many there were."""
-    sort = np.argsort(rows, kind="stable")
+    sort = np.argsort(rows)
     r = rows[sort]
     heads = np.flatnonzero(np.append(True, r[1:] != r[:-1])) if len(r) else np.zeros(0, np.int64)
     return r[heads], np.add.reduceat(values[sort], heads, axis=0) if len(r) else values[:0], np.diff(np.append(heads, len(r)))
@@ -327,6 +341,7 @@ def fit(docs: DataFrame, rounds: int = ROUNDS) -> tuple[Vocabulary, Model, DataF
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.int32(), *[pa.binary()] * 3), strict=True)], ["block", "at", "met", "moved"])
 
         share = docs.filter(F.pmod(F.xxhash64("doc_id", "text"), F.lit(rounds)) == turn).select("doc_id", "text")
+        share = share.coalesce(max(1, -(-int(total) // (rounds * TASK_TOKENS))))
         moved = _mean_changes(share.mapInArrow(run, "block int, at binary, met binary, moved binary"), len(model.rows))
         model = Model(model.rows + moved, model.edges)
         held.unpersist()
