@@ -97,7 +97,8 @@ def shingle_sets(docs: DataFrame, n: int) -> DataFrame:
 
         def count():
             if held:
-                counts[:] += np.bincount((np.concatenate(held) >> np.uint64(64 - SLOT_BITS)).astype(np.int64), minlength=1 << SLOT_BITS).astype(np.uint32)
+                slots, times = np.unique((np.concatenate(held) >> np.uint64(64 - SLOT_BITS)).astype(np.uint32), return_counts=True)
+                counts[slots] += times.astype(np.uint32)
 
         for (doc_id, mark), texts in _texts(batches):
             sets = [shingle_hashes(t, n) for t in texts]
