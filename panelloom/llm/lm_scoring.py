@@ -9,8 +9,8 @@ those of the class's tokens, each normalised, give the token's probability. A to
 then drawn by its count plus one among those, one more standing for all unknown tokens. So
 probabilities of tokens sum to one.
 
-Training is by noise-contrastive estimation on both levels, with noise drawn from the classes' shares and from the
-tokens' shares in the class. Counts are taken over all training texts. Training is data-parallel over
+Training is by noise-contrastive estimation on both levels, with noise drawn from the classes' shares and evenly from the
+tokens of the class, for all tokens of a step that need it. Counts are taken over all training texts. Training is data-parallel over
 all of them: in each round every task runs stochastic steps on its share from the common parameters and
 sends what it changed in the rows it met; each row becomes the mean over those tasks, weighted by how
 often they met it. So scores depend a little on how the table is dealt. Counts of the frequent tokens go to
@@ -27,6 +27,7 @@ import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -38,12 +39,12 @@ from panelloom.llm.common import durable, slices
 
 #: Tokens with vectors and with counts in every task, width of vectors, bytes of text at once.
 VOCABULARY, WIDTH, BLOCK = 150_000, 16, 2_000_000
-#: Tokens of a step, noise for each token on either level, classes drawn for all tokens of a step, step size, and rounds.
-BATCH, NOISE, WORD_NOISE, DRAWN, RATE, ROUNDS = 4096, 16, 3, 64, 0.1, 2
+#: Tokens of a step, noise for each token on either level (drawn once for a class and step), classes drawn for all tokens of a step, step size, and rounds.
+BATCH, NOISE, WORD_NOISE, DRAWN, RATE, ROUNDS = 4096, 16, 12, 64, 0.2, 2
 #: Tokens that a task learns from in a round, about: smaller partitions are taken together, for a mean over many short runs learns little.
 TASK_TOKENS = 1_000_000
-#: Parameter rows that travel together, and elements of one matrix product's result.
-ROWS, ELEMENTS = 4096, 1 << 20
+#: Parameter rows that travel together, and elements of one matrix product's result, which stays in a core's cache.
+ROWS, ELEMENTS = 4096, 1 << 17
 END = b"\n"
 SCHEMA = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
@@ -140,43 +141,47 @@ class Model:
         return model
 
     def predicted(self, last: np.ndarray, before: np.ndarray) -> np.ndarray:
-        return self.context[last, :WIDTH] * self.scales[0, :WIDTH] + self.context[before, :WIDTH] * self.scales[1, :WIDTH]
+        """The vector of the next token, and 1 for its bias."""
+        h = np.ones((len(last), WIDTH + 1), np.float32)
+        h[:, :WIDTH] = self.context[last, :WIDTH] * self.scales[0, :WIDTH] + self.context[before, :WIDTH] * self.scales[1, :WIDTH]
+        return h
 
     def log_probabilities(self, target: np.ndarray, last: np.ndarray, before: np.ndarray) -> np.ndarray:
         """Natural log of each target's probability after the two tokens before it."""
         pairs, back = np.unique(last.astype(np.int64) * (self.tokens + 1) + before, return_inverse=True)
         h = self.predicted(pairs // (self.tokens + 1), pairs % (self.tokens + 1))
-        of, sums = self.of_class[target], np.empty(len(pairs), np.float32)
-        step = max(1, ELEMENTS // len(self.classes))
-        for a in range(0, len(pairs), step):
-            sums[a : a + step] = _log_sums(h[a : a + step], self.classes)
-        found = _scores(h[back], self.classes[of]) - sums[back]
-        order = np.argsort(of, kind="stable")
-        ends = np.searchsorted(of[order], np.arange(len(self.edges)))
-        for c in np.flatnonzero(np.diff(self.edges) > 1).tolist():
-            own = self.output[self.edges[c] : self.edges[c + 1]]
-            step = max(1, ELEMENTS // len(own))
-            for a in range(ends[c], ends[c + 1], step):
-                here = order[a : min(a + step, ends[c + 1])]
-                x = h[back[here]]
-                found[here] += _scores(x, self.output[target[here]]) - _log_sums(x, own)
-        return found
+        order = np.argsort(target)  # classes are runs of tokens
+        target, back = target[order], back[order]
+        of = self.of_class[target]
+        found = _scores(h[back], self.classes[of]) - _log_sums(h, self.classes)[back]
+        ends = np.searchsorted(of, np.arange(len(self.edges)))
+        for c in np.flatnonzero((np.diff(self.edges) > 1) & (np.diff(ends) > 0)).tolist():
+            here = slice(ends[c], ends[c + 1])
+            x = h[back[here]]
+            found[here] += _scores(x, self.output[target[here]]) - _log_sums(x, self.output[self.edges[c] : self.edges[c + 1]])
+        out = np.empty_like(found)
+        out[order] = found
+        return out
 
 
 def _scores(h: np.ndarray, rows: np.ndarray) -> np.ndarray:
-    return np.einsum("nd,nd->n", h, rows[:, :WIDTH]) + rows[:, WIDTH]
+    return np.einsum("nd,nd->n", h, rows)
 
 
 def _log_sums(h: np.ndarray, rows: np.ndarray) -> np.ndarray:
-    z = h @ rows[:, :WIDTH].T
-    z += rows[:, WIDTH]
+    """Log of the sum over ``rows`` of the exponentials of their scores, for each of ``h``."""
     # Most often no score can be so large that its exponential overflows, by the lengths of the vectors; then two passes are saved.
-    longest = np.sqrt((h * h).sum(axis=1).max() * (rows[:, :WIDTH] ** 2).sum(axis=1).max())
-    if longest + np.abs(rows[:, WIDTH]).max() < 60:
-        return np.log(np.exp(z, out=z).sum(axis=1))
-    most = z.max(axis=1)
-    z -= most[:, None]
-    return np.log(np.exp(z, out=z).sum(axis=1)) + most
+    longest = np.sqrt(_scores(h, h).max() * _scores(rows, rows).max())
+    step, ones, sums = max(1, ELEMENTS // len(rows)), np.ones(len(rows), np.float32), np.empty(len(h), np.float32)
+    held = np.empty((min(step, len(h)), len(rows)), np.float32)
+    for a in range(0, len(h), step):
+        x = h[a : a + step]
+        z = np.matmul(x, rows.T, out=held[: len(x)])
+        most = None if longest < 60 else z.max(axis=1)
+        if most is not None:
+            z -= most[:, None]
+        sums[a : a + step] = np.log(np.exp(z, out=z) @ ones) + (0 if most is None else most)
+    return sums
 
 
 def _data(z: np.ndarray) -> np.ndarray:
@@ -195,8 +200,7 @@ class Trainer:
         of = np.add.reduceat(share, model.edges[:-1])
         self.class_ends = np.cumsum(of)
         self.class_noise = np.log(NOISE * of).astype(np.float32)
-        self.ends = np.append(0, np.cumsum(share))
-        self.word_noise = np.log(WORD_NOISE * share / of[self.model.of_class]).astype(np.float32)
+        self.word_noise = np.log(WORD_NOISE / np.diff(model.edges)).astype(np.float32)
         self.pick = np.random.default_rng(seed)
 
     def add(self, last, before, target) -> None:
@@ -208,40 +212,51 @@ class Trainer:
 
     def _step(self, x, y, t) -> None:
         m, edges = self.model, self.model.edges
+        order = np.argsort(t)  # equal tokens come together, and so do those of a class
+        x, y, t = x[order], y[order], t[order]
         c = m.of_class[t]
         s0, s1 = m.scales[:, :WIDTH].copy()
         rx, ry = m.context[x, :WIDTH], m.context[y, :WIDTH]
-        h = rx * s0 + ry * s1
+        h = np.ones((len(t), WIDTH + 1), np.float32)
+        h[:, :WIDTH] = rx * s0 + ry * s1
         # classes: the true one of each token against classes drawn once for all tokens of the step
         drawn = np.searchsorted(self.class_ends, self.pick.random(DRAWN) * self.class_ends[-1]).clip(max=len(self.class_ends) - 1)
+        heads, many = _runs(c)
         own, others = m.classes[c], m.classes[drawn]
         up = 1 - _data(_scores(h, own) - self.class_noise[c])
-        down = _data(h @ others[:, :WIDTH].T + (others[:, WIDTH] - self.class_noise[drawn])) * np.float32(-NOISE / DRAWN)
-        back = up[:, None] * own[:, :WIDTH] + down @ others[:, :WIDTH]
-        classes = np.concatenate([c, drawn]), np.concatenate([_with_bias(up[:, None] * h, up), _with_bias(down.T @ h, down.sum(0))])
-        # tokens: the true one against tokens drawn from its class
+        down = _data(h @ others.T - self.class_noise[drawn]) * np.float32(-NOISE / DRAWN)
+        back = up[:, None] * own + down @ others
+        classes = np.append(c[heads], drawn), np.concatenate([np.add.reduceat(up[:, None] * h, heads), down.T @ h]), np.append(many, np.ones(DRAWN))
+        # tokens: the true one against tokens drawn from its class, for each class of more than one
         here = np.flatnonzero(edges[c + 1] - edges[c] > 1)
-        k, tt, ch = h[here], t[here], c[here]
-        low, high = self.ends[edges[ch]], self.ends[edges[ch + 1]]
-        noise = np.searchsorted(self.ends, low[:, None] + self.pick.random((len(here), WORD_NOISE)) * (high - low)[:, None], side="right") - 1
-        noise = np.clip(noise, edges[ch][:, None], edges[ch + 1][:, None] - 1)
-        own, others = m.output[tt], m.output[noise]
-        up = 1 - _data(_scores(k, own) - self.word_noise[tt])
-        down = -_data(np.einsum("nd,nkd->nk", k, others[:, :, :WIDTH]) + others[:, :, WIDTH] - self.word_noise[noise])
-        back[here] += up[:, None] * own[:, :WIDTH] + np.einsum("nk,nkd->nd", down, others[:, :, :WIDTH])
-        pull = np.concatenate([up[:, None], down], axis=1)
-        moved = np.empty((len(here), WORD_NOISE + 1, WIDTH + 1), np.float32)
-        np.multiply(pull[:, :, None], k[:, None, :], out=moved[:, :, :WIDTH])
-        moved[:, :, WIDTH] = pull
-        tokens = np.concatenate([tt[:, None], noise], axis=1).ravel(), moved.reshape(-1, WIDTH + 1)
-        moved = np.zeros((2, len(x), WIDTH + 1), np.float32)
-        np.multiply(back, s0, out=moved[0, :, :WIDTH])
-        np.multiply(back, s1, out=moved[1, :, :WIDTH])
-        contexts = np.concatenate([x, y]), moved.reshape(-1, WIDTH + 1)
-        scales = np.arange(2), _with_bias(np.stack([(back * rx).sum(0), (back * ry).sum(0)]), 0)
+        tokens = t[:0], h[:0], many[:0]
+        if len(here):
+            k, tt, ch = h[here], t[here], c[here]
+            heads, many = _runs(ch)
+            low, sizes = edges[ch[heads]], np.diff(edges)[ch[heads]]
+            noise = low[:, None] + (self.pick.random((len(heads), WORD_NOISE)) * sizes[:, None]).astype(np.int64)
+            own, others = m.output[tt], m.output[noise]
+            runs = [slice(a, b) for a, b in zip(heads.tolist(), (heads + many).tolist(), strict=True)]
+            z, pulled, pushed = np.empty((len(k), WORD_NOISE), np.float32), np.empty_like(k), np.empty_like(others)
+            for run, rows in zip(runs, others, strict=True):
+                np.matmul(k[run], rows.T, out=z[run])
+            up = 1 - _data(_scores(k, own) - self.word_noise[ch])
+            down = _data(z - self.word_noise[ch][:, None]) * np.float32(-1)
+            for run, rows, push in zip(runs, others, pushed, strict=True):
+                np.matmul(down[run], rows, out=pulled[run])
+                np.matmul(down[run].T, k[run], out=push)
+            back[here] += up[:, None] * own + pulled
+            first, times = _runs(tt)
+            grads = np.concatenate([np.add.reduceat(up[:, None] * k, first), pushed.reshape(-1, WIDTH + 1)])
+            tokens = np.append(tt[first], noise), grads, np.append(times, np.repeat(many, WORD_NOISE))
+        back[:, WIDTH] = 0  # contexts have no bias
+        s0, s1 = np.append(s0, np.float32(0)), np.append(s1, np.float32(0))
+        contexts = np.concatenate([x, y]), np.concatenate([back * s0, back * s1]), np.ones(2 * len(x))
+        scales = np.arange(2), np.zeros((2, WIDTH + 1), np.float32), np.full(2, len(x))
+        scales[1][:, :WIDTH] = np.einsum("nd,nd->d", back[:, :WIDTH], rx), np.einsum("nd,nd->d", back[:, :WIDTH], ry)
         base = 0
-        for part, (at, grad) in zip((m.context, m.output, m.classes, m.scales), (contexts, tokens, classes, scales), strict=True):
-            ids, total, n = _summed(at, grad)
+        for part, sent in zip((m.context, m.output, m.classes, m.scales), (contexts, tokens, classes, scales), strict=True):
+            ids, total, n = _summed(*sent)
             self._move(ids + base, total, n)
             base += len(part)
 
@@ -262,19 +277,19 @@ class Trainer:
                 yield block // ROWS, at.astype("<u2").tobytes(), self.met[block + at].tobytes(), moved.tobytes()
 
 
-def _with_bias(vectors: np.ndarray, bias) -> np.ndarray:
-    out = np.empty((len(vectors), WIDTH + 1), np.float32)
-    out[:, :WIDTH] = vectors
-    out[:, WIDTH] = bias
-    return out
+def _runs(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where runs of equal values begin, and how long they are."""
+    heads = np.flatnonzero(np.append(True, values[1:] != values[:-1])) if len(values) else np.zeros(0, np.int64)
+    return heads, np.diff(np.append(heads, len(values)))
 
 
-def _summed(rows: np.ndarray, values: np.ndarray):
-    """Distinct rows, the sums of their values, and how many there were."""
+def _summed(rows: np.ndarray, values: np.ndarray, times: np.ndarray):
+    """Distinct rows, and the sums of their values and of their times."""
+    if not len(rows):
+        return rows, values, times
     sort = np.argsort(rows)
-    r = rows[sort]
-    heads = np.flatnonzero(np.append(True, r[1:] != r[:-1])) if len(r) else np.zeros(0, np.int64)
-    return r[heads], np.add.reduceat(values[sort], heads, axis=0) if len(r) else values[:0], np.diff(np.append(heads, len(r)))
+    heads, _ = _runs(rows[sort])
+    return rows[sort][heads], np.add.reduceat(values[sort], heads, axis=0), np.add.reduceat(times[sort], heads)
 
 
 def _numbered(vocabulary: Vocabulary, texts):
@@ -282,7 +297,7 @@ def _numbered(vocabulary: Vocabulary, texts):
     many = len(vocabulary.number)
     get = vocabulary.number.get
     lists = [tokens(t) for t in texts]
-    ids = np.fromiter((get(w, many) for words in lists for w in words), np.int32)
+    ids = np.fromiter(map(get, chain.from_iterable(lists), repeat(many)), np.int32)
     lengths = np.array([len(w) for w in lists])
     starts = np.append(0, np.cumsum(lengths))[:-1]
     last = np.append(many + 1, ids[:-1])
