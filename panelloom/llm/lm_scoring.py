@@ -186,7 +186,10 @@ def _log_sums(h: np.ndarray, rows: np.ndarray) -> np.ndarray:
 
 def _data(z: np.ndarray) -> np.ndarray:
     """The probability that a token is data and not noise, from the difference of its log odds."""
-    return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+    odds = np.clip(z, -30, 30)
+    np.exp(np.negative(odds, out=odds), out=odds)
+    odds += 1
+    return np.reciprocal(odds, out=odds)
 
 
 class Trainer:
@@ -372,6 +375,12 @@ def scored(docs: DataFrame, vocabulary: Vocabulary, model: Model, counts: DataFr
         v, rows = sent.value
         m, many = Model(rows, v.edges), len(v.number)
         gain = np.append(np.log10(v.counts + 1.0), 0.0)
+        kinds = [pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64()]
+
+        def batch_of(*columns):
+            arrays = [c if isinstance(c, pa.Array) else pa.array(c, k) for c, k in zip(columns, kinds, strict=True)]
+            return pa.RecordBatch.from_arrays(arrays, ["doc_id", "mark", "token", "times", "n_tokens", "known", "base", "model"])
+
         for doc_ids, texts in _blocks(batches):
             lists, ids, last, before, lengths, starts = _numbered(v, texts)
             log_p = m.log_probabilities(ids, last, before).astype(float) / np.log(10)
@@ -379,22 +388,16 @@ def scored(docs: DataFrame, vocabulary: Vocabulary, model: Model, counts: DataFr
             log_p[rare] -= np.log10(v.rest)
             add = lambda x: np.add.reduceat(x, starts).tolist()
             model_sum, base, known = add(log_p), add(gain[ids]), add((~rare).astype(np.int64))
-            columns: list[list] = [[] for _ in range(8)]
+            marks = [zlib.crc32(text or b"") << 32 | len(text or b"") & 0x7FFFFFFF for text in texts]
+            ids_of, marks = pa.array(doc_ids, pa.int64()), pa.array(np.array(marks, np.uint64).view(np.int64))
+            # the head row's token can't be a word; it holds the doc_id only so that heads spread over partitions
+            ones, heads = np.ones(len(texts), np.int64), [END + str(doc_id).encode() for doc_id in doc_ids]
+            yield batch_of(ids_of, marks, heads, ones, lengths, known, base, model_sum)
             at = np.flatnonzero(rare)
-            of = np.searchsorted(starts, at, side="right") - 1
-            rare_of: dict[int, Counter] = {}
-            for place, d in zip(at.tolist(), of.tolist(), strict=True):
-                rare_of.setdefault(d, Counter())[lists[d][place - starts[d]]] += 1
-            for d, (doc_id, text) in enumerate(zip(doc_ids, texts, strict=True)):
-                mark = zlib.crc32(text or b"") << 32 | len(text or b"") & 0x7FFFFFFF
-                mark = mark - (1 << 64) if mark >> 63 else mark
-                # the head row's token can't be a word; it holds the doc_id only so that heads spread over partitions
-                rows = [(doc_id, mark, END + str(doc_id).encode(), 1, int(lengths[d]), known[d], base[d], model_sum[d])]
-                rows += [(doc_id, mark, w, n, None, None, None, None) for w, n in rare_of.get(d, {}).items()]
-                for c, x in zip(columns, zip(*rows, strict=True), strict=True):
-                    c.extend(x)
-            kinds = [pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], ["doc_id", "mark", "token", "times", "n_tokens", "known", "base", "model"])
+            of, words = np.searchsorted(starts, at, side="right") - 1, list(chain.from_iterable(lists))
+            times = Counter(zip(of.tolist(), (words[i] for i in at.tolist()), strict=True))
+            of = pa.array([d for d, _ in times], pa.int64())
+            yield batch_of(ids_of.take(of), marks.take(of), [w for _, w in times], list(times.values()), *[pa.nulls(len(of), k) for k in kinds[4:]])
 
     rows = docs.select("doc_id", "text").mapInArrow(run, "doc_id long, mark long, token binary, times long, n_tokens long, known long, base double, model double")
     rare = rows.join(counts, "token", "left")
