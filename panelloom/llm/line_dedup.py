@@ -7,7 +7,8 @@ documents by hash; those met again are compared byte by byte with the first, and
 by doc_id and place, go. A chunk that only shares the hash stays.
 
 A passage is met only if a whole chunk lies inside it, which short passages mostly don't have.
-``without_passages`` misses none: it takes the window from each full line to the next in place of chunks.
+``without_passages`` misses none: every line that isn't blank is a border there, and a chunk runs from one
+border to the next, both inside, so that even a passage of two lines holds a chunk whatever surrounds it.
 
 A null text stays null; an empty one is a single empty line and stays. Rows with the same doc_id and
 text count as one document: they keep the first occurrence in each. Rows with one doc_id and different
@@ -84,15 +85,19 @@ def removals(docs: DataFrame, mean_lines: int = 4) -> DataFrame:
         .filter(F.col("chunk").rlike(r"\S"))
         .withColumn("hash", F.xxhash64("chunk"))
     )
-    place = F.struct("doc_id", "mark", "k")
+    return _again(chunks, "k").groupBy("doc_id", "mark").agg(F.sort_array(F.collect_set("k")).alias("removed"))
+
+
+def _again(chunks: DataFrame, *columns: str) -> DataFrame:
+    """Those of ``chunks`` whose bytes occur at an earlier place, by doc_id, mark and ``columns``; beside each, the ``first`` place."""
+    place = F.struct("doc_id", "mark", *columns)
     repeated = chunks.groupBy("hash").agg(F.min(place).alias("first"), F.max(place).alias("last")).filter(~F.col("first").eqNullSafe(F.col("last"))).select("hash", "first")
     repeated = durable(repeated)
     few = repeated.count() <= BROADCAST
     # Where the repeated hashes are few enough to be sent to every task, only chunks that are met again move; else all are shuffled.
     met = chunks.join(F.broadcast(repeated) if few else repeated, "hash")
     first = met.filter(place.eqNullSafe(F.col("first"))).select("hash", F.col("chunk").alias("first_chunk")).dropDuplicates(["hash"])
-    again = met.filter(~place.eqNullSafe(F.col("first"))).join(first, "hash").filter(F.col("chunk") == F.col("first_chunk"))
-    return again.groupBy("doc_id", "mark").agg(F.sort_array(F.collect_set("k")).alias("removed"))
+    return met.filter(~place.eqNullSafe(F.col("first"))).join(first, "hash").filter(F.col("chunk") == F.col("first_chunk"))
 
 
 def deduplicated(docs: DataFrame, mean_lines: int = 4) -> DataFrame:
@@ -119,30 +124,25 @@ def dedup_report(docs: DataFrame, mean_lines: int = 4) -> DataFrame:
 
 
 def passages(docs: DataFrame) -> DataFrame:
-    """doc_id, mark (a digest of the text), and i, j, hash of each window: a line that isn't blank to the next that isn't."""
+    """doc_id, mark (a digest of the text), and i, j, chunk, hash of each window: a line that isn't blank to the next that isn't."""
     cut = docs.filter(F.col("text").contains("\n")).select("doc_id", _digest("text").alias("mark"), F.split("text", "\n", -1).alias("lines"))
     full = F.filter(F.transform("lines", lambda x, i: F.when(x.rlike(r"\S"), i)), lambda i: i.isNotNull())
     cut = cut.withColumn("full", full).filter(F.size("full") > 1)
 
     def window(i, k):
         j = F.get("full", k + 1)
-        # ``lines`` is named twice, as in _text_of; 256 bits stand for the window's bytes
+        # ``lines`` is named twice, as in _text_of
         text = F.array_join(F.slice("lines", F.least(i, F.size("lines")) + 1, j - i + 1), "\n")
-        return F.struct(i.alias("i"), j.alias("j"), F.unhex(F.sha2(text, 256)).alias("hash"))
+        return F.struct(i.alias("i"), j.alias("j"), text.alias("chunk"))
 
     built = F.transform(F.slice("full", 1, F.size("full") - 1), window)
-    return cut.select("doc_id", "mark", F.explode(built).alias("w")).select("doc_id", "mark", "w.i", "w.j", "w.hash")
+    return cut.select("doc_id", "mark", F.explode(built).alias("w")).select("doc_id", "mark", "w.i", "w.j", "w.chunk").withColumn("hash", _digest("chunk"))
 
 
 def repeated_lines(docs: DataFrame) -> DataFrame:
     """doc_id, mark and ``gone``, the sorted numbers of its lines in windows that occur earlier; only documents with any."""
-    windows = passages(docs)
-    place = F.struct("doc_id", "mark", "i", "j")
-    repeated = windows.groupBy("hash").agg(F.min(place).alias("first"), F.max(place).alias("last")).filter(~F.col("first").eqNullSafe(F.col("last"))).select("hash", "first")
-    repeated = durable(repeated)
-    met = windows.join(F.broadcast(repeated) if repeated.count() <= BROADCAST else repeated, "hash")
     inside = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("mark") == F.col("first.mark")) & (F.col("i") <= F.col("first.j"))  # the first, or one that overlaps it
-    again = met.filter(~inside).select("doc_id", "mark", F.explode(F.sequence("i", "j")).alias("line"))
+    again = _again(passages(docs), "i", "j").filter(~inside).select("doc_id", "mark", F.explode(F.sequence("i", "j")).alias("line"))
     return again.groupBy("doc_id", "mark").agg(F.sort_array(F.collect_set("line")).alias("gone"))
 
 
@@ -194,3 +194,26 @@ SELECT d.doc_id,
 FROM documents d LEFT JOIN ranked r ON r.doc_id = d.doc_id
 GROUP BY d.doc_id
 """
+
+#: ``passage_report`` for DuckDB.
+PASSAGE_SQL = r"""
+WITH lines AS (
+  SELECT doc_id, unnest(str_split(text, chr(10))) AS line, generate_subscripts(str_split(text, chr(10)), 1) AS i
+  FROM documents WHERE text IS NOT NULL),
+numbered AS (
+  SELECT *, sum(CASE WHEN regexp_matches(line, '\S') THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY i) AS g FROM lines),
+units AS (
+  SELECT doc_id, g, min(i) AS i, arg_min(line, i) AS line, string_agg(line, chr(10) ORDER BY i) AS unit FROM numbered WHERE g > 0 GROUP BY doc_id, g),
+windows AS (
+  SELECT doc_id, i, lead(i) OVER w AS j, unit || chr(10) || lead(line) OVER w AS passage FROM units WINDOW w AS (PARTITION BY doc_id ORDER BY g)),
+placed AS (
+  SELECT *, first_value(doc_id) OVER p AS first_doc, first_value(j) OVER p AS first_j FROM windows WHERE j IS NOT NULL WINDOW p AS (PARTITION BY passage ORDER BY doc_id, i)),
+gone AS (
+  SELECT DISTINCT doc_id, unnest(range(i, j + 1)) AS i FROM placed WHERE doc_id <> first_doc OR i > first_j)
+SELECT d.doc_id,
+       count(l.i)::BIGINT AS n_lines,
+       count(g.i)::BIGINT AS removed_lines,
+       md5(CASE WHEN any_value(d.text) IS NOT NULL THEN coalesce(string_agg(l.line, chr(10) ORDER BY l.i) FILTER (WHERE g.i IS NULL), '') END) AS kept_md5
+FROM documents d LEFT JOIN lines l ON l.doc_id = d.doc_id LEFT JOIN gone g ON g.doc_id = l.doc_id AND g.i = l.i
+GROUP BY d.doc_id
+"""

@@ -33,10 +33,6 @@ def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_dedup.dedup_report(documents(spark, sf_dir))
-
-
-def op5_passage_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.passage_report(documents(spark, sf_dir))
 
 
@@ -63,5 +59,5 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_codec.round_trip(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
-QUERIES = {f.__name__: f for f in (op1_lm_scoring, op2_token_counts, op3_decontaminate, op4_sharding, op5_line_dedup, op5_passage_dedup, op6_suffix_dedup, op7_jaccard_join, op8_quality_rules, op9_language_id, op10_byte_bpe)}
-SQL: dict[str, str] = {"op5_line_dedup": line_dedup.SQL}
+QUERIES = {f.__name__: f for f in (op1_lm_scoring, op2_token_counts, op3_decontaminate, op4_sharding, op5_line_dedup, op6_suffix_dedup, op7_jaccard_join, op8_quality_rules, op9_language_id, op10_byte_bpe)}
+SQL: dict[str, str] = {"op5_line_dedup": line_dedup.PASSAGE_SQL}

@@ -31,6 +31,16 @@ def test_against_sql(spark):
     assert sorted(map(str, map(tuple, got.select(columns).collect()))) == sorted(map(str, want))
 
 
+def test_passages_against_sql(spark):
+    import pandas as pd
+
+    rows = [*table(), (908, "a\n\nb\nc"), (909, "x\na\n\nb"), (910, "a\nb\na\nb\na")]
+    documents = pd.DataFrame(rows, columns=["doc_id", "text"])  # noqa: F841
+    want = duckdb.sql(line_dedup.PASSAGE_SQL)
+    got = line_dedup.passage_report(spark.createDataFrame(rows, "doc_id long, text string").repartition(5))
+    assert sorted(map(str, map(tuple, got.select(want.columns).collect()))) == sorted(map(str, want.fetchall()))
+
+
 def test_shared_passage_goes_once_and_borders_resist_shifts(spark):
     rows = table()
     kept = {r.doc_id: r.text for r in line_dedup.deduplicated(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
