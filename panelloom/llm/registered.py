@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelloom.llm import bpe_codec, decontaminate, jaccard_join, language_id, line_dedup, lm_scoring, quality_rules, sharding, suffix_dedup, token_counts
+from panelloom.llm import bpe_codec, decontaminate, filter_audit, jaccard_join, language_id, line_dedup, lm_scoring, packing, quality_rules, sharding, source_divergence, suffix_dedup, token_counts
 from panelloom.llm.common import documents
 
 
@@ -59,5 +59,17 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_codec.round_trip(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
-QUERIES = {f.__name__: f for f in (op1_lm_scoring, op2_token_counts, op3_decontaminate, op4_sharding, op5_line_dedup, op6_suffix_dedup, op7_jaccard_join, op8_quality_rules, op9_language_id, op10_byte_bpe)}
-SQL: dict[str, str] = {"op5_line_dedup": line_dedup.PASSAGE_SQL}
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_divergence.divergences(documents(spark, sf_dir), least=3, ranks=200)
+
+
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def op13_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.packed(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"), capacity=1024, end=2)
+
+
+QUERIES = {f.__name__: f for f in (op1_lm_scoring, op2_token_counts, op3_decontaminate, op4_sharding, op5_line_dedup, op6_suffix_dedup, op7_jaccard_join, op8_quality_rules, op9_language_id, op10_byte_bpe, op11_source_divergence, op12_filter_audit, op13_packing)}
+SQL: dict[str, str] = {"op5_line_dedup": line_dedup.PASSAGE_SQL, "op11_source_divergence": source_divergence.SQL, "op12_filter_audit": filter_audit.SQL}
