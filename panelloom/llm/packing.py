@@ -81,7 +81,7 @@ class Encoder:
                     found.append(self.special[part])
                 else:
                     for piece in self._pattern.findall(part):
-                        found += self.library.encode_single_piece(piece)
+                        found += self.library._encode_single_piece(piece)
             return np.array(found, np.uint32)
 
 
