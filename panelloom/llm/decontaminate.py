@@ -10,7 +10,10 @@ the pigeonhole principle every pair within ``BLOCKS * (FLIPS + 1) - 1`` bits mee
 within that radius are verified: the weighted Jaccard similarity (sums of least and of largest counts)
 of the shingles themselves must be ``least_similarity`` or more.
 
-An item of fewer than five words is looked for as one shingle of its own length. A null or empty text, or item, matches nothing. Rows with the same doc_id count as one document.
+An item of fewer than five words is looked for as one shingle of its own length. A null or empty text, or item, matches nothing. A document is
+its doc_id, which may be null, and a digest of its text: rows that repeat both are one document, rows with one doc_id, or none, and
+different texts are documents of their own, and the fate of one doesn't touch the other. Very long texts are searched whole; the windows tried for
+an item are at most as many as the words of text and item together. Other columns may have any name.
 All by DataFrame functions. Items' shingles are broadcast up to ``BROADCAST`` of them, candidate
 documents up to ``BROADCAST`` ids; beyond that the joins shuffle.
 """
@@ -29,6 +32,10 @@ RADIUS = BLOCKS * (FLIPS + 1) - 1
 _BITS = 64 // BLOCKS
 
 
+def _digest(text: str) -> Column:
+    return F.unhex(F.md5(text))
+
+
 def _hash(parts: list[Column]) -> Column:
     """Of words' hashes; absent ones don't count."""
     return F.xxhash64(*parts)
@@ -79,7 +86,13 @@ def similarity(a: str, b: str) -> Column:
 
 def leaks(docs: DataFrame, benchmark: DataFrame, least_similarity: float = 0.8) -> DataFrame:
     """doc_id, item_id, start_word, n_words, hamming, similarity: for each document and item in it, the best window."""
-    spark = docs.sparkSession
+    return _found(docs, benchmark, least_similarity).drop("mark")
+
+
+def _found(docs: DataFrame, benchmark: DataFrame, least_similarity: float) -> DataFrame:
+    """As ``leaks``, with ``mark``, a digest of the text."""
+    spark, of = docs.sparkSession, ["doc_id", "mark"]
+    docs = docs.select("doc_id", _digest("text").alias("mark"), "text")
     items = durable(_worded(benchmark, ["item_id"]).withColumn("fingerprint", simhash("shingles")).withColumn("size", F.size("words")))
     item_shingles = items.select("item_id", "size", F.size("shingles").alias("of"), F.posexplode_outer("shingles").alias("item_place", "shingle"))
     n_shingles = item_shingles.count()
@@ -87,22 +100,22 @@ def leaks(docs: DataFrame, benchmark: DataFrame, least_similarity: float = 0.8)
 
     short = tuple(sorted(r["size"] for r in items.filter(F.col("size") < SHINGLE).select("size").distinct().collect()))  # four at most
     # The outer form: the inner one pushes a filter on the array's size below, where the hashes would be computed anew for each place.
-    worded = _worded(docs, ["doc_id"], short)
-    places = worded.select("doc_id", F.size("shingles").alias("own"), F.posexplode_outer("shingles").alias("place", "shingle"))
+    worded = _worded(docs, of, short)
+    places = worded.select(*of, F.size("shingles").alias("own"), F.posexplode_outer("shingles").alias("place", "shingle"))
     if short:
-        places = places.union(worded.select("doc_id", F.size("shingles").alias("own"), F.explode_outer("brief").alias("b")).select("doc_id", "own", "b.place", "b.shingle")).filter("shingle IS NOT NULL")
+        places = places.union(worded.select(*of, F.size("shingles").alias("own"), F.explode_outer("brief").alias("b")).select(*of, "own", "b.place", "b.shingle")).filter("shingle IS NOT NULL")
     hits = places.join(F.broadcast(item_shingles) if n_shingles <= BROADCAST else item_shingles, "shingle")
     starts = (
-        hits.groupBy("doc_id", "item_id", "size", "of")
+        hits.groupBy(*of, "item_id", "size", "of")
         .agg(F.min("own").alias("own"), F.countDistinct("item_place").alias("met"), F.collect_set(F.col("place") - F.col("item_place")).alias("starts"))
         .filter(F.col("met") >= F.ceil((F.col("of") + F.least("own", "of")) * share - 1e-9))
-        .groupBy("doc_id")
+        .groupBy(*of)
         .agg(F.collect_list(F.struct("item_id", "size", "starts")).alias("wanted"))
     )
     starts = durable(starts)  # a row for each document that holds most of an item
-    wanted = starts.withColumnRenamed("doc_id", "wanted_id")
+    wanted = starts.withColumnsRenamed({"doc_id": "wanted_id", "mark": "wanted_mark"})
     few = starts.count() <= BROADCAST
-    held = docs.select("doc_id", "text").join(F.broadcast(wanted) if few else wanted, F.col("doc_id").eqNullSafe(F.col("wanted_id")))
+    held = docs.join(F.broadcast(wanted) if few else wanted, F.col("doc_id").eqNullSafe(F.col("wanted_id")) & (F.col("mark") == F.col("wanted_mark")))
 
     # Windows are built in the row and only they are exploded: all words beside each window would be quadratic.
     first = lambda want, s: F.greatest(F.least(s, F.size("words") - want["size"]), F.lit(0))
@@ -115,10 +128,10 @@ def leaks(docs: DataFrame, benchmark: DataFrame, least_similarity: float = 0.8)
     word = lambda k: F.get("window", F.lit(k))
     whole = F.array(_hash([F.when(word(k).isNotNull(), F.xxhash64(word(k))) for k in range(SHINGLE)]))
     windows = (
-        _worded(held, ["doc_id", "wanted"])
-        .select("doc_id", F.explode_outer(F.flatten(F.transform("wanted", lambda want: F.transform(want["starts"], window(want))))).alias("w"))
-        .select("doc_id", "w.*")
-        .dropDuplicates(["doc_id", "size", "start", "window"])
+        _worded(held, [*of, "wanted"])
+        .select(*of, F.explode_outer(F.flatten(F.transform("wanted", lambda want: F.transform(want["starts"], window(want))))).alias("w"))
+        .select(*of, "w.*")
+        .dropDuplicates([*of, "size", "start", "window"])
         .withColumn("shingles", F.when(F.size("window") < SHINGLE, whole).otherwise(F.col("shingles")))
         .withColumn("fingerprint", simhash("shingles"))
     )
@@ -130,12 +143,12 @@ def leaks(docs: DataFrame, benchmark: DataFrame, least_similarity: float = 0.8)
         part = items.select("item_id", "size", F.lit(b).alias("block"), _block("fingerprint", b).alias("value"), F.col("fingerprint").alias("item_fingerprint"))
         listed = part if listed is None else listed.union(part)
     index = listed.crossJoin(F.broadcast(flip)).withColumn("value", F.col("value").bitwiseXOR(F.col("flip"))).drop("flip")  # a fixed number of rows for each item
-    cut = windows.select("doc_id", "size", "start", "window", "fingerprint", F.posexplode(F.array(*[_block("fingerprint", b) for b in range(BLOCKS)])).alias("block", "value"))
+    cut = windows.select(*of, "size", "start", "window", "fingerprint", F.posexplode(F.array(*[_block("fingerprint", b) for b in range(BLOCKS)])).alias("block", "value"))
     met = (
         cut.join(index, ["size", "block", "value"])
         .withColumn("hamming", F.bit_count(F.col("fingerprint").bitwiseXOR(F.col("item_fingerprint"))))
         .filter(F.col("hamming") <= RADIUS)
-        .dropDuplicates(["doc_id", "item_id", "start", "window"])
+        .dropDuplicates([*of, "item_id", "start", "window"])
     )
     verified = (
         met.join(items.select("item_id", F.col("words").alias("item_words")), "item_id")
@@ -143,11 +156,12 @@ def leaks(docs: DataFrame, benchmark: DataFrame, least_similarity: float = 0.8)
         .filter(F.col("similarity") >= least_similarity)
     )
     best = F.max(F.struct("similarity", -F.col("start"), F.size("window").alias("n"), "hamming"))
-    return verified.groupBy("doc_id", "item_id").agg(best.alias("b")).select("doc_id", "item_id", (-F.col("b.col2")).alias("start_word"), F.col("b.n").alias("n_words"), "b.hamming", "b.similarity")
+    return verified.groupBy(*of, "item_id").agg(best.alias("b")).select(*of, "item_id", (-F.col("b.col2")).alias("start_word"), F.col("b.n").alias("n_words"), "b.hamming", "b.similarity")
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, least_similarity: float = 0.8) -> DataFrame:
     """The rows of ``docs`` that hold no item."""
-    found = leaks(docs, benchmark, least_similarity).select(F.col("doc_id").alias("leak_id")).distinct()
-    held = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id").alias("key"))
-    return held.join(found, F.col("key").eqNullSafe(F.col("leak_id")), "left_anti").select(*[F.col(f"row.`{c}`").alias(c) for c in docs.columns])
+    found = _found(docs, benchmark, least_similarity).select(F.col("doc_id").alias("leak_id"), F.col("mark").alias("leak_mark")).distinct()
+    held = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id").alias("key"), _digest("text").alias("mark"))
+    same = F.col("key").eqNullSafe(F.col("leak_id")) & (F.col("mark") == F.col("leak_mark"))
+    return held.join(found, same, "left_anti").select(*[F.col(f"row.`{c}`").alias(c) for c in docs.columns])
