@@ -1,14 +1,15 @@
 """Removal of multi-line chunks that occur elsewhere, with content-defined chunk borders.
 
-A text is cut at newlines. A chunk ends after a line if a rolling hash over the hashes of that line
-and the one before it is 0 modulo ``mean_lines``, or if the text ends, so an inserted or lost line
-moves at most the borders beside it. Chunks of two or more lines, not all blank, are counted over all
-documents by hash; those met again are compared byte by byte with the first, and all but the first,
-by doc_id and place, go. A chunk that only shares the hash stays.
+A text is cut at newlines. A rolling hash over the hashes of each full line, one that isn't blank, and of the full line before it
+chooses borders: one bit of it says in which of ``CHUNKINGS``, two, the line is a border. A chunk runs from a
+full line to the next border of a chunking after it, both inside, and no further than ``MOST`` full lines. So where a chunk ends
+depends on lines inside it alone: an inserted or lost line, or other surroundings, move no other border, and the two chunkings are complements, so that
+even a passage of two full lines holds a whole chunk of one of them, whatever surrounds it. Chunks are known by 128 bits of their
+lines' hashes; those that are met again are compared byte by byte with the first, by doc_id and place, and the lines of all but the first go. A chunk that
+only shares the hash stays.
 
-A passage is met only if a whole chunk lies inside it, which short passages mostly don't have.
-``without_passages`` misses none: every line that isn't blank is a border there, and a chunk runs from one
-border to the next, both inside, so that even a passage of two lines holds a chunk whatever surrounds it.
+As every chunk is made of chunks of two full lines, and those are never missed, the lines that go are those of any passage of two full lines
+or more that occurs earlier, which is how the SQL puts it.
 
 A null text stays null; an empty one is a single empty line and stays. Rows with the same doc_id and
 text count as one document: they keep the first occurrence in each. Rows with one doc_id and different
@@ -26,35 +27,60 @@ from panelloom.llm.common import durable
 
 #: Most repeated hashes that are broadcast.
 BROADCAST = 500_000
+#: Values of the bit that chooses borders, its place in the rolling hash, and most full lines of a chunk.
+CHUNKINGS, BIT, MOST = 2, 5, 8
 
 
-def _cut(mean_lines: int) -> tuple[Column, Column, Column, Column]:
-    """Lines of ``text``, their hashes, whether a chunk ends after each, and the places where one does."""
-    lines = F.split("text", "\n", -1)
-    # 28 bits of MD5, for a hash that other SQL engines have too
-    marks = F.transform("lines", lambda x: F.conv(F.substring(F.md5(x), 1, 7), 16, 10).cast("long"))
-    rolled = F.transform("marks", lambda m, i: (i == F.size("marks") - 1) | ((i > 0) & ((m * 31 + F.get("marks", i - 1)) % mean_lines == 0)))
-    ends = F.filter(F.transform("rolled", lambda r, i: F.when(r, i)), lambda i: i.isNotNull())
-    return lines, marks, rolled, ends
-
+def _digest(text: str) -> Column:
+    return F.unhex(F.md5(text))
 
-def chunked(docs: DataFrame, mean_lines: int = 4) -> DataFrame:
-    """``docs`` with ``lines`` and ``ends``; texts that are null have null in both."""
-    cut = _cut(mean_lines)
-    return docs.withColumn("lines", cut[0]).withColumn("marks", cut[1]).withColumn("rolled", cut[2]).withColumn("ends", cut[3]).drop("marks", "rolled")
 
+def rolled(before: Column, mark: Column) -> Column:
+    """A cyclic polynomial over two lines' hashes: the one before is rotated by a bit."""
+    return F.shiftleft(before, 1).bitwiseOR(F.shiftrightunsigned(before, 63)).bitwiseXOR(mark)
 
-def _start(k: Column) -> Column:
-    return F.coalesce(F.get("ends", k - 1) + 1, F.lit(0))
 
+def chunks(docs: DataFrame, with_text: bool = False) -> DataFrame:
+    """doc_id, mark (a digest of the text), and i, j (first and last line), high, low (its hash) and maybe ``chunk`` of each chunk."""
+    cut = docs.filter(F.col("text").contains("\n")).select("doc_id", _digest("text").alias("mark"), F.split("text", "\n", -1).alias("lines"))
+    full = F.filter(F.transform("lines", lambda x, i: F.when(x.rlike(r"\S"), i)), lambda i: i.isNotNull())
+    cut = cut.withColumn("full", full).filter(F.size("full") > 1).withColumn("marks", F.transform("lines", lambda x: F.xxhash64(x)))
+    mark_at = lambda k: F.get("marks", F.get("full", k))
+    bit = lambda k: F.shiftrightunsigned(rolled(mark_at(k - 1), mark_at(k)), BIT) % CHUNKINGS
+    cut = cut.withColumn("kind", F.transform("full", lambda i, k: F.when(k > 0, bit(k))))
+
+    def chunk(i, j):
+        own = F.slice("marks", i + 1, j - i + 1)
+        # ``lines`` is named twice, so that the optimizer keeps it as a column instead of splitting the text again for each chunk
+        text = [F.array_join(F.slice("lines", F.least(i, F.size("lines")) + 1, j - i + 1), "\n").alias("chunk")] * with_text
+        return F.struct(i.alias("i"), j.alias("j"), F.xxhash64(own).alias("high"), F.xxhash64(F.lit(1), own).alias("low"), *text)
+
+    def started(i, k):
+        """The chunk to the next line, which is a border of one chunking, and that to the next border of the other."""
+        other = F.coalesce(*[F.when(F.get("kind", k + d) != F.get("kind", k + 1), F.get("full", k + d)) for d in range(2, MOST)], F.get("full", k + MOST - 1))
+        return F.array(chunk(i, F.get("full", k + 1)), F.when(other.isNotNull(), chunk(i, other)))
 
-def _text_of(k: Column) -> Column:
-    # ``lines`` is named twice, so that the optimizer keeps it as a column instead of splitting the text again for each chunk
-    return F.array_join(F.slice("lines", F.least(_start(k), F.size("lines")) + 1, F.get("ends", k) - _start(k) + 1), "\n")
+    # The chunks are built in the row and only they are exploded: a row with all lines for each chunk would be quadratic.
+    built = F.flatten(F.transform(F.slice("full", 1, F.size("full") - 1), started))
+    return cut.select("doc_id", "mark", F.explode(built).alias("c")).filter("c IS NOT NULL").select("doc_id", "mark", "c.*")
 
 
-def _digest(text: str) -> Column:
-    return F.unhex(F.md5(text))
+def repeated_lines(docs: DataFrame) -> DataFrame:
+    """doc_id, mark and ``gone``, the sorted numbers of its lines in chunks that occur earlier; only documents with any."""
+    name, place = ["high", "low"], F.struct("doc_id", "mark", "i", "j")
+    slim = chunks(docs)
+    again = durable(slim.groupBy(*name).count().filter("count > 1").select(*name))
+    few = again.count() <= BROADCAST
+    again = F.broadcast(again) if few else again
+    # Where the repeated hashes are few enough to be sent to every task, only chunks that are met again move; else all are shuffled.
+    first = slim.join(again, name).groupBy(*name).agg(F.min(place).alias("first"), F.max(place).alias("last"))
+    first = durable(first.filter(~F.col("first").eqNullSafe(F.col("last"))).select(*name, "first"))
+    met = chunks(docs, with_text=True).join(F.broadcast(first) if few else first, name)
+    text = met.filter(place.eqNullSafe(F.col("first"))).select(*name, F.col("chunk").alias("first_chunk")).dropDuplicates(name)
+    later = met.filter(~place.eqNullSafe(F.col("first"))).join(text, name).filter(F.col("chunk") == F.col("first_chunk"))
+    inside = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("mark") == F.col("first.mark")) & (F.col("i") <= F.col("first.j"))  # the first, or one that overlaps it
+    lines = later.filter(~inside).select("doc_id", "mark", F.explode(F.sequence("i", "j")).alias("line"))
+    return lines.groupBy("doc_id", "mark").agg(F.sort_array(F.collect_set("line")).alias("gone"))
 
 
 def _rows_as_they_are(docs: DataFrame, gone: DataFrame) -> DataFrame:
@@ -74,84 +100,12 @@ def _with_text(cut: DataFrame, columns: list[str], text: Column, report: Column,
     return one.select(*[F.col("new.new_text").alias("text") if c == "text" else F.col(f"row.`{c}`").alias(c) for c in columns], F.col("new.report").alias(name))
 
 
-def removals(docs: DataFrame, mean_lines: int = 4) -> DataFrame:
-    """doc_id, mark (a digest of the text) and ``removed``, the sorted numbers of its chunks that occur earlier; only documents with any."""
-    cut = chunked(docs.filter(F.col("text").contains("\n")).select("doc_id", _digest("text").alias("mark"), "text"), mean_lines).drop("text")
-    # The chunks are built in the row and only they are exploded: a row with all lines for each chunk would be quadratic.
-    built = F.transform("ends", lambda end, k: F.struct(k.alias("k"), (end - _start(k) + 1).alias("size"), _text_of(k).alias("chunk")))
-    chunks = (
-        cut.select("doc_id", "mark", F.explode_outer(F.filter(built, lambda c: c["size"] > 1)).alias("c"))
-        .select("doc_id", "mark", "c.k", "c.chunk")
-        .filter(F.col("chunk").rlike(r"\S"))
-        .withColumn("hash", F.xxhash64("chunk"))
-    )
-    return _again(chunks, "k").groupBy("doc_id", "mark").agg(F.sort_array(F.collect_set("k")).alias("removed"))
-
-
-def _again(chunks: DataFrame, *columns: str) -> DataFrame:
-    """Those of ``chunks`` whose bytes occur at an earlier place, by doc_id, mark and ``columns``; beside each, the ``first`` place."""
-    place = F.struct("doc_id", "mark", *columns)
-    repeated = chunks.groupBy("hash").agg(F.min(place).alias("first"), F.max(place).alias("last")).filter(~F.col("first").eqNullSafe(F.col("last"))).select("hash", "first")
-    repeated = durable(repeated)
-    few = repeated.count() <= BROADCAST
-    # Where the repeated hashes are few enough to be sent to every task, only chunks that are met again move; else all are shuffled.
-    met = chunks.join(F.broadcast(repeated) if few else repeated, "hash")
-    first = met.filter(place.eqNullSafe(F.col("first"))).select("hash", F.col("chunk").alias("first_chunk")).dropDuplicates(["hash"])
-    return met.filter(~place.eqNullSafe(F.col("first"))).join(first, "hash").filter(F.col("chunk") == F.col("first_chunk"))
-
-
-def deduplicated(docs: DataFrame, mean_lines: int = 4) -> DataFrame:
-    """``docs`` with the remaining text in ``text``, and with ``line_dedup``: a struct of n_lines, n_chunks, removed_lines, removed_chunks."""
-    held = _rows_as_they_are(docs, removals(docs, mean_lines))
-    cut = chunked(held.select("row", F.col("row.text").alias("text"), "removed"), mean_lines)
-    kept = F.array_except(F.sequence(F.lit(0), F.size("ends") - 1), F.coalesce("removed", F.array().cast("array<int>")))
-    lines_of = lambda k: F.get("ends", k) - _start(k) + 1
-    cut = cut.withColumn("kept", F.when(F.col("lines").isNotNull(), kept))
-    report = F.struct(
-        F.coalesce(F.when(F.col("lines").isNotNull(), F.size("lines")), F.lit(0)).cast("long").alias("n_lines"),
-        F.coalesce(F.when(F.col("lines").isNotNull(), F.size("ends")), F.lit(0)).cast("long").alias("n_chunks"),
-        F.coalesce(F.aggregate("removed", F.lit(0), lambda a, k: a + lines_of(k)), F.lit(0)).cast("long").alias("removed_lines"),
-        F.coalesce(F.when(F.col("removed").isNotNull(), F.size("removed")), F.lit(0)).cast("long").alias("removed_chunks"),
-    )
-    text = F.when(F.col("removed").isNull(), F.col("text")).otherwise(F.array_join(F.transform("kept", _text_of), "\n"))
-    return _with_text(cut, docs.columns, text, report)
-
-
-def dedup_report(docs: DataFrame, mean_lines: int = 4) -> DataFrame:
-    """doc_id, n_lines, n_chunks, removed_lines, removed_chunks, kept_md5 (of the remaining text) for each document."""
-    found = deduplicated(docs.select("doc_id", "text"), mean_lines)
-    return found.select("doc_id", "line_dedup.*", F.md5("text").alias("kept_md5"))
-
-
-def passages(docs: DataFrame) -> DataFrame:
-    """doc_id, mark (a digest of the text), and i, j, chunk, hash of each window: a line that isn't blank to the next that isn't."""
-    cut = docs.filter(F.col("text").contains("\n")).select("doc_id", _digest("text").alias("mark"), F.split("text", "\n", -1).alias("lines"))
-    full = F.filter(F.transform("lines", lambda x, i: F.when(x.rlike(r"\S"), i)), lambda i: i.isNotNull())
-    cut = cut.withColumn("full", full).filter(F.size("full") > 1)
-
-    def window(i, k):
-        j = F.get("full", k + 1)
-        # ``lines`` is named twice, as in _text_of
-        text = F.array_join(F.slice("lines", F.least(i, F.size("lines")) + 1, j - i + 1), "\n")
-        return F.struct(i.alias("i"), j.alias("j"), text.alias("chunk"))
-
-    built = F.transform(F.slice("full", 1, F.size("full") - 1), window)
-    return cut.select("doc_id", "mark", F.explode(built).alias("w")).select("doc_id", "mark", "w.i", "w.j", "w.chunk").withColumn("hash", _digest("chunk"))
-
-
-def repeated_lines(docs: DataFrame) -> DataFrame:
-    """doc_id, mark and ``gone``, the sorted numbers of its lines in windows that occur earlier; only documents with any."""
-    inside = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("mark") == F.col("first.mark")) & (F.col("i") <= F.col("first.j"))  # the first, or one that overlaps it
-    again = _again(passages(docs), "i", "j").filter(~inside).select("doc_id", "mark", F.explode(F.sequence("i", "j")).alias("line"))
-    return again.groupBy("doc_id", "mark").agg(F.sort_array(F.collect_set("line")).alias("gone"))
-
-
 def without_passages(docs: DataFrame, name: str = "line_dedup") -> DataFrame:
     """``docs`` without any line of a passage that occurs earlier, by doc_id and place, and a struct ``name`` of n_lines, removed_lines.
 
     A passage is a run of equal lines of which two at least aren't blank, wherever it begins and
-    whatever surrounds it; every such run is made of windows from one full line to the next, so none is
-    missed. A line goes if such a window about it occurs earlier without overlap; so the first occurrence
+    whatever surrounds it; chunks of the two chunkings lie in every such run and cover it, so none is
+    missed. A line goes if a chunk about it occurs earlier without overlap; so the first occurrence
     of each line's text always stays. Rows with the same doc_id and text each keep their first occurrences.
     """
     cut = _rows_as_they_are(docs, repeated_lines(docs)).withColumn("lines", F.split("row.text", "\n", -1))
@@ -169,32 +123,6 @@ def passage_report(docs: DataFrame) -> DataFrame:
     return without_passages(docs.select("doc_id", "text")).select("doc_id", "line_dedup.*", F.md5("text").alias("kept_md5"))
 
 
-#: ``dedup_report`` for DuckDB, with mean_lines 4.
-SQL = r"""
-WITH lines AS (
-  SELECT doc_id, unnest(str_split(text, chr(10))) AS line, generate_subscripts(str_split(text, chr(10)), 1) AS i,
-         len(str_split(text, chr(10))) AS n
-  FROM documents WHERE text IS NOT NULL),
-marked AS (SELECT *, ('0x' || substr(md5(line), 1, 7))::BIGINT AS m FROM lines),
-flagged AS (
-  SELECT *, CASE WHEN i = n THEN 1 WHEN i > 1 AND (m * 31 + lag(m) OVER (PARTITION BY doc_id ORDER BY i)) % 4 = 0 THEN 1 ELSE 0 END AS last_line
-  FROM marked),
-numbered AS (
-  SELECT *, coalesce(sum(last_line) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS k FROM flagged),
-chunks AS (
-  SELECT doc_id, k, string_agg(line, chr(10) ORDER BY i) AS chunk, count(*) AS size FROM numbered GROUP BY doc_id, k),
-ranked AS (
-  SELECT *, size > 1 AND regexp_matches(chunk, '\S') AND row_number() OVER (PARTITION BY chunk ORDER BY doc_id, k) > 1 AS gone FROM chunks)
-SELECT d.doc_id,
-       coalesce(sum(r.size), 0)::BIGINT AS n_lines,
-       count(r.k)::BIGINT AS n_chunks,
-       coalesce(sum(r.size) FILTER (WHERE r.gone), 0)::BIGINT AS removed_lines,
-       count(r.k) FILTER (WHERE r.gone)::BIGINT AS removed_chunks,
-       md5(CASE WHEN any_value(d.text) IS NOT NULL THEN coalesce(string_agg(r.chunk, chr(10) ORDER BY r.k) FILTER (WHERE NOT r.gone), '') END) AS kept_md5
-FROM documents d LEFT JOIN ranked r ON r.doc_id = d.doc_id
-GROUP BY d.doc_id
-"""
-
 #: ``passage_report`` for DuckDB.
 PASSAGE_SQL = r"""
 WITH lines AS (

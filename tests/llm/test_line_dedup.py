@@ -20,17 +20,6 @@ def table(seed=7):
     return rows + [(900, rows[0][1]), (901, None), (902, ""), (903, "\n\n\n\n\n"), (904, "\n\n\n\n\n"), (905, "a\nb"), (906, "a\nb"), (907, "z\n" * 20000)]
 
 
-def test_against_sql(spark):
-    import pandas as pd
-
-    rows = table()
-    documents = pd.DataFrame(rows, columns=["doc_id", "text"])  # noqa: F841
-    want = duckdb.sql(line_dedup.SQL).fetchall()
-    got = line_dedup.dedup_report(spark.createDataFrame(rows, "doc_id long, text string").repartition(5))
-    columns = duckdb.sql(line_dedup.SQL).columns
-    assert sorted(map(str, map(tuple, got.select(columns).collect()))) == sorted(map(str, want))
-
-
 def test_passages_against_sql(spark):
     import pandas as pd
 
@@ -43,24 +32,53 @@ def test_passages_against_sql(spark):
 
 def test_shared_passage_goes_once_and_borders_resist_shifts(spark):
     rows = table()
-    kept = {r.doc_id: r.text for r in line_dedup.deduplicated(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    assert len(kept[900]) < len(rows[0][1]) / 2  # an exact copy of document 0: chunks of one line stay
+    kept = {r.doc_id: r.text for r in line_dedup.without_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert len(kept[900]) < len(rows[0][1]) / 2  # an exact copy of document 0
     whole = sum("\n".join(f"shared {i}" for i in range(4, 12)) in (t or "") for t in kept.values())
     assert whole == 1 and kept[0] == rows[0][1]
     assert kept[901] is None and kept[902] == "" and kept[905] == "a\nb"
 
 
+def test_borders_depend_on_lines_inside_alone(spark):
+    """A passage's own chunks are the same whatever surrounds it, and an inserted line changes only chunks about it."""
+    passage = [f"line {i} of the passage" for i in range(40)]
+    texts = ["\n".join(passage), "\n".join(["x", "y", *passage, "z"]), "\n".join([*passage[:20], "new", *passage[20:]])]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = {k: {r.chunk for r in line_dedup.chunks(docs, with_text=True).collect() if r.doc_id == k} for k in range(3)}
+    assert found[0] <= found[1] and all("new" in c or c in found[0] for c in found[2])
+    assert len(found[0] - found[2]) <= line_dedup.MOST * 2
+    lengths = [c.count("\n") + 1 for c in found[0]]
+    assert min(lengths) == 2 and 2 < max(lengths) <= line_dedup.MOST
+    # every pair of neighbours is a chunk, and there are at most two chunks for a line
+    assert all(f"{a}\n{b}" in found[0] for a, b in zip(passage, passage[1:])) and len(lengths) < 80
+
+
+def test_a_shared_hash_is_no_repetition(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    docs = spark.createDataFrame([(1, "a\nb"), (2, "c\nd"), (3, "a\nb")], "doc_id long, text string")
+    whole = line_dedup.chunks
+    monkeypatch.setattr(line_dedup, "chunks", lambda *a, **k: whole(*a, **k).withColumn("high", F.lit(0)).withColumn("low", F.lit(0)))
+    assert sorted(r.text for r in line_dedup.without_passages(docs).collect()) == ["", "a\nb", "c\nd"]
+
+
+def test_more_repeated_hashes_than_are_sent(spark, monkeypatch):
+    monkeypatch.setattr(line_dedup, "BROADCAST", 0)
+    rows = [r for r in table() if r[0] != 907]
+    assert {r.doc_id: r.text for r in line_dedup.without_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()} == brute(rows)
+
+
 def test_other_columns_pass_and_may_clash(spark):
     docs = spark.createDataFrame([(1, "a\nb\nc", "x", 3), (2, "a\nb\nc", "y", None)], "doc_id long, text string, lines string, k int")
-    got = line_dedup.deduplicated(docs)
+    got = line_dedup.without_passages(docs)
     assert got.columns == ["doc_id", "text", "lines", "k", "line_dedup"] and got.count() == 2
-    assert line_dedup.dedup_report(docs.limit(0)).count() == 0
+    assert line_dedup.passage_report(docs.limit(0)).count() == 0
 
 
 @pytest.mark.parametrize("doc_id", [1, None])
 def test_rows_with_one_doc_id_are_one_document(spark, doc_id):
     docs = spark.createDataFrame([(doc_id, "p\nq\nr\ns")] * 2, "doc_id long, text string")
-    assert {r.text for r in line_dedup.deduplicated(docs).collect()} == {"p\nq\nr\ns"}
+    assert {r.text for r in line_dedup.without_passages(docs).collect()} == {"p\nq\nr\ns"}
 
 
 def test_one_doc_id_with_different_texts(spark):
@@ -68,7 +86,6 @@ def test_one_doc_id_with_different_texts(spark):
     rows = [(0, "a\nb"), (1, "a\nb"), (1, "unique\nlines here"), (None, "a\nb"), (None, "other\nlines")]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     # null comes first in the order of doc_ids, as it does for Spark's min
-    assert sorted(((str(r.doc_id), r.text) for r in line_dedup.deduplicated(docs, mean_lines=1000).collect())) == sorted([("0", ""), ("1", ""), ("1", "unique\nlines here"), ("None", "a\nb"), ("None", "other\nlines")])
     assert sorted(((str(r.doc_id), r.text) for r in line_dedup.without_passages(docs).collect())) == sorted([("0", ""), ("1", ""), ("1", "unique\nlines here"), ("None", "a\nb"), ("None", "other\nlines")])
 
 
