@@ -12,8 +12,10 @@ ASCII white space, A-Z lower-cased; fewer words make one shingle. Two documents
    prefixes, but only where the partner's size lies in a band that the shingle's place still allows.
 4. First each group is compared with ``LEADERS`` others, those it shares most shingles with among the holders
    in whose order each shingle comes first. That links a large group of near copies to its centre, in a star.
-5. Then groups of different components that still meet are expanded to members and verified, all of them.
-   Pairs inside a component could add no document to it; a shingle held by one component makes no pair.
+5. Then groups of different components that still meet are expanded to members. Pairs inside a component could add no document to it; a
+   shingle held by one component makes no pair. Each text has a sketch, one bit of parity for each slot that its shingles' hashes fall into,
+   about as many as it has shingles: where two sketches differ in more bits than sets that link can differ in shingles, the pair can't link,
+   whatever shingles it shares. What templates make of frequent shingles ends here, without loss; all the rest is verified.
 
 A null or empty text, or one without words, has an empty set, stands alone and links with nothing.
 Rows with one doc_id and different texts are documents of their own that share that id; repeated rows
@@ -65,6 +67,43 @@ def shingle_hashes(text: bytes | None, n: int) -> np.ndarray:
     return np.unique(total ^ (total >> np.uint64(31)))
 
 
+def parities(hashes: np.ndarray) -> bytes:
+    """A bit for each slot of the hashes' last bits: whether an odd number of them falls into it. As many slots as hashes, or more, by powers of two."""
+    slots = max(64, 1 << int(len(hashes) - 1).bit_length()) if len(hashes) else 64
+    odd = np.bincount((hashes & np.uint64(slots - 1)).astype(np.int64), minlength=slots) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
+
+
+def least_difference(a: list[bytes], b: list[bytes]) -> np.ndarray:
+    """For pairs of sketches: in how many shingles the sets differ at least. A larger sketch is folded; parities of folded slots add up."""
+    found, by = np.zeros(len(a), np.int64), {}
+    for i, (x, y) in enumerate(zip(a, b, strict=True)):
+        by.setdefault((len(x), len(y)), []).append(i)
+    for sizes, at in by.items():
+        x, y = (np.frombuffer(b"".join(z[i] for i in at), np.uint64).reshape(len(at), -1) for z in (a, b))
+        while x.shape[1] > y.shape[1]:
+            x = x[:, : x.shape[1] // 2] ^ x[:, x.shape[1] // 2 :]
+        while y.shape[1] > x.shape[1]:
+            y = y[:, : y.shape[1] // 2] ^ y[:, y.shape[1] // 2 :]
+        found[at] = np.bitwise_count(x ^ y).sum(axis=1)
+    return found
+
+
+def _alike(pairs: DataFrame, percent: int) -> DataFrame:
+    """Of pairs a, b with sizes and sketches, those that may link: sets whose sketches don't differ in more than they may themselves."""
+
+    def run(batches):
+        for batch in batches:
+            a, b, sx, sy, x, y = batch.columns
+            for i, j in slices([2 * len(z) for z in x.to_pylist()], BLOCK):
+                both = (sx.slice(i, j - i).to_numpy() + sy.slice(i, j - i).to_numpy()).astype(np.int64)
+                most = both - 2 * -(-both * percent // (100 + percent))
+                keep = pa.array(least_difference(x.slice(i, j - i).to_pylist(), y.slice(i, j - i).to_pylist()) <= most)
+                yield pa.RecordBatch.from_arrays([a.slice(i, j - i).filter(keep), b.slice(i, j - i).filter(keep)], ["a", "b"])
+
+    return pairs.select("a", "b", "sx", "sy", "sketch_x", "sketch_y").mapInArrow(run, "a binary, b binary")
+
+
 def prefix_length(size: int, percent: int) -> int:
     return size - -(-percent * size // 100) + 1
 
@@ -144,15 +183,16 @@ def commonness(counted: DataFrame) -> np.ndarray:
 
 
 def _prefixes(docs: DataFrame, n: int, percent: int, common: np.ndarray) -> DataFrame:
-    """For each text: rep, size, prefix (array of long, in the global order), ``group``, a digest of size and prefix."""
+    """For each text: rep, size, prefix (array of long, in the global order), ``group``, a digest of size and prefix, and ``sketch``."""
     sent = docs.sparkSession.sparkContext.broadcast(common)  # two bytes for each slot
 
     def run(batches):
         common = sent.value
         for (rep,), texts in _texts(batches):
-            prefixes, sizes = [], []
+            prefixes, sizes, sketches = [], [], []
             for t in texts:
                 s = shingle_hashes(t, n)
+                sketches.append(parities(s))
                 p = prefix_length(len(s), percent) if len(s) else 0
                 # sets are sorted by hash, so a stable sort by count leaves equal counts in that order
                 prefixes.append(s[np.argsort(common[(s >> np.uint64(64 - SLOT_BITS)).astype(np.int64)], kind="stable")[:p]])
@@ -161,11 +201,11 @@ def _prefixes(docs: DataFrame, n: int, percent: int, common: np.ndarray) -> Data
             values = np.concatenate(prefixes) if prefixes else np.zeros(0, np.uint64)
             group = [xxhash.xxh3_128_digest(x.tobytes(), seed=z) for x, z in zip(prefixes, sizes, strict=True)]
             yield pa.RecordBatch.from_arrays(
-                [rep, pa.array(sizes, pa.int32()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(values.view(np.int64))), pa.array(group, pa.binary())],
-                ["rep", "size", "prefix", "group"],
+                [rep, pa.array(sizes, pa.int32()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(values.view(np.int64))), pa.array(group, pa.binary()), pa.array(sketches, pa.binary())],
+                ["rep", "size", "prefix", "group", "sketch"],
             )
 
-    return docs.select("mark", "text").mapInArrow(run, "rep binary, size int, prefix array<long>, group binary")
+    return docs.select("mark", "text").mapInArrow(run, "rep binary, size int, prefix array<long>, group binary, sketch binary")
 
 
 def _sets_of(texts: DataFrame, n: int, kind: str) -> DataFrame:
@@ -264,8 +304,9 @@ def _between(held: DataFrame, label: DataFrame, percent: int) -> DataFrame:
     # What both share besides the shingles met so far comes after the last of those in both.
     bound = F.count("*") + F.least(F.first("sx") - F.max("px"), F.first("sy") - F.max("py")) - 1
     pairs = met.groupBy("gx", "gy", "cx", "cy").agg(bound.alias("bound"), F.first("sx").alias("sx"), F.first("sy").alias("sy")).filter(F.col("bound") >= _needed("sx", "sy", percent))
-    a, b = (label.select(F.col("g").alias(f"g{k}"), F.col("component").alias(f"c{k}"), F.col("rep").alias(r)) for k, r in (("x", "a"), ("y", "b")))
-    return pairs.join(a, ["gx", "cx"]).join(b, ["gy", "cy"]).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    a, b = (label.select(F.col("g").alias(f"g{k}"), F.col("component").alias(f"c{k}"), F.col("rep").alias(r), F.col("sketch").alias(f"sketch_{k}")) for k, r in (("x", "a"), ("y", "b")))
+    found = _alike(pairs.join(a, ["gx", "cx"]).join(b, ["gy", "cy"]), percent)
+    return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def _linked(docs: DataFrame, n: int, percent: int) -> DataFrame:
@@ -279,6 +320,7 @@ def _linked(docs: DataFrame, n: int, percent: int) -> DataFrame:
     prefixes = durable(prefixes.join(classes.select("rep"), "rep", "left_semi").dropDuplicates(["rep"]))
     # A group is known by 64 bits of its digest further on; should two share them, both are expanded and verified.
     members = prefixes.select("rep", F.xxhash64("group").alias("g"), "size")
+    sketches = prefixes.select(F.col("rep").alias("node"), "sketch")
     groups = prefixes.groupBy("group").agg(F.first("size").alias("size"), F.first("prefix").alias("prefix"), F.count("*").alias("reps"))
     # Dealt by shingle once; what follows by shingle needs no other exchange.
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -292,7 +334,8 @@ def _linked(docs: DataFrame, n: int, percent: int) -> DataFrame:
 
     found = components(_verified(_stars(held, members, percent), keyed, n, percent))
     label = durable(members.join(found, F.col("rep") == F.col("node"), "left").select("rep", "g", "size", F.coalesce("component", "rep").alias("component")))
-    more = _verified(_verified(_between(held.filter("early"), label, percent), keyed, n, percent, "int"), keyed, n, percent)
+    sketched = label.join(sketches, F.col("rep") == F.col("node")).drop("node")
+    more = _verified(_verified(_between(held.filter("early"), sketched, percent), keyed, n, percent, "int"), keyed, n, percent)
     of = lambda c: label.select(F.col("rep").alias(c), F.col("component").alias(f"c{c}"))
     joined = components(more.join(of("a"), "a").join(of("b"), "b").select(F.col("ca").alias("a"), F.col("cb").alias("b")))
 

@@ -100,3 +100,29 @@ def test_components(spark):
     chain = [(i, i + 1) for i in range(40)] + [(100, i) for i in range(101, 140)] + [(7, 7)]
     got = dict(map(tuple, components(spark.createDataFrame(chain, "a long, b long")).collect()))
     assert got == {i: 0 for i in range(41)} | {i: 100 for i in range(100, 140)}
+
+
+def test_sketches_never_exclude_a_link():
+    import numpy as np
+
+    pick = np.random.default_rng(3)
+    for _ in range(300):
+        x = np.unique(pick.integers(0, 1 << 63, pick.integers(1, 900)).astype(np.uint64))
+        y = np.unique(np.concatenate([pick.choice(x, pick.integers(0, len(x) + 1), replace=False), pick.integers(0, 1 << 63, pick.integers(1, 300)).astype(np.uint64)]))
+        bound = jaccard_join.least_difference([jaccard_join.parities(x)], [jaccard_join.parities(y)])[0]
+        assert bound <= len(np.setxor1d(x, y))
+
+
+def test_templates_make_no_pairs_to_verify(spark, monkeypatch):
+    """Documents of ten out of thirty shared segments: each shingle is common, no pair links, and what is verified doesn't grow."""
+    segments = [[f"s{i}w{k}" for k in range(50)] for i in range(30)]
+    verified = []
+    whole = jaccard_join._verified
+    monkeypatch.setattr(jaccard_join, "_verified", lambda pairs, *a: verified.append(pairs.count()) or whole(pairs, *a))
+    for n in (150, 300):
+        pick = random.Random(n)
+        docs = [(d, " ".join(w for s in pick.sample(segments, 10) for w in s)) for d in range(n)]
+        got = jaccard_join.linked(spark.createDataFrame(docs, "doc_id long, text string").repartition(4)).collect()
+        assert {r.component_id for r in got} == set(range(n))
+        stars, thin, full = verified[-3:]
+        assert thin <= n / 10 and full <= thin and stars <= 3 * n
