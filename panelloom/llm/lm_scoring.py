@@ -17,13 +17,14 @@ often they met it. So scores depend a little on how the table is dealt. Counts o
 every task; the rarer ones are joined by a shuffle. Nothing else than those and the parameters passes the driver,
 both of a size that ``VOCABULARY`` bounds.
 
-A null or empty text has only its end. Rows that repeat a doc_id and text are scored alike; a null
+A null or empty text has only its end. Rows that repeat a doc_id and text are scored alike; rows with one doc_id, or none, and
+different texts are told apart by a digest of the text; a null
 doc_id is never held out. Without training texts all tokens are unknown.
 """
 
 from __future__ import annotations
 
-import zlib
+import hashlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -375,7 +376,7 @@ def scored(docs: DataFrame, vocabulary: Vocabulary, model: Model, counts: DataFr
         v, rows = sent.value
         m, many = Model(rows, v.edges), len(v.number)
         gain = np.append(np.log10(v.counts + 1.0), 0.0)
-        kinds = [pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64()]
+        kinds = [pa.int64(), pa.binary(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64()]
 
         def batch_of(*columns):
             arrays = [c if isinstance(c, pa.Array) else pa.array(c, k) for c, k in zip(columns, kinds, strict=True)]
@@ -388,10 +389,10 @@ def scored(docs: DataFrame, vocabulary: Vocabulary, model: Model, counts: DataFr
             log_p[rare] -= np.log10(v.rest)
             add = lambda x: np.add.reduceat(x, starts).tolist()
             model_sum, base, known = add(log_p), add(gain[ids]), add((~rare).astype(np.int64))
-            marks = [zlib.crc32(text or b"") << 32 | len(text or b"") & 0x7FFFFFFF for text in texts]
-            ids_of, marks = pa.array(doc_ids, pa.int64()), pa.array(np.array(marks, np.uint64).view(np.int64))
-            # the head row's token can't be a word; it holds the doc_id only so that heads spread over partitions
-            ones, heads = np.ones(len(texts), np.int64), [END + str(doc_id).encode() for doc_id in doc_ids]
+            digests = [hashlib.md5(text or b"", usedforsecurity=False).digest() for text in texts]
+            ids_of, marks = pa.array(doc_ids, pa.int64()), pa.array(digests, pa.binary())
+            # the head row's token can't be a word; it holds doc_id and digest only so that heads spread over partitions, those without a doc_id too
+            ones, heads = np.ones(len(texts), np.int64), [END + str(doc_id).encode() + digest for doc_id, digest in zip(doc_ids, digests, strict=True)]
             yield batch_of(ids_of, marks, heads, ones, lengths, known, base, model_sum)
             at = np.flatnonzero(rare)
             of, words = np.searchsorted(starts, at, side="right") - 1, list(chain.from_iterable(lists))
@@ -399,7 +400,7 @@ def scored(docs: DataFrame, vocabulary: Vocabulary, model: Model, counts: DataFr
             of = pa.array([d for d, _ in times], pa.int64())
             yield batch_of(ids_of.take(of), marks.take(of), [w for _, w in times], list(times.values()), *[pa.nulls(len(of), k) for k in kinds[4:]])
 
-    rows = docs.select("doc_id", "text").mapInArrow(run, "doc_id long, mark long, token binary, times long, n_tokens long, known long, base double, model double")
+    rows = docs.select("doc_id", "text").mapInArrow(run, "doc_id long, mark binary, token binary, times long, n_tokens long, known long, base double, model double")
     rare = rows.join(counts, "token", "left")
     head = F.col("n_tokens").isNotNull()
     alone = lambda c: F.when(~head, c)

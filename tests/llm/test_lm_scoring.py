@@ -82,6 +82,15 @@ def test_score_token_by_token(spark, rows):
         assert math.isclose(got[doc_id, len(tokens(text))], want / math.log(10), rel_tol=1e-4, abs_tol=1e-3), doc_id
 
 
+def test_texts_that_share_an_id_and_a_crc(spark):
+    """Two texts of one doc_id whose CRC and length agree, and twenty texts without an id."""
+    rows = [(5, "gaffdcdh ahf"), (5, "chgffhdabffc"), *((None, "w " * n) for n in range(20))]
+    assert len({zlib.crc32(t.encode()) for d, t in rows if d}) == 1
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = lm_scoring.scored(docs, *lm_scoring.fit(docs)).collect()
+    assert sorted((str(r.doc_id), r.n_tokens) for r in got) == sorted((str(d), len(tokens(t))) for d, t in rows)
+
+
 def test_clashing_columns(spark):
     docs = spark.createDataFrame([(1, "some text some", 4, None), (2, None, 5, "x")], "doc_id long, text string, n long, token string")
     got = {r.doc_id: (r.n_tokens, r.n_known) for r in lm_scoring.scored(docs, *lm_scoring.fit(docs)).collect()}
