@@ -2,13 +2,17 @@
 
 The rows of a backtest hold one forecast each: made at ``t0`` for the step ``t0 + horizon - 1``, from lags before t0 and
 from covariates of the target step that are known ahead. A builder gets the training rows of all refits
-together, keyed by regime, horizon and refit, and returns a function that adds ``y_pred`` to the rows to
-forecast. So a model is fitted for all keys, horizons and refits in the same few grouped sums.
+together, keyed by regime and horizon, each with ``known``, the first refit that may learn from it, and returns a function that adds ``y_pred`` to the rows to
+forecast. So a model is fitted for all keys, horizons and refits in the same few grouped sums, and no row is repeated for
+the refits: a row meets the coefficients of those that may see it while it is summed up.
+
+Forecasts are rows again: calibrators are builders too, which learn from forecasts whose targets were known before the refit.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import dataclass
 from itertools import combinations_with_replacement
 
 import numpy as np
@@ -23,18 +27,19 @@ HORIZONS = (1, 2, 3, 4, 5, 6, 7)
 PAST, AHEAD = ("lag_1", "lag_7", "mean_28"), ("is_weekend", "year_sin", "year_cos")
 #: Sets of coefficients up to which they are sent to every task; beyond, the rows are dealt by key.
 BROADCAST = 100_000
-Builder = Callable[[DataFrame, list[str]], Callable[[DataFrame], DataFrame]]
+Builder = Callable[[DataFrame, list[str], int], Callable[[DataFrame], DataFrame]]
 
 
-def direct_rows(panel: DataFrame, horizons: tuple[int, ...] = HORIZONS, carry: tuple[str, ...] = ()) -> DataFrame:
+def direct_rows(panel: DataFrame, horizons: tuple[int, ...] = HORIZONS, carry: tuple[str, ...] = (), labels: tuple[str, ...] = ()) -> DataFrame:
     """One row for each region, t0 and horizon whose target step exists, by one window over the panel.
 
-    ``y_week``: the latest value a whole number of weeks before the target that is known at t0.
+    ``y_week``: the latest value a whole number of weeks before the target that is known at t0. ``carry`` names columns of t0 to keep, ``labels``
+    columns whose values at the target step are kept.
     """
     w = Window.partitionBy("region").orderBy("t_idx")
     day = 2 * np.pi * F.dayofyear("event_date") / 365.25
     known = panel.select(
-        "region", *carry, F.col("t_idx").alias("t0"), "y", "t_idx", "event_date",
+        "region", *carry, F.col("t_idx").alias("t0"), "y", *labels, "t_idx", "event_date",
         F.lag("y", 1).over(w).cast("double").alias("lag_1"), F.lag("y", 7).over(w).cast("double").alias("lag_7"), F.avg("y").over(w.rowsBetween(-28, -1)).alias("mean_28"),
         (F.weekday("event_date") >= 5).cast("double").alias("is_weekend"), F.sin(day).alias("year_sin"), F.cos(day).alias("year_cos"),
     )
@@ -42,7 +47,7 @@ def direct_rows(panel: DataFrame, horizons: tuple[int, ...] = HORIZONS, carry: t
         F.lit(h).alias("horizon"),
         F.lead("y", h - 1).over(w).alias("y_true"),
         F.lag("y", 7 * -(-h // 7) - h + 1).over(w).cast("double").alias("y_week"),
-        *[F.lead(c, h - 1).over(w).alias(c) for c in AHEAD],
+        *[F.lead(c, h - 1).over(w).alias(c) for c in (*AHEAD, *labels)],
     )
     rows = known.withColumn("steps", F.array(*map(step, horizons))).withColumn("s", F.explode("steps")).filter("s.y_true IS NOT NULL")
     return rows.select("region", *carry, "t0", *PAST, "s.*", F.lit(1.0).alias("one"), (F.col("s.y_true") > 0).cast("double").alias("active"))
@@ -51,101 +56,166 @@ def direct_rows(panel: DataFrame, horizons: tuple[int, ...] = HORIZONS, carry: t
 def expanding_backtest(rows: DataFrame, builder: Builder, start: int, keys: tuple[str, ...] = (), retrain: int = 28, stride: int = 1, first: int = 28) -> DataFrame:
     """(region, t0, horizon, y_true, y_pred, what else the builder adds) for every ``stride``-th t0 from ``start`` on.
 
-    The model of refit k learns from targets before ``start + k * retrain`` and forecasts the t0 from there to the next refit. Rows
-    before ``first``, whose lags aren't filled, are not learned from.
+    The model of refit k learns from targets before ``start + k * retrain`` and forecasts the t0 from there to the next refit: its coefficients are
+    frozen while the lags it is applied to go on. Rows before ``first``, whose lags aren't filled, are not learned from.
     """
+    rows = written(rows)
+    asked, last = _asked(rows, start, retrain, stride)
+    known = F.greatest(F.floor((F.col("t0") + F.col("horizon") - 1 - start) / retrain) + 1, F.lit(0)).cast("int")
+    train = rows.filter(F.col("t0") >= first).withColumn("known", known).filter(F.col("known") <= last)
+    return builder(train, [*keys, "horizon"], last)(asked).drop(*PAST, *AHEAD, "one", "active", "fit", "y_week")
+
+
+def _asked(rows: DataFrame, start: int, retrain: int, stride: int) -> tuple[DataFrame, int]:
+    """The rows to forecast with the number of their refit, and the last of those; -1 if there are none."""
     fits = F.floor((F.col("t0") - start) / retrain).cast("int")
     asked = rows.filter((F.col("t0") >= start) & ((F.col("t0") - start) % stride == 0)).withColumn("fit", fits)
     last = asked.agg(F.max("fit")).first()[0]  # one number
-    if last is None:
-        last = -1
-    known = F.greatest(F.floor((F.col("t0") + F.col("horizon") - 1 - start) / retrain) + 1, F.lit(0)).cast("int")
-    train = rows.filter(F.col("t0") >= first).withColumn("known", known).filter(F.col("known") <= last).withColumn("fit", F.explode(F.sequence("known", F.lit(last)))).drop("known")
-    return builder(train, [*keys, "horizon", "fit"])(asked).drop(*PAST, *AHEAD, "one", "active", "fit", "y_week")
+    return asked, -1 if last is None else last
 
 
-def weekly_naive(train: DataFrame, keys: list[str]) -> Callable[[DataFrame], DataFrame]:
+def weekly_naive(train: DataFrame, keys: list[str], last: int) -> Callable[[DataFrame], DataFrame]:
     """The value a week before the target; nothing to learn."""
     return lambda rows: rows.withColumn("y_pred", F.col("y_week"))
 
 
-def glm(family: str = "gaussian", features: tuple[str, ...] = (*PAST, *AHEAD), label: str = "y_true", where: str | None = None, name: str = "y_pred", steps: int = 8, ridge: float = 1e-3) -> Builder:
-    """A builder of generalised linear models by Newton's method on grouped sums: gaussian, logistic, poisson or tweedie (power 1.5, log link).
+@dataclass(frozen=True)
+class Glm:
+    """A generalised linear model: gaussian, logistic, poisson or tweedie (power 1.5, log link). ``where`` picks the rows it learns from."""
+
+    family: str = "gaussian"
+    features: tuple[str, ...] = (*PAST, *AHEAD)
+    label: str = "y_true"
+    where: str | None = None
+    name: str = "y_pred"
+    ridge: float = 1e-3
+
+    def __post_init__(self):
+        if self.family not in ("gaussian", "logistic", "poisson", "tweedie"):
+            raise ValueError(f"unknown family {self.family}")
+
+    @property
+    def names(self) -> tuple[str, ...]:
+        return ("one", *self.features)
+
+    @property
+    def beta(self) -> str:
+        return f"beta_{self.name}"
+
+    def mean(self) -> Column:
+        """The forecast of a row that holds the coefficients."""
+        eta = F.greatest(F.least(sum((F.col(f) * F.col(self.beta)[i] for i, f in enumerate(self.names)), F.lit(0.0)), F.lit(30.0)), F.lit(-30.0))
+        return {"gaussian": eta, "logistic": 1 / (1 + F.exp(-eta))}.get(self.family, F.exp(eta))
+
+    def begin(self, total: Column, n: Column) -> Column:
+        """The constant to begin with, of labels' total and number; null without any."""
+        mean = total / F.nullif(n, F.lit(0.0))
+        if self.family == "gaussian":
+            return F.when(n > 0, F.lit(0.0))
+        floor = F.greatest(mean, F.lit(1e-3))
+        p = F.least(floor, F.lit(1 - 1e-3))
+        return F.ln(p / (1 - p)) if self.family == "logistic" else F.ln(floor)
+
+
+def fitted(train: DataFrame, keys: list[str], models: list[Glm], fits: int | None = None, by: tuple[str, ...] = ("known",), sees: str = "known <= fit", steps: int = 8) -> DataFrame:
+    """keys, and for each model its coefficients (``beta_`` and its name; null without rows), the total of its labels and their number
+    (``total_``, ``n_``). All models take each Newton step together, in one job that sums products by key, which tasks combine before the shuffle.
 
-    ``where`` picks the training rows. Keys without any get the mean of none: the forecast is 0.
+    With ``fits`` there are that many fits of each key, numbered in ``fit``; ``sees`` tells which fits see a row, by its columns ``by``.
     """
+    seen = {m.name: F.coalesce(F.expr(m.where), F.lit(False)).cast("double") if m.where else F.lit(1.0) for m in models}
+    of = [*keys, *["fit"] * (fits is not None)]
+    small = train.groupBy(*keys, *(by if fits is not None else ())).agg(*[x.alias(c) for m in models for x, c in ((F.sum(F.col(m.label) * seen[m.name]), f"total_{m.name}"), (F.sum(seen[m.name]), f"n_{m.name}"))])
+    if fits is not None:
+        axis = F.explode(F.sequence(F.lit(0), F.lit(fits - 1))) if fits > 0 else F.explode(F.array().cast("array<int>"))
+        small = small.withColumn("fit", axis).filter(sees)
+    small = small.groupBy(*of).agg(*[F.sum(c).alias(c) for m in models for c in (f"total_{m.name}", f"n_{m.name}")])
+    first = {m.beta: m.begin(F.col(f"total_{m.name}"), F.col(f"n_{m.name}")) for m in models}
+    state = written(small.withColumns({m.beta: F.when(first[m.beta].isNotNull(), F.array(first[m.beta], *[F.lit(0.0)] * len(m.features))) for m in models}))
+    few = state.count() <= BROADCAST
+    for step in range(steps if any(m.family != "gaussian" for m in models) else 1):
+        moving = [m for m in models if m.family != "gaussian" or step == 0]
+        sent = state.select(*of, *[m.beta for m in moving])
+        held = train.join(F.broadcast(sent) if few else sent, keys)
+        held = held.filter(sees) if fits is not None else held
+        held = held.withColumns({f"mu_{m.name}": m.mean() for m in moving})
+        sums = held.groupBy(*of).agg(*[_products(m, seen[m.name]).alias(f"sums_{m.name}") for m in moving])
+        state = written(state.join(F.broadcast(sums) if few else sums, of).select(*of, *[c for m in models for c in (f"total_{m.name}", f"n_{m.name}")], *[_moved(m)(m.beta, f"sums_{m.name}").alias(m.beta) if m in moving else m.beta for m in models]))
+    return state
+
+
+def _products(m: Glm, seen: Column) -> Column:
+    """Sums of weighted products of features, then of features and what the labels differ by."""
+    y, mu = F.col(m.label).cast("double"), F.col(f"mu_{m.name}")
+    weigh, pull = {
+        "gaussian": (F.lit(1.0), y - mu),
+        "logistic": (mu * (1 - mu), y - mu),
+        "poisson": (mu, y - mu),
+        "tweedie": (F.sqrt(mu), (y - mu) / F.sqrt(mu)),
+    }[m.family]
+    weigh, pull = weigh * seen, pull * seen
+    return F.array(*[F.sum(weigh * F.col(a) * F.col(b)) for a, b in combinations_with_replacement(m.names, 2)], *[F.sum(pull * F.col(a)) for a in m.names])
+
+
+def _moved(m: Glm):
+    """Coefficients after one Newton step, which is shortened where it is long."""
+    size, family, ridge = len(m.names), m.family, m.ridge
+    upper = np.triu_indices(size)
 
-    def build(train: DataFrame, keys: list[str]) -> Callable[[DataFrame], DataFrame]:
-        fits = fitted(train.filter(where) if where else train, keys, features, label, family, steps, ridge)
-        return lambda rows: rows.join(_sent(fits), keys, "left").withColumn(name, F.when(F.col("beta").isNotNull(), _mean(_eta(features), family)).otherwise(F.lit(0.0))).drop("beta")
+    @F.pandas_udf("array<double>")
+    def moved(beta: pd.Series, sums: pd.Series) -> pd.Series:
+        def one(b, s):
+            if b is None or s is None:
+                return None
+            b, s, xx = np.asarray(b, float), np.asarray(s, float), np.zeros((size, size))
+            xx[upper] = s[: len(upper[0])]
+            xx = xx + xx.T - np.diag(xx.diagonal())
+            step = np.linalg.solve(xx + ridge * np.eye(size), s[len(upper[0]) :] - ridge * b)
+            return (b + (step if family == "gaussian" else step / max(1.0, np.abs(step).max() / 4))).tolist()
 
-    return build
+        return pd.Series([one(b, s) for b, s in zip(beta, sums, strict=True)], dtype=object)
+
+    return moved
+
+
+def _applied(models: list[Glm], fits: DataFrame, rows: DataFrame, keys: list[str], keep: bool = False) -> DataFrame:
+    """``rows`` with the models' forecasts, 0 where there was nothing to learn from."""
+    sent = F.broadcast(fits) if fits.count() <= BROADCAST else fits
+    found = rows.join(sent, [*keys, "fit"], "left").withColumns({m.name: F.when(F.col(m.beta).isNotNull(), m.mean()).otherwise(F.lit(0.0)) for m in models})
+    return found.drop(*[m.beta for m in models], *[c for m in models for c in (f"total_{m.name}", f"n_{m.name}") if not keep])
 
 
-def hurdle(count: str = "tweedie", features: tuple[str, ...] = (*PAST, *AHEAD)) -> Builder:
-    """P(active) times the count expected where active: two models for the same keys; also keeps ``y_prob`` and ``y_count``."""
+def glm(family: str = "gaussian", features: tuple[str, ...] = (*PAST, *AHEAD), label: str = "y_true", where: str | None = None, name: str = "y_pred", steps: int = 8, ridge: float = 1e-3) -> Builder:
+    """A builder of one generalised linear model. ``where`` picks the training rows. Keys without any get the mean of none: the forecast is 0."""
+    models = [Glm(family, features, label, where, name, ridge)]
 
-    def build(train: DataFrame, keys: list[str]) -> Callable[[DataFrame], DataFrame]:
-        event = glm("logistic", features, "active", name="y_prob")(train, keys)
-        size = glm(count, features, where="active = 1", name="y_count")(train, keys)
-        return lambda rows: size(event(rows)).withColumn("y_pred", F.col("y_prob") * F.col("y_count"))
+    def build(train: DataFrame, keys: list[str], last: int) -> Callable[[DataFrame], DataFrame]:
+        fits = fitted(train, keys, models, last + 1, steps=steps)
+        return lambda rows: _applied(models, fits, rows, keys)
 
     return build
 
 
-def _sent(fits: DataFrame) -> DataFrame:
-    return F.broadcast(fits) if fits.count() <= BROADCAST else fits
+def hurdle(count: str = "tweedie", features: tuple[str, ...] = (*PAST, *AHEAD), steps: int = 8) -> Builder:
+    """P(active) times the count expected where active: two models for the same keys, fitted together; also keeps ``y_prob`` and ``y_count``."""
+    models = [Glm("logistic", features, "active", name="y_prob"), Glm(count, features, where="active = 1", name="y_count")]
 
+    def build(train: DataFrame, keys: list[str], last: int) -> Callable[[DataFrame], DataFrame]:
+        fits = fitted(train, keys, models, last + 1, steps=steps)
+        return lambda rows: _applied(models, fits, rows, keys).withColumn("y_pred", F.col("y_prob") * F.col("y_count"))
 
-def _eta(features: tuple[str, ...]) -> Column:
-    return F.greatest(F.least(sum((F.col(f) * F.col("beta")[i] for i, f in enumerate(("one", *features))), F.lit(0.0)), F.lit(30.0)), F.lit(-30.0))
+    return build
 
 
-def _mean(eta: Column, family: str) -> Column:
-    return {"gaussian": eta, "logistic": 1 / (1 + F.exp(-eta))}.get(family, F.exp(eta))
+def two_stage(first: str, second: str, features: tuple[str, ...] = (*PAST, *AHEAD), steps: int = 8) -> Builder:
+    """P(first) times P(second where first): the second model learns from the rows on which the first happened, and both are kept as ``y_first``, ``y_given``.
 
+    ``first`` and ``second`` are columns of 0 and 1.
+    """
+    models = [Glm("logistic", features, first, name="y_first"), Glm("logistic", features, second, where=f"{first} = 1", name="y_given")]
 
-def fitted(train: DataFrame, keys: list[str], features: tuple[str, ...], label: str, family: str, steps: int, ridge: float) -> DataFrame:
-    """keys and ``beta``. Each Newton step sums products by key, which tasks combine before the shuffle; only coefficients are kept."""
-    names = ("one", *features)
-    pairs = list(combinations_with_replacement(names, 2))
-    y = F.col(label).cast("double")
-    if family == "gaussian":
-        weigh, pull, steps = F.lit(1.0), lambda mu: y - mu, 1
-        begin = F.lit(0.0)
-    elif family == "logistic":
-        p = F.least(F.greatest(F.avg(y), F.lit(1e-3)), F.lit(1 - 1e-3))
-        begin = F.ln(p / (1 - p))
-    elif family in ("poisson", "tweedie"):
-        begin = F.ln(F.greatest(F.avg(y), F.lit(1e-3)))
-    else:
-        raise ValueError(f"unknown family {family}")
-    fits = written(train.groupBy(*keys).agg(begin.alias("b")).select(*keys, F.array(F.col("b"), *[F.lit(0.0)] * len(features)).alias("beta")))
+    def build(train: DataFrame, keys: list[str], last: int) -> Callable[[DataFrame], DataFrame]:
+        fits = fitted(train, keys, models, last + 1, steps=steps)
+        return lambda rows: _applied(models, fits, rows, keys).withColumn("y_pred", F.col("y_first") * F.col("y_given"))
 
-    @F.pandas_udf("array<double>")
-    def moved(beta: pd.Series, sums: pd.Series) -> pd.Series:
-        def one(b, s):
-            b, s = np.asarray(b, float), np.asarray(s, float)
-            xx = np.zeros((len(names), len(names)))
-            for v, (i, j) in zip(s, pairs, strict=False):
-                i, j = names.index(i), names.index(j)
-                xx[i, j] = xx[j, i] = v
-            step = np.linalg.solve(xx + ridge * np.eye(len(names)), s[len(pairs) :] - ridge * b)
-            size = np.abs(step).max()
-            return (b + (step if family == "gaussian" else step / max(1.0, size / 4))).tolist()
-
-        return pd.Series([one(b, s) for b, s in zip(beta, sums, strict=True)])
-
-    for _ in range(steps):
-        mu, sent = F.col("mu"), _sent(fits)
-        if family == "logistic":
-            weigh, pull = mu * (1 - mu), lambda mu: y - mu
-        elif family == "poisson":
-            weigh, pull = mu, lambda mu: y - mu
-        elif family == "tweedie":
-            weigh, pull = F.sqrt(mu), lambda mu: (y - mu) / F.sqrt(mu)
-        held = train.join(sent, keys).withColumn("mu", _mean(_eta(features), family)).withColumn("w", weigh).withColumn("d", pull(mu))
-        sums = [F.sum(F.col("w") * F.col(a) * F.col(b)) for a, b in pairs] + [F.sum(F.col("d") * F.col(a)) for a in names]
-        grouped = held.groupBy(*keys).agg(F.array(*sums).alias("sums")).join(fits, keys)
-        fits = written(grouped.select(*keys, moved("beta", "sums").alias("beta")))
-    return fits
+    return build

@@ -94,43 +94,6 @@ def autoregression(panel: DataFrame, order: int = 7, ridge: float = 1e-6) -> Dat
     return panel.select("region", "t_idx", "y").join(found, ["region", "t_idx"], "left")
 
 
-def stationarity(panel: DataFrame) -> DataFrame:
-    """(region, differenced, df_t, kpss, stationary) of each series and of its differences.
-
-    Dickey-Fuller without lags from sums of products, cut -2.86; KPSS about a level, cut 0.463, with
-    Bartlett weights up to a lag chosen from the autocovariances (Hobijn). Constant series are stationary.
-    """
-    w = Window.partitionBy("region").orderBy("t_idx")
-    raw = panel.select("region", "t_idx", F.lit(False).alias("differenced"), F.col("y").cast("double").alias("y"))
-    steps = panel.select("region", "t_idx", F.lit(True).alias("differenced"), (F.col("y") - F.lag("y").over(w)).cast("double").alias("y")).filter("y IS NOT NULL")
-    keys = ["region", "differenced"]
-    ordered, whole = Window.partitionBy(*keys).orderBy("t_idx"), Window.partitionBy(*keys)
-    e = raw.unionByName(steps).withColumn("n", F.count("*").over(whole)).withColumn("e", F.col("y") - F.avg("y").over(whole))
-    e = e.withColumn("x", F.lag("y").over(ordered)).withColumn("dy", F.col("y") - F.col("x")).withColumn("s", F.sum("e").over(ordered))
-    one = e.groupBy(*keys).agg(
-        F.first("n").alias("n"), (F.min("y") == F.max("y")).alias("constant"), F.sum(F.col("e") * F.col("e")).alias("g0"), F.sum(F.col("s") * F.col("s")).alias("eta"),
-        F.count("dy").alias("m"), F.covar_samp("dy", "x").alias("sxy"), F.var_samp(F.when(F.col("dy").isNotNull(), F.col("x"))).alias("sxx"), F.var_samp("dy").alias("syy"),
-    )
-
-    def products(most):
-        """Autocovariance sums of the lags 1 to ``most``, a column of the key."""
-        left = e.join(most, keys).select(*keys, "t_idx", "e", F.explode(F.expr("sequence(1, most)")).alias("lag")).withColumn("t_idx", F.col("t_idx") + F.col("lag"))
-        return left.join(e.select(*keys, "t_idx", F.col("e").alias("later")), [*keys, "t_idx"]).groupBy(*keys, "lag").agg(F.sum(F.col("e") * F.col("later")).alias("g"))
-
-    varied = one.filter("NOT constant AND n > 2")
-    few = varied.select(*keys, F.greatest(F.floor(F.pow("n", F.lit(2 / 9))), F.lit(1)).cast("int").alias("most"))
-    moved = products(few).groupBy(*keys).agg(F.sum("g").alias("a"), F.sum(F.col("lag") * F.col("g")).alias("b"))
-    ratio = (2 * F.col("b")) / (F.col("g0") + 2 * F.col("a"))
-    lags = F.least(F.floor(1.1447 * F.pow(ratio * ratio, F.lit(1 / 3)) * F.pow("n", F.lit(1 / 3))), F.col("n") - 1).cast("int")
-    chosen = varied.join(moved, keys).select(*keys, lags.alias("most"))
-    weighed = products(chosen.filter("most > 0")).join(chosen, keys).groupBy(*keys).agg(F.sum((1 - F.col("lag") / (F.col("most") + 1)) * F.col("g")).alias("tail"))
-    kpss = F.when(~F.col("constant"), F.col("eta") / F.col("n") / (F.col("g0") + 2 * F.coalesce("tail", F.lit(0.0))))
-    left = (F.col("syy") - F.col("sxy") * F.col("sxy") / F.col("sxx")) * (F.col("m") - 1) / (F.col("m") - 2)
-    t = F.when(~F.col("constant"), F.col("sxy") / F.col("sxx") / F.sqrt(left / (F.col("sxx") * (F.col("m") - 1))))
-    found = one.join(weighed, keys, "left").select(*keys, "constant", t.alias("df_t"), kpss.alias("kpss"))
-    return found.select(*keys, "df_t", "kpss", (F.col("constant") | F.coalesce((F.col("df_t") < -2.86) & (F.col("kpss") < 0.463), F.lit(False))).alias("stationary"))
-
-
 def platt(preds: DataFrame, key: str = "horizon", steps: int = 12, ridge: float = 1e-4) -> DataFrame:
     """(key, a, b) of 1 / (1 + exp(-(a + b logit p))) fitted for all keys at once by Newton's method; five sums a key and step."""
     spark = preds.sparkSession

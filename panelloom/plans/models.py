@@ -2,17 +2,23 @@
 
 from __future__ import annotations
 
+import math
 
 from pyspark.ml.classification import DecisionTreeClassifier, GBTClassifier, LogisticRegression
 from pyspark.ml.feature import Imputer, VectorAssembler
-from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import GBTRegressor, GeneralizedLinearRegression, IsotonicRegression, LinearRegression
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.regression import GBTRegressor, GeneralizedLinearRegression, LinearRegression, RandomForestRegressor
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from panelloom.operators import backtest as bt
+from panelloom.operators import calibration as cal
+from panelloom.operators import ensemble
 from panelloom.operators import expanding as ex
 from panelloom.operators import learners as ln
+from panelloom.operators import metrics, quantiles, series
+from panelloom.operators.search import searched
+from panelloom.operators.shared import written
 from panelloom.plans.base import PANEL, PREDS, Plans
 from panelloom.sources.panels import orders_panel, tiers
 
@@ -169,32 +175,10 @@ def fit_gbt_classifier(spark, sf_dir):
 
 
 @plan()
-def fit_self_paced_ensemble(spark, sf_dir, members: int = 4, bins: int = 10):
+def fit_self_paced_ensemble(spark, sf_dir, members: int = 20, bins: int = 10):
     """Trees on all positives and on negatives sampled from bins of hardness, evener with each member; averaged."""
     train, test = _split(spark, sf_dir)
-    positives, negatives = train.filter("active = 1"), train.filter("active = 0")
-    wanted = positives.count()
-    models = []
-    for k in range(members):
-        if models:
-            p = _averaged(models, negatives)
-            held = p.withColumn("bin", F.least(F.floor(F.col("y_prob") * bins), F.lit(bins - 1)).cast("int"))
-            stats = held.groupBy("bin").agg(F.count("*").alias("n"), F.avg("y_prob").alias("h")).collect()  # a row for each bin
-            pace = {r.bin: 1.0 / (r.h + k / members + 1e-9) for r in stats}
-            total = sum(pace.values())
-            share = {r.bin: min(1.0, wanted * pace[r.bin] / total / r.n) for r in stats}
-            sample = held.sampleBy("bin", share, seed=k).select(*negatives.columns)
-        else:
-            sample = negatives.sample(min(1.0, wanted / max(1, negatives.count())), seed=k)
-        models.append(DecisionTreeClassifier(labelCol="active", maxDepth=5, seed=k).fit(positives.unionByName(sample)))
-    return _averaged(models, test).select("region", "t_idx", "active", "y_prob")
-
-
-def _averaged(models, frame):
-    for i, model in enumerate(models):
-        frame = model.setPredictionCol(f"_p{i}").setProbabilityCol(f"_v{i}").setRawPredictionCol(f"_r{i}").transform(frame).withColumn(f"_y{i}", vector_to_array(f"_v{i}")[1]).drop(f"_p{i}", f"_v{i}", f"_r{i}")
-    names = [f"_y{i}" for i in range(len(models))]
-    return frame.withColumn("y_prob", sum((F.col(c) for c in names), F.lit(0.0)) / len(names)).drop(*names)
+    return ensemble.self_paced(train, test, ["region", "t_idx"], members=members, bins=bins).select("region", "t_idx", "active", "y_prob")
 
 
 @plan(PREDS + " SELECT least(CAST(floor(y_prob * 10) AS INT), 9) AS bin, count(*)::BIGINT AS n, round(avg(y_prob), 6) AS hardness, round(1 / (avg(y_prob) + 0.1), 4) AS pace FROM preds WHERE y_true = 0 GROUP BY 1")
@@ -255,9 +239,18 @@ def bt_linear_by_region(spark, sf_dir):
 
 
 @plan()
-def bt_test_segment(spark, sf_dir):
-    """The held-out end, touched once: same backtest from 90 % on."""
-    return _linear(spark, sf_dir, ["all"], share=0.9)
+def bt_test_segment(spark, sf_dir, stride: int = 1, retrain: int = 7):
+    """The held-out end from 80 % on: forecasts at every ``stride``-th step, models refitted every ``retrain`` steps and frozen between."""
+    panel = orders_panel(spark, sf_dir)
+    start = int(0.8 * bt.length(panel))
+    return ex.expanding_backtest(ex.direct_rows(panel), ex.glm("gaussian", ex.PAST, ridge=1e-6), start, retrain=retrain, stride=stride)
+
+
+@plan()
+def fit_arima_expanding(spark, sf_dir):
+    """Seven steps ahead from seven lags; each region's order of differencing and coefficients chosen anew at every refit."""
+    panel = orders_panel(spark, sf_dir)
+    return series.autoregressive_backtest(panel, int(0.8 * bt.length(panel)))
 
 
 def _quantiles(preds):
@@ -288,14 +281,9 @@ def cal_sigmoid_fit(spark, sf_dir):
 
 @plan()
 def cal_isotonic_fit(spark, sf_dir):
-    """A rising step function for each horizon, clipped outside."""
+    """A rising step function for each horizon, all pooled at once, linear between steps and clipped outside."""
     cv, test = _cv_test(spark, sf_dir)
-    out = None
-    for h in range(1, 8):
-        fit = IsotonicRegression(featuresCol="y_prob", labelCol="y").fit(cv.filter(F.col("horizon") == h).withColumn("y", (F.col("y_true") > 0).cast("double")))
-        part = fit.transform(test.filter(F.col("horizon") == h)).select("region", "fold", "horizon", F.col("prediction").alias("y_cal"))
-        out = part if out is None else out.unionByName(part)
-    return out
+    return cal.stepped(test, cal.isotonic(cv, ["horizon"]), ["horizon"]).select("region", "fold", "horizon", "y_cal")
 
 
 _FIXED = {1: (0.1, 1.0), 2: (0.2, 0.9), 3: (0.0, 1.1)}
@@ -309,15 +297,10 @@ def cal_apply(spark, sf_dir):
 
 
 @plan()
-def cal_out_of_fold(spark, sf_dir, k: int = 5):
-    """Each row calibrated by a fit on the other folds; folds deal the two classes evenly by a hash."""
+def cal_out_of_fold(spark, sf_dir):
+    """Each row calibrated by a fit on the other folds of its horizon; five folds, each class dealt in turn."""
     cv = _cv_test(spark, sf_dir)[0]
-    dealt = cv.withColumn("part", F.pmod(F.xxhash64("region", "fold", "horizon"), F.lit(k)).cast("int"))
-    out = None
-    for part in range(k):
-        done = ln.calibrated(dealt.filter(F.col("part") == part), ln.platt(dealt.filter(F.col("part") != part), steps=6)).select("region", "fold", "horizon", "part", "y_true", "y_cal")
-        out = done if out is None else out.unionByName(done)
-    return out
+    return cal.out_of_fold(cv, ["horizon"]).select("region", "fold", "horizon", "part", "y_true", "y_cal")
 
 
 @plan()
@@ -391,6 +374,55 @@ def hurdle_backtest_by_region(spark, sf_dir):
     return _expanding(spark, sf_dir, ex.hurdle(), ("region",))
 
 
+#: Steps between refits of the models that are compared, and the shares of the steps where forecasts begin and where they count.
+_RETRAIN, _BEGIN, _COUNTS = 112, 0.7, 0.8
+
+
+def _regimes(spark, sf_dir):
+    """Rows of the three regimes under one key: all regions together, by tier, and by themselves; and the two steps."""
+    panel = orders_panel(spark, sf_dir)
+    n = bt.length(panel)
+    panel = panel.join(F.broadcast(tiers(panel).select("region", F.coalesce("tier", F.lit(-1)).cast("string").alias("tier"))), "region")
+    unit = lambda name, of: F.struct(F.lit(name).alias("regime"), of.alias("unit"))
+    rows = ex.direct_rows(panel, carry=("tier",)).withColumn("r", F.explode(F.array(unit("global", F.lit("all")), unit("activity", F.col("tier")), unit("local", F.col("region")))))
+    return rows.select("r.regime", "r.unit", *[c for c in rows.columns if c not in ("r", "tier")]), int(_BEGIN * n), int(_COUNTS * n), panel
+
+
+def _calibrated(spark, sf_dir):
+    """(regime, unit, region, t0, horizon, y_true, y_prob, y_count, y_pred, y_sigmoid, y_venn): hurdle forecasts of three regimes, calibrated by earlier ones."""
+    rows, begin, counts, _ = _regimes(spark, sf_dir)
+    keys = ("regime", "unit")
+    found = ex.expanding_backtest(rows, ex.hurdle(), begin, keys, _RETRAIN)
+    return cal.in_folds(found, begin, keys, _RETRAIN).filter(F.col("t0") >= counts)
+
+
+@plan()
+def hurdle_calibrated(spark, sf_dir):
+    """Raw, sigmoid and Venn-Abers probabilities of three regimes, by horizon and over all: how good they are, and the counts they make."""
+    ways = F.array(*[F.struct(F.lit(n).alias("method"), F.col(c).alias("y_prob")) for n, c in (("raw", "y_prob"), ("sigmoid", "y_sigmoid"), ("venn_abers", "y_venn"))])
+    long = _calibrated(spark, sf_dir).withColumn("w", F.explode(ways)).select("regime", "w.method", "horizon", "y_true", "w.y_prob", (F.col("w.y_prob") * F.col("y_count")).alias("y_pred"))
+    hit, p = (F.col("y_true") > 0).cast("int"), F.least(F.greatest(F.col("y_prob"), F.lit(1e-6)), F.lit(1 - 1e-6))
+    loss = -(hit * F.ln(p) + (1 - hit) * F.ln(1 - p))
+    each = [F.count("*").alias("n"), F.avg((F.col("y_prob") - hit) ** 2).alias("brier"), F.avg(loss).alias("log_loss"), metrics.metric("MAE").alias("MAE"), metrics.metric("RMSE").alias("RMSE")]
+    return long.groupingSets([["regime", "method"], ["regime", "method", "horizon"]], "regime", "method", "horizon").agg(*each)
+
+
+@plan()
+def fcst_hurdle_quantiles(spark, sf_dir):
+    """Median and quantiles of 200 draws of the hurdle's forecasts; the point forecast is the median, or the mean where there is none."""
+    found = quantiles.sampled(hurdle_backtest(spark, sf_dir), ["region", "t0", "horizon"])
+    return quantiles.picked(found).select("region", "t0", "horizon", "y_true", "y_q10", F.col("y_q50").alias("y_med"), "y_q90", "y_point")
+
+
+@plan()
+def hurdle_two_stage_backtest(spark, sf_dir):
+    """P(any) times P(urgent given any), the second learned on active days only; both refitted as the window grows."""
+    panel = orders_panel(spark, sf_dir)
+    rows = ex.direct_rows(panel, labels=("urgent",))
+    rows = rows.withColumns({"damage": (F.col("urgent") > 0).cast("double")}).drop("urgent")
+    return ex.expanding_backtest(rows, ex.two_stage("active", "damage"), int(0.8 * bt.length(panel)), (), _RETRAIN).withColumnRenamed("y_pred", "y_prob")
+
+
 def _positive_mean(panel, end):
     positive = F.when(F.col("urgent") > 0, F.col("urgent"))
     return panel.filter(F.col("t_idx") < end).groupBy("region").agg(F.count(positive).alias("n_positive"), F.when(F.count(positive) < 50, F.round(F.coalesce(F.avg(positive), F.lit(1.0)), 6)).alias("constant"))
@@ -471,16 +503,99 @@ def topk_winner(spark, sf_dir):
     return _models(spark, sf_dir).groupBy("model").agg(*_score()).orderBy("RMSE", "model").limit(1)
 
 
-def _importances(spark, sf_dir, horizons=ln.HORIZONS):
-    """(horizon, feature, gain) of a small boosted model for each horizon."""
-    panel = orders_panel(spark, sf_dir)
+def _trained(spark, sf_dir):
+    """(model, regime, region, t0, horizon, y_true, y_pred, y_prob, y_count), written: forecasts of every trained model and regime, and of the naive ones."""
+    rows, begin, counts, _ = _regimes(spark, sf_dir)
+    rows, keys = written(rows), ("regime", "unit")
+    none = F.lit(None).cast("double")
+    shape = lambda df, model, pred, prob=none, count=none: df.select(F.lit(model).alias("model"), "regime", "region", "t0", "horizon", "y_true", pred.cast("double").alias("y_pred"), prob.alias("y_prob"), count.alias("y_count"))
+    whole = ex.expanding_backtest(rows, ex.hurdle(), begin, keys, _RETRAIN)
+    made = written(cal.in_folds(whole, begin, keys, _RETRAIN).filter(F.col("t0") >= counts))
+    out = shape(made, "hurdle_raw", F.col("y_pred"), F.col("y_prob"), F.col("y_count"))
+    for name in ("sigmoid", "venn"):
+        out = out.unionByName(shape(made, f"hurdle_{name}", F.col(f"y_{name}") * F.col("y_count"), F.col(f"y_{name}"), F.col("y_count")))
+    for family in ("gaussian", "poisson"):
+        out = out.unionByName(shape(ex.expanding_backtest(rows, ex.glm(family), counts, keys, _RETRAIN), {"gaussian": "linear"}.get(family, family), F.col("y_pred")))
+    once = rows.filter((F.col("t0") >= counts) & (F.col("regime") == "global")).withColumn("regime", F.lit("none"))
+    naive = [("weekly", F.col("y_week")), ("last", F.col("lag_1")), ("zero", F.lit(0.0))]
+    for name, value in naive:
+        out = out.unionByName(shape(once, name, value))
+    return written(out)
+
+
+def _trained_scores(long, *keys):
+    hit = (F.col("y_true") > 0).cast("int")
+    e = F.greatest(F.col("y_pred"), F.lit(0.0)) - F.col("y_true")
+    positive = lambda x: F.when(F.col("y_true") > 0, x)
+    return long.groupBy(*keys).agg(
+        F.count("*").alias("n"), F.avg(F.abs(e)).alias("MAE"), F.sqrt(F.avg(e * e)).alias("RMSE"), F.sqrt(F.avg(positive(e * e))).alias("RMSE_pos"), F.avg(e).alias("ME"),
+        F.avg((F.col("y_prob") - hit) ** 2).alias("brier"),
+    )
+
+
+@plan()
+def leaderboard_trained(spark, sf_dir):
+    """Every trained model in every regime, and the naive ones: errors, scaled errors averaged over regions, rank metrics of the probabilities, and the place by error."""
+    long, panel = _trained(spark, sf_dir), orders_panel(spark, sf_dir)
+    scales = metrics.naive_scales(panel, int(_COUNTS * bt.length(panel)))
+    by_region = _trained_scores(long, "model", "regime", "region").join(F.broadcast(scales), "region")
+    macro = by_region.groupBy("model", "regime").agg(F.avg(F.col("MAE") / F.nullif("mae_scale", F.lit(0.0))).alias("MASE_mean"), F.avg(F.col("RMSE") / F.nullif("rmse_scale", F.lit(0.0))).alias("RMSSE_mean"))
+    ranked = metrics.pr_auc(long.filter("y_prob IS NOT NULL"), ["model", "regime"]).join(metrics.roc_auc(long.filter("y_prob IS NOT NULL"), ["model", "regime"]), ["model", "regime"])
+    found = _trained_scores(long, "model", "regime").join(macro, ["model", "regime"]).join(ranked, ["model", "regime"], "left")
+    return found.withColumn("place", F.rank().over(Window.orderBy("RMSSE_mean")))  # a row for each model and regime
+
+
+@plan()
+def leaderboard_trained_views(spark, sf_dir):
+    """The regimes side by side, by horizon and by region."""
+    long = _trained(spark, sf_dir)
+    return _trained_scores(long, "model", "regime", "horizon").unionByName(_trained_scores(long, "model", "regime", "region"), allowMissingColumns=True)
+
+
+@plan()
+def component_summary_trained(spark, sf_dir):
+    """The hurdle's parts in each regime: probabilities raw and calibrated, counts on active days, and what they make together."""
+    long = _trained(spark, sf_dir).filter("y_prob IS NOT NULL")
+    of = lambda name: F.regexp_replace("model", "hurdle", name)
+    columns = ["component", "regime"]
+    whole = _trained_scores(long.withColumn("component", of("hurdle")), *columns).drop("brier")
+    prob = long.withColumn("component", of("classifier"))
+    hit = (F.col("y_true") > 0).cast("int")
+    classified = prob.groupBy(*columns).agg(F.count("*").alias("n"), F.avg((F.col("y_prob") - hit) ** 2).alias("brier")).join(metrics.pr_auc(prob, columns), columns).join(metrics.roc_auc(prob, columns), columns)
+    heads = long.filter("model = 'hurdle_raw' AND y_true > 0").withColumns({"component": F.lit("count"), "y_pred": F.col("y_count")})
+    return whole.unionByName(classified, allowMissingColumns=True).unionByName(_trained_scores(heads, *columns).drop("brier"), allowMissingColumns=True)
+
+
+# --- rankings ------------------------------------------------------------------------------------
+
+_METRICS = ("y", "revenue_cents", "urgent", "high", "medium", "notspec", "low")
+
+
+def _feature_block(panel, metrics_=_METRICS, lags: int = 28, windows=(3, 7, 14, 28)):
+    """(region, t_idx, y, features): lags and rolling figures of every metric, and the calendar, by one window; the names of the features in order."""
     w = Window.partitionBy("region").orderBy("t_idx")
-    rows = VectorAssembler(inputCols=COLUMNS, outputCol="features").transform(ln.tabular(panel))
+    past = lambda k: w.rowsBetween(-k, -1)
+    named = {f"{m}_lag_{k}": F.lag(m, k).over(w).cast("double") for m in metrics_ for k in range(1, lags + 1)}
+    rolled = {"mean": F.avg, "max": F.max, "sd": F.stddev_pop}
+    named |= {f"{m}_{n}_{k}": f(m).over(past(k)).cast("double") for m in metrics_ for n, f in rolled.items() for k in windows}
+    day = F.dayofyear("event_date") * (2 * math.pi / 365.25)
+    named |= {"weekday": F.weekday("event_date").cast("double"), "month": F.month("event_date").cast("double"), "year_sin": F.sin(day), "year_cos": F.cos(day), "is_weekend": (F.weekday("event_date") >= 5).cast("double")}
+    held = panel.select("region", "t_idx", F.col("y").cast("double").alias("label"), F.array(*named.values()).alias("features")).filter(F.col("t_idx") >= lags)
+    return held, list(named)
+
+
+def _importances(spark, sf_dir, horizons=ln.HORIZONS, panel=None, trees: int = 12, depth: int = 5):
+    """(horizon, feature, gain) over the whole block of features: forests for each horizon, whose trees are grown level by level together."""
+    panel = orders_panel(spark, sf_dir) if panel is None else panel
+    block, names = _feature_block(panel)
+    w = Window.partitionBy("region").orderBy("t_idx")
+    ahead = {f"y_{h}": F.lead("label", h - 1).over(w) for h in horizons}
+    rows = written(block.withColumns(ahead).withColumn("features", array_to_vector("features")))
     found = []
     for h in horizons:
-        model = GBTRegressor(labelCol="y_h", maxIter=4, maxDepth=4, seed=1).fit(rows.withColumn("y_h", F.lead("label", h - 1).over(w)).filter("y_h IS NOT NULL"))
-        found += [(h, c, float(g)) for c, g in zip(COLUMNS, model.featureImportances.toArray(), strict=True)]
-    return spark.createDataFrame(found, "horizon int, feature string, gain double")
+        model = RandomForestRegressor(labelCol=f"y_{h}", numTrees=trees, maxDepth=depth, featureSubsetStrategy="onethird", maxBins=16, seed=1).fit(rows.filter(F.col(f"y_{h}").isNotNull()))
+        found += [(h, c, float(g)) for c, g in zip(names, model.featureImportances.toArray(), strict=True)]
+    return panel.sparkSession.createDataFrame(found, "horizon int, feature string, gain double")
 
 
 @plan()
@@ -489,13 +604,14 @@ def fit_feature_ranking(spark, sf_dir):
 
 
 @plan()
-def topk_features(spark, sf_dir):
-    return fit_feature_ranking(spark, sf_dir).orderBy(F.desc("mean_gain"), "feature").limit(3)
+def topk_features(spark, sf_dir, k: int = 100):
+    """The features with the highest mean gain over all horizons."""
+    return fit_feature_ranking(spark, sf_dir).orderBy(F.desc("mean_gain"), "feature").limit(k)
 
 
 @plan()
-def topk_importance(spark, sf_dir):
-    return _importances(spark, sf_dir).groupBy("feature").agg(F.avg("gain").alias("mean_gain"), F.stddev("gain").alias("sd_gain")).orderBy(F.desc("mean_gain"), "feature").limit(3)
+def topk_importance(spark, sf_dir, k: int = 30):
+    return _importances(spark, sf_dir).groupBy("feature").agg(F.avg("gain").alias("mean_gain"), F.stddev("gain").alias("sd_gain")).orderBy(F.desc("mean_gain"), "feature").limit(k)
 
 
 @plan()
@@ -523,41 +639,39 @@ def importance_permutation(spark, sf_dir, shuffles: int = 10):
     return drops.unpivot(["horizon", "s"], COLUMNS, "feature", "drop").groupBy("feature", "horizon").agg(F.avg("drop").alias("mean_drop"), F.stddev("drop").alias("sd_drop"))
 
 
+#: Sets of features that the search compares.
+_VARIANTS = {"lags": ("lag_1", "lag_7"), "level": ("mean_28",), "past": ex.PAST, "calendar": (*ex.PAST, *ex.AHEAD)}
+
+
 @plan()
 def tune_random_search(spark, sf_dir, trials: int = 50):
-    """Trials of ridge strength and refit stride, scored by the backtest over all horizons; the export of all trials."""
+    """Trials of feature set, ridge strength and refit stride, scored by the scaled error averaged over regions; each set's winner is marked. The export of all trials."""
     import random
 
-    panel = orders_panel(spark, sf_dir)
-    start, pick, out = int(0.8 * bt.length(panel)), random.Random(1), None
-    drawn = [(k, 10 ** pick.uniform(-6, 2), pick.choice([14, 28, 56])) for k in range(trials)]
-    params = spark.createDataFrame([(k, ridge, retrain, str({"ridge": ridge, "retrain": retrain})) for k, ridge, retrain in drawn], "number int, ridge double, retrain int, params string")
-    for stride in sorted({d[2] for d in drawn}):  # one backtest solves all ridges of a stride
-        one = ln.linear_backtest(panel, ["all"], start, retrain=stride, ridge=[d[1] for d in drawn if d[2] == stride])
-        one = one.groupBy("ridge", F.lit(stride).alias("retrain")).agg(F.sqrt(F.avg((F.col("y_pred") - F.col("y_true")) ** 2)).alias("value"))
-        out = one if out is None else out.unionByName(one)
-    return out.join(F.broadcast(params), ["ridge", "retrain"]).select("number", "value", "params", F.lit("complete").alias("state"))
+    panel, pick = orders_panel(spark, sf_dir), random.Random(1)
+    names = list(_VARIANTS)
+    drawn = [(k, names[k % len(names)], 10 ** pick.uniform(-6, 2), pick.choice([14, 28, 56])) for k in range(trials)]
+    found = searched(panel, int(0.8 * bt.length(panel)), _VARIANTS, drawn)
+    return found.select("number", "variant", "value", F.to_json(F.struct("ridge", "retrain")).alias("params"), F.lit("complete").alias("state"), "best")
 
 
 _DF = ", l AS (SELECT region, t_idx, y, lag(y) OVER (PARTITION BY region ORDER BY t_idx) AS x FROM panel), d AS (SELECT region, y - x AS dy, x FROM l WHERE x IS NOT NULL), c AS (SELECT region, count(*) AS n, covar_samp(dy, x) AS sxy, var_samp(x) AS sxx, var_samp(dy) AS syy FROM d GROUP BY region)"
 
 
-@plan(PANEL + _DF + " SELECT region, round(t, 3) AS df_t, t < -2.86 AS stationary FROM (SELECT region, (sxy / sxx) / sqrt((syy - sxy * sxy / sxx) * (n - 1) / (n - 2) / (sxx * (n - 1))) AS t FROM c)")
+@plan(PANEL + _DF + " SELECT region, round(t, 3) AS df_t, t < -2.86 AS stationary FROM (SELECT region, (sxy / nullif(sxx, 0)) / nullif(sqrt(greatest((syy - sxy * sxy / nullif(sxx, 0)) * (n - 1) / nullif(n - 2, 0) / nullif(sxx * (n - 1), 0), 0)), 0) AS t FROM c)")
 def profile_stationarity(spark, sf_dir):
     """Dickey-Fuller statistic from sums of products for each region, against a fixed cut."""
     w = Window.partitionBy("region").orderBy("t_idx")
     d = orders_panel(spark, sf_dir).select("region", "y", F.lag("y").over(w).alias("x")).filter("x IS NOT NULL").select("region", (F.col("y") - F.col("x")).alias("dy"), "x")
     c = d.groupBy("region").agg(F.count("*").alias("n"), F.covar_samp("dy", "x").alias("sxy"), F.var_samp("x").alias("sxx"), F.var_samp("dy").alias("syy"))
-    t = (F.col("sxy") / F.col("sxx")) / F.sqrt((F.col("syy") - F.col("sxy") * F.col("sxy") / F.col("sxx")) * (F.col("n") - 1) / (F.col("n") - 2) / (F.col("sxx") * (F.col("n") - 1)))
+    no = lambda x: F.nullif(x, F.lit(0.0))  # noqa: E731  nothing can be said of a constant series, or of two steps
+    sxy, sxx, syy, n = map(F.col, ("sxy", "sxx", "syy", "n"))
+    left = (syy - sxy * sxy / no(sxx)) * (n - 1) / F.nullif(n - 2, F.lit(0)) / no(sxx * (n - 1))
+    t = (sxy / no(sxx)) / no(F.sqrt(F.greatest(left, F.lit(0.0))))
     return c.select("region", t.alias("t")).select("region", F.round("t", 3).alias("df_t"), (F.col("t") < -2.86).alias("stationary"))
 
 
 @plan()
 def profile_stationarity_both(spark, sf_dir):
-    """Dickey-Fuller and KPSS for each region, on the series and on its differences."""
-    return ln.stationarity(orders_panel(spark, sf_dir))
-
-
-#: The names under which these ran over all steps when the plain ones ran over a part.
-for _name in ("fcst_sample_quantiles", "fit_ar1_expanding", "fit_single_class_fallback", "fit_positive_mean_fallback"):
-    QUERIES[f"{_name}_whole"], SQL[f"{_name}_whole"] = QUERIES[_name], SQL[_name]
+    """Augmented Dickey-Fuller and KPSS for each region, on the series and on its differences."""
+    return series.stationarity(orders_panel(spark, sf_dir))

@@ -71,10 +71,10 @@ def test_coefficients_are_recovered(spark, family):
     eta = 0.3 + 0.8 * x[:, 0] - 0.5 * x[:, 1]
     y = pick.random(6000) < 1 / (1 + np.exp(-eta)) if family == "logistic" else pick.poisson(np.exp(eta))
     frame = spark.createDataFrame([(i % 2, 1.0, float(a), float(b), float(v)) for i, ((a, b), v) in enumerate(zip(x, y, strict=True))], "k int, one double, u double, v double, y double")
-    fits = ex.fitted(frame, ["k"], ("u", "v"), "y", family, 8, 1e-3).collect()
+    fits = ex.fitted(frame, ["k"], [ex.Glm(family, ("u", "v"), "y")]).collect()
     assert sorted(r.k for r in fits) == [0, 1]
     for r in fits:
-        assert np.allclose(r.beta, [0.3, 0.8, -0.5], atol=0.12)
+        assert np.allclose(r.beta_y_pred, [0.3, 0.8, -0.5], atol=0.12)
 
 
 def test_no_rows_and_one_class(spark, panel):

@@ -35,12 +35,12 @@ def test_whole_ranges(spark, db):
     panel = orders_panel(spark, SF)
     n, regions = bt.length(panel), panel.select("region").distinct().count()
     start = int(0.8 * n)
-    found = same(spark, db, "fcst_sample_quantiles_whole")
+    found = same(spark, db, "fcst_sample_quantiles")
     assert len(found) == regions * 7 * (n - 7 - start + 1) and found.fold.max() == n - 7 - start
-    assert len(same(spark, db, "fit_ar1_expanding_whole")) == regions * n
+    assert len(same(spark, db, "fit_ar1_expanding")) == regions * n
     trained = panel.filter(f"t_idx < {start} AND urgent > 0").count()
-    assert same(spark, db, "fit_positive_mean_fallback_whole").n_positive.sum() == trained
-    assert len(same(spark, db, "fit_single_class_fallback_whole")) == regions
+    assert same(spark, db, "fit_positive_mean_fallback").n_positive.sum() == trained
+    assert len(same(spark, db, "fit_single_class_fallback")) == regions
 
 
 def test_autoregression_is_a_refit_at_each_step(spark):
@@ -76,22 +76,6 @@ def kpss(v):
     return eta / n**2 / ((g(0) + 2 * sum((1 - i / (lags + 1)) * g(i) for i in range(1, lags + 1))) / n)
 
 
-def test_stationarity_of_series_and_differences(spark):
-    import numpy as np
-
-    from panelloom.operators import learners as ln
-
-    pick = np.random.default_rng(5)
-    series = {"noise": pick.poisson(9, 200).tolist(), "walk": np.cumsum(pick.integers(-5, 6, 200)).tolist(), "flat": [4] * 200}
-    panel = spark.createDataFrame([(k, t, int(v)) for k, x in series.items() for t, v in enumerate(x)], "region string, t_idx int, y long")
-    got = {(r.region, r.differenced): r for r in ln.stationarity(panel).collect()}
-    assert len(got) == 6
-    for k in ("noise", "walk"):
-        assert abs(got[k, False].kpss - kpss(series[k])) < 1e-9
-        assert abs(got[k, True].kpss - kpss(np.diff(series[k]).tolist())) < 1e-9
-    assert {k: r.stationary for k, r in got.items() if k[0] != "noise" or not k[1]} == {("noise", False): True, ("walk", False): False, ("walk", True): True, ("flat", False): True, ("flat", True): True}
-
-
 @pytest.mark.skipif(not os.path.isdir(SF), reason="no tables")
 def test_every_horizon(spark):
     week = {1, 2, 3, 4, 5, 6, 7}
