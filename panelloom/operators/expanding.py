@@ -11,14 +11,16 @@ Forecasts are rows again: calibrators are builders too, which learn from forecas
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from itertools import combinations_with_replacement
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from panelloom.operators.shared import written
 
@@ -59,7 +61,8 @@ def expanding_backtest(rows: DataFrame, builder: Builder, start: int, keys: tupl
     The model of refit k learns from targets before ``start + k * retrain`` and forecasts the t0 from there to the next refit: its coefficients are
     frozen while the lags it is applied to go on. Rows before ``first``, whose lags aren't filled, are not learned from.
     """
-    rows = written(rows)
+    # Dealt to all cores once: the rows are read by every step, and a panel's own partitions may be few.
+    rows = written(rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
     asked, last = _asked(rows, start, retrain, stride)
     known = F.greatest(F.floor((F.col("t0") + F.col("horizon") - 1 - start) / retrain) + 1, F.lit(0)).cast("int")
     train = rows.filter(F.col("t0") >= first).withColumn("known", known).filter(F.col("known") <= last)
@@ -107,6 +110,21 @@ class Glm:
         eta = F.greatest(F.least(sum((F.col(f) * F.col(self.beta)[i] for i, f in enumerate(self.names)), F.lit(0.0)), F.lit(30.0)), F.lit(-30.0))
         return {"gaussian": eta, "logistic": 1 / (1 + F.exp(-eta))}.get(self.family, F.exp(eta))
 
+    def products(self, x: np.ndarray, y: np.ndarray, seen: np.ndarray, betas: np.ndarray) -> np.ndarray:
+        """For each fit, over the rows it sees: sums of weighted products of features, then of features and what the labels differ by."""
+        eta = np.clip(x @ np.nan_to_num(betas).T, -30, 30)
+        if self.family == "gaussian":
+            weigh, pull = np.ones_like(eta), y[:, None] - eta
+        elif self.family == "logistic":
+            mu = 1 / (1 + np.exp(-eta))
+            weigh, pull = mu * (1 - mu), y[:, None] - mu
+        else:
+            mu = np.exp(eta)
+            root = np.sqrt(mu) if self.family == "tweedie" else 1.0
+            weigh, pull = mu / root, (y[:, None] - mu) / root
+        weigh, pull, upper = weigh * seen, pull * seen, np.triu_indices(x.shape[1])
+        return np.array([np.append(((x * weigh[:, [k]]).T @ x)[upper], pull[:, k] @ x) for k in range(eta.shape[1])])
+
     def begin(self, total: Column, n: Column) -> Column:
         """The constant to begin with, of labels' total and number; null without any."""
         mean = total / F.nullif(n, F.lit(0.0))
@@ -114,12 +132,13 @@ class Glm:
             return F.when(n > 0, F.lit(0.0))
         floor = F.greatest(mean, F.lit(1e-3))
         p = F.least(floor, F.lit(1 - 1e-3))
-        return F.ln(p / (1 - p)) if self.family == "logistic" else F.ln(floor)
+        return F.when(n > 0, F.ln(p / (1 - p)) if self.family == "logistic" else F.ln(floor))
 
 
 def fitted(train: DataFrame, keys: list[str], models: list[Glm], fits: int | None = None, by: tuple[str, ...] = ("known",), sees: str = "known <= fit", steps: int = 8) -> DataFrame:
     """keys, and for each model its coefficients (``beta_`` and its name; null without rows), the total of its labels and their number
-    (``total_``, ``n_``). All models take each Newton step together, in one job that sums products by key, which tasks combine before the shuffle.
+    (``total_``, ``n_``). All models take each Newton step together, in one job that sums products by key, which tasks combine before the shuffle:
+    as matrix products in the tasks while the coefficients are few enough to be sent to all of them, beyond that by a join.
 
     With ``fits`` there are that many fits of each key, numbered in ``fit``; ``sees`` tells which fits see a row, by its columns ``by``.
     """
@@ -132,18 +151,66 @@ def fitted(train: DataFrame, keys: list[str], models: list[Glm], fits: int | Non
     small = small.groupBy(*of).agg(*[F.sum(c).alias(c) for m in models for c in (f"total_{m.name}", f"n_{m.name}")])
     first = {m.beta: m.begin(F.col(f"total_{m.name}"), F.col(f"n_{m.name}")) for m in models}
     state = written(small.withColumns({m.beta: F.when(first[m.beta].isNotNull(), F.array(first[m.beta], *[F.lit(0.0)] * len(m.features))) for m in models}))
+    steps = steps if any(m.family != "gaussian" for m in models) else 1
     few = state.count() <= BROADCAST
-    for step in range(steps if any(m.family != "gaussian" for m in models) else 1):
+    held = train
+    if few and steps > 1:  # every step reads the rows, with the fits that see each
+        sight = F.expr(f"transform(sequence(0, {fits - 1}), fit -> coalesce({sees}, false))") if fits else F.array(F.lit(True))
+        columns = list(dict.fromkeys([*keys, *[c for m in models for c in (*m.names, m.label)]]))
+        held = written(train.select(*columns, *[seen[m.name].alias(f"_seen_{m.name}") for m in models], sight.alias("_sees")))
+    for step in range(steps):
         moving = [m for m in models if m.family != "gaussian" or step == 0]
-        sent = state.select(*of, *[m.beta for m in moving])
-        held = train.join(F.broadcast(sent) if few else sent, keys)
-        held = held.filter(sees) if fits is not None else held
-        held = held.withColumns({f"mu_{m.name}": m.mean() for m in moving})
-        sums = held.groupBy(*of).agg(*[_products(m, seen[m.name]).alias(f"sums_{m.name}") for m in moving])
+        if few and steps > 1:
+            sums = _summed_in_tasks(held, keys, state, moving, fits)
+        else:
+            sent = state.select(*of, *[m.beta for m in moving])
+            met = held.join(F.broadcast(sent) if few else sent, keys)
+            met = met.filter(sees) if fits is not None else met
+            met = met.withColumns({f"mu_{m.name}": m.mean() for m in moving})
+            sums = met.groupBy(*of).agg(*[_products(m, seen[m.name]).alias(f"sums_{m.name}") for m in moving])
         state = written(state.join(F.broadcast(sums) if few else sums, of).select(*of, *[c for m in models for c in (f"total_{m.name}", f"n_{m.name}")], *[_moved(m)(m.beta, f"sums_{m.name}").alias(m.beta) if m in moving else m.beta for m in models]))
     return state
 
 
+def _summed_in_tasks(held: DataFrame, keys: list[str], state: DataFrame, models: list[Glm], fits: int | None) -> DataFrame:
+    """As the grouped sums of ``_products``: tasks, which all get the coefficients, add up matrix products of the rows they have."""
+    of = [*keys, *["fit"] * (fits is not None)]
+    known: dict = {}
+    for r in state.select(*of, *[m.beta for m in models]).collect():  # BROADCAST rows at most
+        own = known.setdefault(tuple(r[k] for k in keys), {m.name: np.full((fits or 1, len(m.names)), np.nan) for m in models})
+        for m in models:
+            if r[m.beta] is not None:
+                own[m.name][r["fit"] if fits is not None else 0] = r[m.beta]
+    sent = held.sparkSession.sparkContext.broadcast(known)
+    kinds = {f.name: f.dataType.simpleString() for f in held.schema.fields}
+    schema = ", ".join([*(f"{k} {kinds[k]}" for k in keys), "fit int", *(f"sums_{m.name} array<double>" for m in models)])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        betas, sums = sent.value, {}
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            sees = batch.column("_sees").flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
+            column = {n: batch.column(n).to_numpy(zero_copy_only=False).astype(float) for n in {c for m in models for c in (*m.names, m.label, f"_seen_{m.name}")}}
+            frame = pa.Table.from_batches([batch]).select(keys).to_pandas()
+            for key, at in frame.groupby(keys, sort=False, dropna=False).indices.items():
+                key = key if isinstance(key, tuple) else (key,)
+                if key not in betas:
+                    continue
+                own = sums.setdefault(key, {m.name: np.zeros((sees.shape[1], len(m.names) * (len(m.names) + 3) // 2)) for m in models})
+                for m in models:
+                    own[m.name] += m.products(np.column_stack([column[n][at] for n in m.names]), column[m.label][at], sees[at] * column[f"_seen_{m.name}"][at, None], betas[key][m.name])
+        rows = [(key, fit, {n: x[fit] for n, x in own.items()}) for key, own in sums.items() for fit in range(fits or 1)]
+        columns = [pa.array([key[i] for key, _, _ in rows], held_types[k]) for i, k in enumerate(keys)]
+        columns += [pa.array([fit for _, fit, _ in rows], pa.int32()), *(pa.array([x[m.name] for _, _, x in rows], pa.list_(pa.float64())) for m in models)]
+        yield pa.RecordBatch.from_arrays(columns, [*keys, "fit", *(f"sums_{m.name}" for m in models)])
+
+    held_types = {f.name: to_arrow_type(f.dataType) for f in held.schema.fields if f.name in keys}
+    parts = held.mapInArrow(run, schema)
+    total = lambda m: F.array(*[F.sum(F.get(f"sums_{m.name}", F.lit(i))) for i in range(len(m.names) * (len(m.names) + 3) // 2)])
+    return parts.groupBy(*of).agg(*[total(m).alias(f"sums_{m.name}") for m in models])
+
+
 def _products(m: Glm, seen: Column) -> Column:
     """Sums of weighted products of features, then of features and what the labels differ by."""
     y, mu = F.col(m.label).cast("double"), F.col(f"mu_{m.name}")

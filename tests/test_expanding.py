@@ -64,8 +64,10 @@ def test_linear_model_is_a_refit_on_all_that_is_known(panel):
         assert math.isclose(r.y_pred, float(beta @ [here[n] for n in names]), rel_tol=1e-6, abs_tol=1e-6)
 
 
+@pytest.mark.parametrize("sent", [100_000, 0])
 @pytest.mark.parametrize("family", ["logistic", "poisson", "tweedie"])
-def test_coefficients_are_recovered(spark, family):
+def test_coefficients_are_recovered(spark, monkeypatch, family, sent):
+    monkeypatch.setattr(ex, "BROADCAST", sent)
     pick = np.random.default_rng(1)
     x = pick.normal(size=(6000, 2))
     eta = 0.3 + 0.8 * x[:, 0] - 0.5 * x[:, 1]
@@ -77,6 +79,15 @@ def test_coefficients_are_recovered(spark, family):
         assert np.allclose(r.beta_y_pred, [0.3, 0.8, -0.5], atol=0.12)
 
 
+def test_the_two_ways_to_sum_agree(panel, monkeypatch):
+    rows, got = ex.direct_rows(panel, (1, 5)), []
+    for sent in (100_000, 0):
+        monkeypatch.setattr(ex, "BROADCAST", sent)
+        found = ex.expanding_backtest(rows, ex.hurdle(), start=90, keys=("region",), retrain=15).collect()
+        got.append({(r.region, r.t0, r.horizon): (round(r.y_prob, 8), round(r.y_count, 8)) for r in found})
+    assert got[0] == got[1] and len(got[0]) == 2 * (50 + 46)
+
+
 def test_no_rows_and_one_class(spark, panel):
     rows = ex.direct_rows(panel, (1,))
     assert ex.expanding_backtest(rows, ex.glm(), start=500).count() == 0
