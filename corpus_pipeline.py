@@ -5,8 +5,8 @@ Every stage works on all rows that the one before kept, and all but the last ret
 
 Null texts, and texts without a letter, have no language and go in the first stage, as do empty ones. Null
 doc_ids and languages are kept as they are. Rows that repeat doc_id and text are one document: they
-keep the same lines, and one of them stays. Rows with one doc_id and different texts are documents of
-their own, but a leak in one takes all of that doc_id. Other columns pass every stage, whatever their
+keep the same lines, and one of them stays. Rows with one doc_id, or none, and different texts are documents of
+their own in every stage. Other columns pass every stage, whatever their
 names. An empty table gives an empty result. Very long texts are handled whole.
 """
 

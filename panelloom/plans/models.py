@@ -535,21 +535,18 @@ def _trained_scores(long, *keys):
 
 @plan()
 def leaderboard_trained(spark, sf_dir):
-    """Every trained model in every regime, and the naive ones: errors, scaled errors averaged over regions, rank metrics of the probabilities, and the place by error."""
+    """Every trained model in every regime, and the naive ones, over all and side by side by horizon and by region: errors; over all also scaled errors
+    averaged over regions, rank metrics of the probabilities, and the place by scaled error."""
     long, panel = _trained(spark, sf_dir), orders_panel(spark, sf_dir)
+    keys = ["model", "regime"]
     scales = metrics.naive_scales(panel, int(_COUNTS * bt.length(panel)))
-    by_region = _trained_scores(long, "model", "regime", "region").join(F.broadcast(scales), "region")
-    macro = by_region.groupBy("model", "regime").agg(F.avg(F.col("MAE") / F.nullif("mae_scale", F.lit(0.0))).alias("MASE_mean"), F.avg(F.col("RMSE") / F.nullif("rmse_scale", F.lit(0.0))).alias("RMSSE_mean"))
-    ranked = metrics.pr_auc(long.filter("y_prob IS NOT NULL"), ["model", "regime"]).join(metrics.roc_auc(long.filter("y_prob IS NOT NULL"), ["model", "regime"]), ["model", "regime"])
-    found = _trained_scores(long, "model", "regime").join(macro, ["model", "regime"]).join(ranked, ["model", "regime"], "left")
-    return found.withColumn("place", F.rank().over(Window.orderBy("RMSSE_mean")))  # a row for each model and regime
-
-
-@plan()
-def leaderboard_trained_views(spark, sf_dir):
-    """The regimes side by side, by horizon and by region."""
-    long = _trained(spark, sf_dir)
-    return _trained_scores(long, "model", "regime", "horizon").unionByName(_trained_scores(long, "model", "regime", "region"), allowMissingColumns=True)
+    by_region = _trained_scores(long, *keys, "region")
+    scaled = by_region.join(F.broadcast(scales), "region").groupBy(*keys)
+    macro = scaled.agg(F.avg(F.col("MAE") / F.nullif("mae_scale", F.lit(0.0))).alias("MASE_mean"), F.avg(F.col("RMSE") / F.nullif("rmse_scale", F.lit(0.0))).alias("RMSSE_mean"))
+    probable = long.filter("y_prob IS NOT NULL")
+    ranked = metrics.pr_auc(probable, keys).join(metrics.roc_auc(probable, keys), keys)
+    whole = _trained_scores(long, *keys).join(macro, keys).join(ranked, keys, "left").withColumn("place", F.rank().over(Window.orderBy("RMSSE_mean")))  # a row for each model and regime
+    return whole.unionByName(_trained_scores(long, *keys, "horizon"), allowMissingColumns=True).unionByName(by_region, allowMissingColumns=True)
 
 
 @plan()
