@@ -38,6 +38,7 @@ def table():
         docs.append((d, text, lang))
     docs += [(200, docs[0][1], "aa"), (201, docs[3][1] + " one more", docs[3][2]), (202, None, "aa"), (203, "", "aa"), (204, "12 34", None), (205, "x", None)]
     docs += [(206, items[0][1], "bb"), (207, passage[0] + "\n" + passage[1], "cc"), (3, docs[3][1], docs[3][2]), (3, prose("aa", 40), "aa"), (None, prose("bb", 40), "bb"), (208, prose("cc", 9000), None)]
+    docs += [(None, prose(lang, 40), lang) for lang in ("aa", "bb", "cc")] + [(None, prose("aa", 30) + " " + items[1][1], "aa")]  # of five texts without an id one leaks
     rows = [(d, t, lang, "s", None if t is None else len(t), "clash", 1) for d, t, lang in docs]
     return rows, items
 
@@ -95,9 +96,10 @@ def test_each_stage_against_a_plain_version(spark, folder):
     assert sum(r[0] == 3 for r in got) == 2  # two texts of one doc_id, of which one stood twice
 
     held = got
-    leaks = {d for d, _ in test_decontaminate.brute([(r[0], r[1]) for r in held], items)}
+    leaks = {i for i, _ in test_decontaminate.brute([(i, r[1]) for i, r in enumerate(held)], items)}
     got = took("decontamination", held)
-    assert key(got) == key([r for r in held if r[0] not in leaks]) and len(leaks) > 3
+    assert key(got) == key([r for i, r in enumerate(held) if i not in leaks]) and len(leaks) > 3
+    assert sum(r[0] is None for r in held) == 5 and sum(r[0] is None for r in got) == 4
 
     with open(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), "rb") as lines:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
