@@ -122,8 +122,8 @@ class Glm:
             mu = np.exp(eta)
             root = np.sqrt(mu) if self.family == "tweedie" else 1.0
             weigh, pull = mu / root, (y[:, None] - mu) / root
-        weigh, pull, upper = weigh * seen, pull * seen, np.triu_indices(x.shape[1])
-        return np.array([np.append(((x * weigh[:, [k]]).T @ x)[upper], pull[:, k] @ x) for k in range(eta.shape[1])])
+        a, b = np.triu_indices(x.shape[1])
+        return np.hstack([(weigh * seen).T @ (x[:, a] * x[:, b]), (pull * seen).T @ x])
 
     def begin(self, total: Column, n: Column) -> Column:
         """The constant to begin with, of labels' total and number; null without any."""
@@ -138,7 +138,8 @@ class Glm:
 def fitted(train: DataFrame, keys: list[str], models: list[Glm], fits: int | None = None, by: tuple[str, ...] = ("known",), sees: str = "known <= fit", steps: int = 8) -> DataFrame:
     """keys, and for each model its coefficients (``beta_`` and its name; null without rows), the total of its labels and their number
     (``total_``, ``n_``). All models take each Newton step together, in one job that sums products by key, which tasks combine before the shuffle:
-    as matrix products in the tasks while the coefficients are few enough to be sent to all of them, beyond that by a join.
+    as matrix products in the tasks while the coefficients are few enough to be sent to all of them, beyond that by a join. Gaussian models alone take
+    one step from 0, whose sums are added up over the fits after the rows have been grouped.
 
     With ``fits`` there are that many fits of each key, numbered in ``fit``; ``sees`` tells which fits see a row, by its columns ``by``.
     """
@@ -153,15 +154,22 @@ def fitted(train: DataFrame, keys: list[str], models: list[Glm], fits: int | Non
     state = written(small.withColumns({m.beta: F.when(first[m.beta].isNotNull(), F.array(first[m.beta], *[F.lit(0.0)] * len(m.features))) for m in models}))
     steps = steps if any(m.family != "gaussian" for m in models) else 1
     few = state.count() <= BROADCAST
-    held = train
-    if few and steps > 1:  # every step reads the rows, with the fits that see each
-        sight = F.expr(f"transform(sequence(0, {fits - 1}), fit -> coalesce({sees}, false))") if fits else F.array(F.lit(True))
-        columns = list(dict.fromkeys([*keys, *[c for m in models for c in (*m.names, m.label)]]))
-        held = written(train.select(*columns, *[seen[m.name].alias(f"_seen_{m.name}") for m in models], sight.alias("_sees")))
+    held, by, sight = train, by if fits is not None else (), {}
+    if few and steps > 1:  # every step reads the rows; which fits see one is told by its columns ``by``
+        columns = list(dict.fromkeys([*keys, *by, *[c for m in models for c in (*m.names, m.label)]]))
+        # In the order of the keys, so that a batch holds few of them.
+        held = written(train.select(*columns, *[seen[m.name].alias(f"_seen_{m.name}") for m in models]).sortWithinPartitions(*keys))
+        if fits:  # a row for each refit from which on rows are known, or for each fold
+            sights = held.select(*by).distinct().withColumn("_sees", F.expr(f"transform(sequence(0, {fits - 1}), fit -> coalesce({sees}, false))"))
+            sight = {tuple(r[c] for c in by): np.array(r["_sees"], float) for r in sights.collect()}
     for step in range(steps):
         moving = [m for m in models if m.family != "gaussian" or step == 0]
         if few and steps > 1:
-            sums = _summed_in_tasks(held, keys, state, moving, fits)
+            sums = _summed_in_tasks(held, keys, state, moving, fits, by, sight)
+        elif steps == 1:
+            sums = held.withColumns({f"mu_{m.name}": F.lit(0.0) for m in moving}).groupBy(*keys, *by).agg(*[_products(m, seen[m.name]).alias(f"sums_{m.name}") for m in moving])
+            sums = sums.withColumn("fit", axis).filter(sees) if fits is not None else sums
+            sums = sums.groupBy(*of).agg(*[_total(m) for m in moving])
         else:
             sent = state.select(*of, *[m.beta for m in moving])
             met = held.join(F.broadcast(sent) if few else sent, keys)
@@ -172,7 +180,12 @@ def fitted(train: DataFrame, keys: list[str], models: list[Glm], fits: int | Non
     return state
 
 
-def _summed_in_tasks(held: DataFrame, keys: list[str], state: DataFrame, models: list[Glm], fits: int | None) -> DataFrame:
+def _total(m: Glm) -> Column:
+    """The arrays of sums added up, place by place."""
+    return F.array(*[F.sum(F.get(f"sums_{m.name}", F.lit(i))) for i in range(len(m.names) * (len(m.names) + 3) // 2)]).alias(f"sums_{m.name}")
+
+
+def _summed_in_tasks(held: DataFrame, keys: list[str], state: DataFrame, models: list[Glm], fits: int | None, by: tuple[str, ...], sight: dict) -> DataFrame:
     """As the grouped sums of ``_products``: tasks, which all get the coefficients, add up matrix products of the rows they have."""
     of = [*keys, *["fit"] * (fits is not None)]
     known: dict = {}
@@ -181,25 +194,32 @@ def _summed_in_tasks(held: DataFrame, keys: list[str], state: DataFrame, models:
         for m in models:
             if r[m.beta] is not None:
                 own[m.name][r["fit"] if fits is not None else 0] = r[m.beta]
-    sent = held.sparkSession.sparkContext.broadcast(known)
+    # Of values that no fit sees, the last row.
+    table = np.array([*sight.values(), np.zeros(fits)]) if fits is not None else np.ones((1, 1))
+    sent = held.sparkSession.sparkContext.broadcast((known, {v: i for i, v in enumerate(sight)}, table))
     kinds = {f.name: f.dataType.simpleString() for f in held.schema.fields}
     schema = ", ".join([*(f"{k} {kinds[k]}" for k in keys), "fit int", *(f"sums_{m.name} array<double>" for m in models)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        betas, sums = sent.value, {}
+        betas, places, table = sent.value
+        sums: dict = {}
         for batch in batches:
             if not batch.num_rows:
                 continue
-            sees = batch.column("_sees").flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
             column = {n: batch.column(n).to_numpy(zero_copy_only=False).astype(float) for n in {c for m in models for c in (*m.names, m.label, f"_seen_{m.name}")}}
-            frame = pa.Table.from_batches([batch]).select(keys).to_pandas()
+            frame = pa.Table.from_batches([batch]).select([*keys, *by]).to_pandas()
+            place = np.zeros(batch.num_rows, np.int64)
+            if by:
+                code, values = pd.MultiIndex.from_frame(frame[list(by)]).factorize()
+                place = np.array([places.get(v, -1) for v in values])[code]
             for key, at in frame.groupby(keys, sort=False, dropna=False).indices.items():
                 key = key if isinstance(key, tuple) else (key,)
                 if key not in betas:
                     continue
-                own = sums.setdefault(key, {m.name: np.zeros((sees.shape[1], len(m.names) * (len(m.names) + 3) // 2)) for m in models})
+                own = sums.setdefault(key, {m.name: np.zeros((table.shape[1], len(m.names) * (len(m.names) + 3) // 2)) for m in models})
+                sees = table[place[at]]
                 for m in models:
-                    own[m.name] += m.products(np.column_stack([column[n][at] for n in m.names]), column[m.label][at], sees[at] * column[f"_seen_{m.name}"][at, None], betas[key][m.name])
+                    own[m.name] += m.products(np.column_stack([column[n][at] for n in m.names]), column[m.label][at], sees * column[f"_seen_{m.name}"][at, None], betas[key][m.name])
         rows = [(key, fit, {n: x[fit] for n, x in own.items()}) for key, own in sums.items() for fit in range(fits or 1)]
         columns = [pa.array([key[i] for key, _, _ in rows], held_types[k]) for i, k in enumerate(keys)]
         columns += [pa.array([fit for _, fit, _ in rows], pa.int32()), *(pa.array([x[m.name] for _, _, x in rows], pa.list_(pa.float64())) for m in models)]
@@ -207,8 +227,7 @@ def _summed_in_tasks(held: DataFrame, keys: list[str], state: DataFrame, models:
 
     held_types = {f.name: to_arrow_type(f.dataType) for f in held.schema.fields if f.name in keys}
     parts = held.mapInArrow(run, schema)
-    total = lambda m: F.array(*[F.sum(F.get(f"sums_{m.name}", F.lit(i))) for i in range(len(m.names) * (len(m.names) + 3) // 2)])
-    return parts.groupBy(*of).agg(*[total(m).alias(f"sums_{m.name}") for m in models])
+    return parts.groupBy(*of).agg(*[_total(m) for m in models])
 
 
 def _products(m: Glm, seen: Column) -> Column:

@@ -5,6 +5,7 @@ import os
 
 import duckdb
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -116,3 +117,27 @@ def test_hurdle_forecasts(panel):
             own = [r for r in got if r.region == k]
             assert all(0 <= r.y_prob <= 1 and r.y_count >= 0 and math.isclose(r.y_pred, r.y_prob * r.y_count) for r in own)
             assert abs(sum(r.y_pred for r in own) / len(own) - mean) < 0.5 * mean + 0.3
+
+
+@pytest.mark.parametrize("family", ["gaussian", "poisson"])
+def test_rows_are_summed_before_they_meet_the_fits(spark, monkeypatch, family):
+    """300 refits: what the steps read holds neither a row nor a value for each refit."""
+    rng = np.random.default_rng(5)
+    frame = pd.DataFrame({"k": rng.integers(0, 2, 900), "one": 1.0, "u": rng.normal(size=900), "known": rng.integers(0, 300, 900)})
+    frame["y"] = rng.poisson(np.exp(0.5 + 0.3 * frame.u)).astype(float)
+    grouped, kept = [], ex.written
+    monkeypatch.setattr(ex, "_products", lambda *a, of=ex._products: grouped.append(a) or of(*a))
+    monkeypatch.setattr(ex, "written", lambda df: grouped.append(df.schema) or kept(df))
+    model = ex.Glm(family, ("u",), "y")
+    found = {(r.k, r.fit): r for r in ex.fitted(spark.createDataFrame(frame), ["k"], [model], 300).collect()}
+    assert not [f.name for s in grouped if hasattr(s, "fields") for f in s.fields if f.name == "_sees"]
+    for k, fit in [(0, 20), (1, 150), (0, 299)]:
+        own = frame[(frame.k == k) & (frame.known <= fit)]
+        x, beta = own[["one", "u"]].to_numpy(), np.array([np.log(own.y.mean()) if family == "poisson" else 0.0, 0.0])
+        for _ in range(8 if family == "poisson" else 1):
+            mu = np.exp(x @ beta) if family == "poisson" else x @ beta
+            w = mu if family == "poisson" else np.ones(len(x))
+            step = np.linalg.solve((x * w[:, None]).T @ x + 1e-3 * np.eye(2), x.T @ (own.y.to_numpy() - mu) - 1e-3 * beta)
+            beta = beta + (step / max(1.0, np.abs(step).max() / 4) if family == "poisson" else step)
+        assert found[k, fit]["n_y_pred"] == len(own)
+        assert np.allclose(found[k, fit]["beta_y_pred"], beta, atol=1e-9)
