@@ -335,7 +335,7 @@ def hurdle_hard_gate(spark, sf_dir):
 
 def _expanding(spark, sf_dir, builder, keys=(), share=0.8, retrain=112):
     """A backtest of ``builder`` from a share of the steps on; ``keys`` is the regime: all rows, tiers, or regions."""
-    panel = orders_panel(spark, sf_dir)
+    panel = written(orders_panel(spark, sf_dir))  # its length, its tiers and its rows, of orders read once
     start = int(share * bt.length(panel))
     if "tier" in keys:
         panel = panel.join(F.broadcast(tiers(panel).select("region", F.coalesce("tier", F.lit(-1)).alias("tier"))), "region")
@@ -379,13 +379,13 @@ _RETRAIN, _BEGIN, _COUNTS = 112, 0.7, 0.8
 
 
 def _regimes(spark, sf_dir):
-    """Rows of the three regimes under one key: all regions together, by tier, and by themselves; and the two steps."""
-    panel = orders_panel(spark, sf_dir)
-    n = bt.length(panel)
-    panel = panel.join(F.broadcast(tiers(panel).select("region", F.coalesce("tier", F.lit(-1)).cast("string").alias("tier"))), "region")
+    """Rows of the three regimes under one key: all regions together, by tier, and by themselves; the two steps; and the panel, written."""
+    whole = written(orders_panel(spark, sf_dir))
+    n = bt.length(whole)
+    panel = whole.join(F.broadcast(tiers(whole).select("region", F.coalesce("tier", F.lit(-1)).cast("string").alias("tier"))), "region")
     unit = lambda name, of: F.struct(F.lit(name).alias("regime"), of.alias("unit"))
     rows = ex.direct_rows(panel, carry=("tier",)).withColumn("r", F.explode(F.array(unit("global", F.lit("all")), unit("activity", F.col("tier")), unit("local", F.col("region")))))
-    return rows.select("r.regime", "r.unit", *[c for c in rows.columns if c not in ("r", "tier")]), int(_BEGIN * n), int(_COUNTS * n), panel
+    return rows.select("r.regime", "r.unit", *[c for c in rows.columns if c not in ("r", "tier")]), int(_BEGIN * n), int(_COUNTS * n), whole
 
 
 def _calibrated(spark, sf_dir):
@@ -504,8 +504,9 @@ def topk_winner(spark, sf_dir):
 
 
 def _trained(spark, sf_dir):
-    """(model, regime, region, t0, horizon, y_true, y_pred, y_prob, y_count), written: forecasts of every trained model and regime, and of the naive ones."""
-    rows, begin, counts, _ = _regimes(spark, sf_dir)
+    """(model, regime, region, t0, horizon, y_true, y_pred, y_prob, y_count), written: forecasts of every trained model and regime, and of the naive ones;
+    the step where they count, and the panel."""
+    rows, begin, counts, panel = _regimes(spark, sf_dir)
     rows, keys = written(rows), ("regime", "unit")
     none = F.lit(None).cast("double")
     shape = lambda df, model, pred, prob=none, count=none: df.select(F.lit(model).alias("model"), "regime", "region", "t0", "horizon", "y_true", pred.cast("double").alias("y_pred"), prob.alias("y_prob"), count.alias("y_count"))
@@ -520,7 +521,7 @@ def _trained(spark, sf_dir):
     naive = [("weekly", F.col("y_week")), ("last", F.col("lag_1")), ("zero", F.lit(0.0))]
     for name, value in naive:
         out = out.unionByName(shape(once, name, value))
-    return written(out)
+    return written(out), counts, panel
 
 
 def _trained_scores(long, *keys):
@@ -537,9 +538,9 @@ def _trained_scores(long, *keys):
 def leaderboard_trained(spark, sf_dir):
     """Every trained model in every regime, and the naive ones, over all and side by side by horizon and by region: errors; over all also scaled errors
     averaged over regions, rank metrics of the probabilities, and the place by scaled error."""
-    long, panel = _trained(spark, sf_dir), orders_panel(spark, sf_dir)
+    long, counts, panel = _trained(spark, sf_dir)
     keys = ["model", "regime"]
-    scales = metrics.naive_scales(panel, int(_COUNTS * bt.length(panel)))
+    scales = metrics.naive_scales(panel, counts)
     by_region = _trained_scores(long, *keys, "region")
     scaled = by_region.join(F.broadcast(scales), "region").groupBy(*keys)
     macro = scaled.agg(F.avg(F.col("MAE") / F.nullif("mae_scale", F.lit(0.0))).alias("MASE_mean"), F.avg(F.col("RMSE") / F.nullif("rmse_scale", F.lit(0.0))).alias("RMSSE_mean"))
@@ -552,7 +553,7 @@ def leaderboard_trained(spark, sf_dir):
 @plan()
 def component_summary_trained(spark, sf_dir):
     """The hurdle's parts in each regime: probabilities raw and calibrated, counts on active days, and what they make together."""
-    long = _trained(spark, sf_dir).filter("y_prob IS NOT NULL")
+    long = _trained(spark, sf_dir)[0].filter("y_prob IS NOT NULL")
     of = lambda name: F.regexp_replace("model", "hurdle", name)
     columns = ["component", "regime"]
     whole = _trained_scores(long.withColumn("component", of("hurdle")), *columns).drop("brier")

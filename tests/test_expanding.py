@@ -141,3 +141,18 @@ def test_rows_are_summed_before_they_meet_the_fits(spark, monkeypatch, family):
             beta = beta + (step / max(1.0, np.abs(step).max() / 4) if family == "poisson" else step)
         assert found[k, fit]["n_y_pred"] == len(own)
         assert np.allclose(found[k, fit]["beta_y_pred"], beta, atol=1e-9)
+
+
+@tables
+def test_orders_are_read_once(spark, monkeypatch):
+    seen = []
+
+    def rows(panel, **others):
+        seen.append(panel.inputFiles())
+        raise InterruptedError
+
+    monkeypatch.setattr(models.ex, "direct_rows", rows)
+    for run in (models.hurdle_backtest_by_tier, models.leaderboard_trained, models.component_summary_trained):
+        with pytest.raises(InterruptedError):
+            run(spark, SF)
+    assert seen == [[], [], []]  # the panel was written before its length, tiers and rows were taken
