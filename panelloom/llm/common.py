@@ -37,12 +37,17 @@ def durable(df: DataFrame) -> DataFrame:
     # The driver drops shuffle files when it collects the plans that made them; without this they'd stay for a long query's
     # whole run. Quick steps leave little behind, so they don't pay for a collection each.
     if time.monotonic() - _collected[0] > BETWEEN:
-        gc.collect()
-        context._jvm.System.gc()
-        _collected[0] = time.monotonic()
+        released(spark)
     return kept
 
 
+def released(spark: SparkSession) -> None:
+    """Lets the driver give up what earlier plans left in it, in Python and in the JVM."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+    _collected[0] = time.monotonic()
+
+
 def slices(sizes, limit: int):
     """(start, end) ranges of consecutive rows whose sizes sum to about ``limit``; a larger row stands alone."""
     start, held = 0, 0

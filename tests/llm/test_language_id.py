@@ -1,6 +1,7 @@
 import math
 import random
 
+import numpy as np
 import pytest
 
 from panelloom.llm import language_id
@@ -80,3 +81,16 @@ def test_the_sample_is_bounded(spark, doc_id):
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
     model = language_id.learn(docs, per_lang=20)
     assert model.languages in (["aa"], [])
+
+
+def test_examples_lie_in_two_buffers():
+    """Four bytes for each bucket of a text, and the same shares as from its own arrays."""
+    examples, texts = language_id.Examples(), [b" one two three ", b" x ", b" " + b"ab " * 30_000]
+    for k, text in enumerate(texts):
+        examples.add(text, k)
+    assert len(examples) == 3 and examples.buckets.itemsize + examples.times.itemsize == 4
+    for k, text in enumerate(texts):
+        h = np.concatenate(language_id._hashes(np.frombuffer(text + b" " * max(0, 5 - len(text)), np.uint8)))
+        where, n = np.unique(h, return_counts=True)
+        buckets, share, label = examples[k]
+        assert label == k and (buckets == where).all() and np.array_equal(share, (n / n.sum()).astype(np.float32))
