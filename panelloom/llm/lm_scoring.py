@@ -46,6 +46,8 @@ BATCH, NOISE, WORD_NOISE, DRAWN, RATE, ROUNDS = 4096, 16, 12, 64, 0.2, 2
 TASK_TOKENS = 1_000_000
 #: Parameter rows that travel together, and elements of one matrix product's result, which stays in a core's cache.
 ROWS, ELEMENTS = 4096, 1 << 17
+#: Tokens of one class that are multiplied together in training.
+TILE = 16
 END = b"\n"
 SCHEMA = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
@@ -186,8 +188,8 @@ def _log_sums(h: np.ndarray, rows: np.ndarray) -> np.ndarray:
 
 
 def _data(z: np.ndarray) -> np.ndarray:
-    """The probability that a token is data and not noise, from the difference of its log odds."""
-    odds = np.clip(z, -30, 30)
+    """The probability that a token is data and not noise, from the difference of its log odds, in whose place it is put."""
+    odds = np.clip(z, -30, 30, out=z)
     np.exp(np.negative(odds, out=odds), out=odds)
     odds += 1
     return np.reciprocal(odds, out=odds)
@@ -220,15 +222,18 @@ class Trainer:
         x, y, t = x[order], y[order], t[order]
         c = m.of_class[t]
         s0, s1 = m.scales[:, :WIDTH].copy()
-        rx, ry = m.context[x, :WIDTH], m.context[y, :WIDTH]
+        rx, ry = m.context.take(x, axis=0)[:, :WIDTH], m.context.take(y, axis=0)[:, :WIDTH]
         h = np.ones((len(t), WIDTH + 1), np.float32)
         h[:, :WIDTH] = rx * s0 + ry * s1
         # classes: the true one of each token against classes drawn once for all tokens of the step
         drawn = np.searchsorted(self.class_ends, self.pick.random(DRAWN) * self.class_ends[-1]).clip(max=len(self.class_ends) - 1)
         heads, many = _runs(c)
-        own, others = m.classes[c], m.classes[drawn]
+        own, others = m.classes.take(c, axis=0), m.classes[drawn]
         up = 1 - _data(_scores(h, own) - self.class_noise[c])
-        down = _data(h @ others.T - self.class_noise[drawn]) * np.float32(-NOISE / DRAWN)
+        z = h @ others.T
+        z -= self.class_noise[drawn]
+        down = _data(z)
+        down *= np.float32(-NOISE / DRAWN)
         back = up[:, None] * own + down @ others
         classes = np.append(c[heads], drawn), np.concatenate([np.add.reduceat(up[:, None] * h, heads), down.T @ h]), np.append(many, np.ones(DRAWN))
         # tokens: the true one against tokens drawn from its class, for each class of more than one
@@ -239,16 +244,19 @@ class Trainer:
             heads, many = _runs(ch)
             low, sizes = edges[ch[heads]], np.diff(edges)[ch[heads]]
             noise = low[:, None] + (self.pick.random((len(heads), WORD_NOISE)) * sizes[:, None]).astype(np.int64)
-            own, others = m.output[tt], m.output[noise]
-            runs = [slice(a, b) for a, b in zip(heads.tolist(), (heads + many).tolist(), strict=True)]
-            z, pulled, pushed = np.empty((len(k), WORD_NOISE), np.float32), np.empty_like(k), np.empty_like(others)
-            for run, rows in zip(runs, others, strict=True):
-                np.matmul(k[run], rows.T, out=z[run])
+            own, others = m.output.take(tt, axis=0), m.output[noise]
+            # A class's tokens in tiles of the same height, so that all tiles are multiplied in one call; in places beyond a class's last token nothing is to learn.
+            place, tile_of, tiles = _tiles(many)
+            tokens_at = np.append(k, np.zeros((1, WIDTH + 1), np.float32), axis=0).take(place, axis=0)
+            drawn_at = others.take(tile_of, axis=0)
+            z = np.matmul(tokens_at, drawn_at.transpose(0, 2, 1))
+            z -= np.append(self.word_noise[ch], np.float32(0)).take(place)[:, :, None]
             up = 1 - _data(_scores(k, own) - self.word_noise[ch])
-            down = _data(z - self.word_noise[ch][:, None]) * np.float32(-1)
-            for run, rows, push in zip(runs, others, pushed, strict=True):
-                np.matmul(down[run], rows, out=pulled[run])
-                np.matmul(down[run].T, k[run], out=push)
+            down = _data(z)
+            np.negative(down, out=down)
+            down[place == len(k)] = 0
+            pulled = np.matmul(down, drawn_at).reshape(-1, WIDTH + 1)[place.ravel() < len(k)]
+            pushed = np.add.reduceat(np.matmul(down.transpose(0, 2, 1), tokens_at), tiles, axis=0)
             back[here] += up[:, None] * own + pulled
             first, times = _runs(tt)
             grads = np.concatenate([np.add.reduceat(up[:, None] * k, first), pushed.reshape(-1, WIDTH + 1)])
@@ -287,6 +295,16 @@ def _runs(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return heads, np.diff(np.append(heads, len(values)))
 
 
+def _tiles(many: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For runs of these lengths, end to end: TILE places in each tile, the number of all rows where a run has no more; the run of each tile; where runs' tiles begin."""
+    number = -(-many // TILE)
+    first = np.cumsum(number) - number
+    of = np.repeat(np.arange(len(many)), number)
+    inside = (np.arange(len(of)) - first[of])[:, None] * TILE + np.arange(TILE)
+    starts = np.cumsum(many) - many
+    return np.where(inside < many[of][:, None], starts[of][:, None] + inside, many.sum()), of, first
+
+
 def _summed(rows: np.ndarray, values: np.ndarray, times: np.ndarray):
     """Distinct rows, and the sums of their values and of their times."""
     if not len(rows):

@@ -102,3 +102,42 @@ def test_no_rows(spark):
     assert lm_scoring.scored(docs.limit(0), *lm_scoring.fit(docs)).count() == 0
     r = lm_scoring.scored(docs, *lm_scoring.fit(docs.limit(0))).first()
     assert (r.n_tokens, r.n_known, r.train_tokens) == (3, 0, 0)
+
+
+def test_a_step_takes_a_fixed_number_of_products(monkeypatch):
+    """All classes' tokens are multiplied in tiles, whatever their number, with the results of a product for each class."""
+    pick = np.random.default_rng(2)
+    counts = np.sort(pick.zipf(1.3, 4000) % 5000 + 1)[::-1]
+    v = lm_scoring.Vocabulary({str(i).encode(): i for i in range(4000)}, counts, int(counts.sum()) + 500, 4400)
+    start = lm_scoring.Model.start(v)
+    start.rows[:] += pick.normal(0, 0.1, start.rows.shape)
+    n = 700
+    many = np.diff(lm_scoring._runs(np.sort(start.of_class[pick.integers(0, 4001, n)]))[0], append=n)
+    place, of, first = lm_scoring._tiles(many)
+    assert place.shape == (len(of), lm_scoring.TILE) and (place[place < n] == np.arange(n)).all() and (of[first] == np.arange(len(many))).all()
+    assert all((place[of == r][place[of == r] < n] == np.arange(many[:r].sum(), many[: r + 1].sum())).all() for r in range(len(many)))
+
+    calls, kept = [], np.matmul
+    monkeypatch.setattr(np, "matmul", lambda *a, **k: calls.append(1) or kept(*a, **k))
+    x, y, t = (pick.integers(0, 4001, n) for _ in range(3))
+    trainer = lm_scoring.Trainer(start, v, 5)
+    trainer._step(x, y, t)
+    assert len(calls) == 3
+
+    # the output rows of one step, by a loop over the tokens
+    again, m, edges = np.random.default_rng(5), start, start.edges
+    t, x, y = (z[np.argsort(t)] for z in (t, x, y))
+    again.random(lm_scoring.DRAWN)
+    h = m.predicted(x, y).astype(float)
+    keep = [i for i in range(n) if edges[m.of_class[t[i]] + 1] - edges[m.of_class[t[i]]] > 1]
+    met = sorted({int(m.of_class[t[i]]) for i in keep})
+    noise = dict(zip(met, (again.random((len(met), lm_scoring.WORD_NOISE)) * np.array([edges[c + 1] - edges[c] for c in met])[:, None]).astype(int), strict=True))
+    grad, sigma = np.zeros(m.output.shape), lambda z: 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+    for i in keep:
+        c = int(m.of_class[t[i]])
+        off = np.log(lm_scoring.WORD_NOISE / (edges[c + 1] - edges[c]))
+        grad[t[i]] += (1 - sigma(m.output[t[i]] @ h[i] - off)) * h[i]
+        for w in edges[c] + noise[c]:
+            grad[w] -= sigma(m.output[w] @ h[i] - off) * h[i]
+    moved = grad * (lm_scoring.RATE / np.sqrt(1 + (grad**2).sum(1) / (lm_scoring.WIDTH + 1)))[:, None]
+    assert np.allclose(trainer.model.output - m.output, moved, atol=2e-5)
