@@ -146,7 +146,8 @@ class Model:
     def predicted(self, last: np.ndarray, before: np.ndarray) -> np.ndarray:
         """The vector of the next token, and 1 for its bias."""
         h = np.ones((len(last), WIDTH + 1), np.float32)
-        h[:, :WIDTH] = self.context[last, :WIDTH] * self.scales[0, :WIDTH] + self.context[before, :WIDTH] * self.scales[1, :WIDTH]
+        np.multiply(self.context.take(last, axis=0)[:, :WIDTH], self.scales[0, :WIDTH], out=h[:, :WIDTH])
+        h[:, :WIDTH] += self.context.take(before, axis=0)[:, :WIDTH] * self.scales[1, :WIDTH]
         return h
 
     def log_probabilities(self, target: np.ndarray, last: np.ndarray, before: np.ndarray) -> np.ndarray:
@@ -156,12 +157,12 @@ class Model:
         order = np.argsort(target)  # classes are runs of tokens
         target, back = target[order], back[order]
         of = self.of_class[target]
-        found = _scores(h[back], self.classes[of]) - _log_sums(h, self.classes)[back]
+        found = _scores(h.take(back, axis=0), self.classes.take(of, axis=0)) - _log_sums(h, self.classes)[back]
         ends = np.searchsorted(of, np.arange(len(self.edges)))
         for c in np.flatnonzero((np.diff(self.edges) > 1) & (np.diff(ends) > 0)).tolist():
             here = slice(ends[c], ends[c + 1])
-            x = h[back[here]]
-            found[here] += _scores(x, self.output[target[here]]) - _log_sums(x, self.output[self.edges[c] : self.edges[c + 1]])
+            x = h.take(back[here], axis=0)
+            found[here] += _scores(x, self.output.take(target[here], axis=0)) - _log_sums(x, self.output[self.edges[c] : self.edges[c + 1]])
         out = np.empty_like(found)
         out[order] = found
         return out
@@ -228,7 +229,7 @@ class Trainer:
         # classes: the true one of each token against classes drawn once for all tokens of the step
         drawn = np.searchsorted(self.class_ends, self.pick.random(DRAWN) * self.class_ends[-1]).clip(max=len(self.class_ends) - 1)
         heads, many = _runs(c)
-        own, others = m.classes.take(c, axis=0), m.classes[drawn]
+        own, others = m.classes.take(c, axis=0), m.classes.take(drawn, axis=0)
         up = 1 - _data(_scores(h, own) - self.class_noise[c])
         z = h @ others.T
         z -= self.class_noise[drawn]
@@ -240,11 +241,11 @@ class Trainer:
         here = np.flatnonzero(edges[c + 1] - edges[c] > 1)
         tokens = t[:0], h[:0], many[:0]
         if len(here):
-            k, tt, ch = h[here], t[here], c[here]
+            k, tt, ch = h.take(here, axis=0), t[here], c[here]
             heads, many = _runs(ch)
             low, sizes = edges[ch[heads]], np.diff(edges)[ch[heads]]
             noise = low[:, None] + (self.pick.random((len(heads), WORD_NOISE)) * sizes[:, None]).astype(np.int64)
-            own, others = m.output.take(tt, axis=0), m.output[noise]
+            own, others = m.output.take(tt, axis=0), m.output.take(noise, axis=0)
             # A class's tokens in tiles of the same height, so that all tiles are multiplied in one call; in places beyond a class's last token nothing is to learn.
             place, tile_of, tiles = _tiles(many)
             tokens_at = np.append(k, np.zeros((1, WIDTH + 1), np.float32), axis=0).take(place, axis=0)
@@ -255,12 +256,11 @@ class Trainer:
             down = _data(z)
             np.negative(down, out=down)
             down[place == len(k)] = 0
-            pulled = np.matmul(down, drawn_at).reshape(-1, WIDTH + 1)[place.ravel() < len(k)]
+            pulled = np.matmul(down, drawn_at).reshape(-1, WIDTH + 1).take(np.flatnonzero(place.ravel() < len(k)), axis=0)
             pushed = np.add.reduceat(np.matmul(down.transpose(0, 2, 1), tokens_at), tiles, axis=0)
             back[here] += up[:, None] * own + pulled
-            first, times = _runs(tt)
-            grads = np.concatenate([np.add.reduceat(up[:, None] * k, first), pushed.reshape(-1, WIDTH + 1)])
-            tokens = np.append(tt[first], noise), grads, np.append(times, np.repeat(many, WORD_NOISE))
+            grads = np.concatenate([up[:, None] * k, pushed.reshape(-1, WIDTH + 1)])
+            tokens = np.append(tt, noise), grads, np.append(np.ones(len(tt), many.dtype), np.repeat(many, WORD_NOISE))
         back[:, WIDTH] = 0  # contexts have no bias
         s0, s1 = np.append(s0, np.float32(0)), np.append(s1, np.float32(0))
         contexts = np.concatenate([x, y]), np.concatenate([back * s0, back * s1]), np.ones(2 * len(x))
@@ -277,7 +277,8 @@ class Trainer:
         seen = self.seen[rows] + np.einsum("nd,nd->n", grad, grad) / (WIDTH + 1)
         self.seen[rows] = seen
         grad *= (RATE / np.sqrt(seen))[:, None]
-        self.model.rows[rows] += grad
+        grad += self.model.rows.take(rows, axis=0)
+        self.model.rows[rows] = grad
         self.met[rows] += n
 
     def changes(self, before: np.ndarray) -> Iterator[tuple[int, bytes, bytes, bytes]]:
@@ -306,12 +307,16 @@ def _tiles(many: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def _summed(rows: np.ndarray, values: np.ndarray, times: np.ndarray):
-    """Distinct rows, and the sums of their values and of their times."""
+    """Distinct rows, and the sums of their values and of their times, added in double precision."""
     if not len(rows):
         return rows, values, times
-    sort = np.argsort(rows)
-    heads, _ = _runs(rows[sort])
-    return rows[sort][heads], np.add.reduceat(values[sort], heads, axis=0), np.add.reduceat(times[sort], heads)
+    sort, width = np.argsort(rows), values.shape[1]
+    heads, many = _runs(rows[sort])
+    place = np.empty(len(rows), np.int64)
+    place[sort] = np.repeat(np.arange(len(heads)), many)
+    # bincount takes half the time of reduceat, which is slow on short runs of short rows
+    sums = np.bincount((place[:, None] * width + np.arange(width)).ravel(), values.ravel()).reshape(-1, width)
+    return rows[sort][heads], sums.astype(values.dtype), np.bincount(place, times)
 
 
 def _numbered(vocabulary: Vocabulary, texts):

@@ -141,3 +141,13 @@ def test_a_step_takes_a_fixed_number_of_products(monkeypatch):
             grad[w] -= sigma(m.output[w] @ h[i] - off) * h[i]
     moved = grad * (lm_scoring.RATE / np.sqrt(1 + (grad**2).sum(1) / (lm_scoring.WIDTH + 1)))[:, None]
     assert np.allclose(trainer.model.output - m.output, moved, atol=2e-5)
+
+
+def test_gradients_of_a_row_are_summed_at_once():
+    """In any order, and without losing small ones behind large ones."""
+    rows, values = np.array([7, 3, *[7] * 1000, 3]), np.ones((1003, 17), np.float32)
+    values[0] = 2.0**24
+    at, sums, times = lm_scoring._summed(rows, values, np.full(1003, 2.0))
+    assert at.tolist() == [3, 7] and times.tolist() == [4, 2002]
+    assert sums.dtype == np.float32 and (sums == [[2] * 17, [2.0**24 + 1000] * 17]).all()
+    assert len(lm_scoring._summed(rows[:0], values[:0], rows[:0])[0]) == 0
