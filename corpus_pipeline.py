@@ -8,6 +8,9 @@ doc_ids and languages are kept as they are. Rows that repeat doc_id and text are
 keep the same lines, and one of them stays. Rows with one doc_id, or none, and different texts are documents of
 their own in every stage. Other columns pass every stage, whatever their
 names. An empty table gives an empty result. Very long texts are handled whole.
+
+Near duplicates and encoding send texts to Python in batches of ``BATCH``: by Spark's default of 64 MB two tasks would hold
+several hundred MB of them outside the executor's heap. ``run`` puts the session's own value back.
 """
 
 from __future__ import annotations
@@ -21,6 +24,9 @@ from pyspark.sql import functions as F
 from panelloom.llm import bpe_codec, decontaminate, jaccard_join, language_id, line_dedup
 from panelloom.llm.common import released, shared_folder
 
+#: Bytes of a batch, and the setting that bounds it.
+BATCH, BATCH_BYTES = "4m", "spark.sql.execution.arrow.maxBytesPerBatch"
+
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is known with confidence; the others go."""
@@ -40,6 +46,7 @@ def remove_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 def keep_one_of_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest doc_id of each group of near duplicates: five-word shingles, similarity 0.8."""
+    spark.conf.set(BATCH_BYTES, BATCH)
     return jaccard_join.one_of_each(docs, n=5, percent=80)
 
 
@@ -50,6 +57,7 @@ def remove_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token count and digests of each document's ids and of what they decode to."""
+    spark.conf.set(BATCH_BYTES, BATCH)
     return bpe_codec.round_trip(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
@@ -69,8 +77,12 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``; what each returns is written to the shared folder and read by the next."""
     folder = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for name, stage in STAGES:
-        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
-        docs = spark.read.parquet(f"{folder}/{name}")
-        released(spark)
+    before = spark.conf.get(BATCH_BYTES)
+    try:
+        for name, stage in STAGES:
+            stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
+            docs = spark.read.parquet(f"{folder}/{name}")
+            released(spark)
+    finally:
+        spark.conf.set(BATCH_BYTES, before)
     return docs

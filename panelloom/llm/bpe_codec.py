@@ -5,8 +5,9 @@ similar length, into padded numpy matrices; in every round each row merges its l
 least rank, found in a hashed pair table, and closes the gap. Pieces above ``LONG`` bytes, which would
 need as many rounds as they have bytes, take the same merges from a heap.
 
-A null or empty text has no ids and decodes to no bytes. Results of pieces are remembered per worker
-up to ``REMEMBERED`` of them, then forgotten, so memory doesn't grow with the corpus.
+A null or empty text has no ids and decodes to no bytes. Results of pieces are remembered per worker in two
+generations of about ``REMEMBERED`` pieces, long ones counted by their length: when the younger is full, the elder is forgotten and
+takes its place, and pieces met again move to the younger. So memory doesn't grow with the corpus, and frequent pieces aren't merged anew.
 """
 
 from __future__ import annotations
@@ -24,8 +25,8 @@ from pyspark.sql import DataFrame
 from panelloom.llm.common import slices
 from panelloom.llm.pair_merge import PairTable, merge_long, merge_padded
 
-#: Bytes of text handled at once, pieces remembered, and the longest piece for the matrices.
-BLOCK, REMEMBERED, LONG = 2_000_000, 300_000, 512
+#: Bytes of text handled at once, pieces remembered in a generation, characters that count as one piece, and the longest piece for the matrices.
+BLOCK, REMEMBERED, CHARACTERS, LONG = 1_000_000, 75_000, 32, 512
 _LOADED: dict[tuple, "Codec"] = {}
 
 
@@ -47,6 +48,8 @@ class Codec:
         self.table = PairTable(left, right, merged, merged)
         self.single = np.array([self.ranks[bytes([b])] for b in range(256)], np.int32)
         self.known: dict[str, bytes] = {}
+        self.elder: dict[str, bytes] = {}
+        self.held = 0
         self._pairs: dict | None = None
 
     @classmethod
@@ -90,11 +93,15 @@ class Codec:
     def encode_packed(self, texts: list[str | None]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers."""
         split = [self.pattern.findall(t) if t else [] for t in texts]
-        if len(self.known) > REMEMBERED:
-            self.known.clear()
-        new = set().union(*split).difference(self.known)
+        if self.held > REMEMBERED:
+            self.known, self.elder, self.held = {}, self.known, 0
+        missing = set().union(*split).difference(self.known)
+        met = self.elder.keys() & missing
+        self.known.update((piece, self.elder.pop(piece)) for piece in met)
+        new = list(missing.difference(met))
         if new:
-            self.encode_pieces(list(new))
+            self.encode_pieces(new)
+        self.held += len(missing) + sum(map(len, missing)) // CHARACTERS
         get = self.known.__getitem__
         return [b"".join(map(get, pieces)) for pieces in split]
 

@@ -46,6 +46,26 @@ def test_heap_and_matrix_agree(codec):
         assert np.frombuffer(codec._long(piece.encode()), "<u4").tolist() == codec.encode(piece) or piece.encode() in codec.ranks
 
 
+def test_pieces_remembered_are_bounded_and_frequent_ones_kept(monkeypatch, library):
+    """Whatever the corpus holds, two generations stay; a piece of every text is merged once."""
+    codec = bpe_codec.Codec(PATH, public_tokenizers.PATTERN)
+    monkeypatch.setattr(bpe_codec, "REMEMBERED", 300)
+    merged, kept = [], codec.encode_pieces
+    codec.encode_pieces = lambda pieces: merged.extend(pieces) or kept(pieces)
+    pick = random.Random(4)
+    for turn in range(60):
+        words = ["".join(pick.choice("bcdfghjkmnpq") for _ in range(9)) for _ in range(50)]
+        texts = [" everywhere " + " ".join(words), "z" * 3200 if turn == 30 else None]
+        assert codec.encode_packed(texts) == [np.array(library.encode_ordinary(t or ""), "<u4").tobytes() for t in texts]
+        assert len(codec.known) + len(codec.elder) <= 2 * 300 + 2 * 60 and not codec.known.keys() & codec.elder.keys()
+    assert len(merged) > 3000 and merged.count(" everywhere") == 1
+    codec.encode_packed(["q" * 32 * 301])
+    codec.encode_packed(["q"])
+    codec.encode_packed(["z" * 32 * 301])
+    codec.encode_packed(["q"])
+    assert sum(map(len, codec.known)) + sum(map(len, codec.elder)) < 2 * 32 * 301
+
+
 def test_odd_rows(spark, codec, library):
     rows = [(1, None, "x"), (2, "", "x"), (3, "same same", None), (3, "same same", None), (None, "no id", "x"), (5, "long " * 40000, "x")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, n_tokens string")

@@ -116,3 +116,24 @@ def test_empty_table(spark, folder, tmp_path):
     spark.read.parquet(f"{folder}/documents.parquet").limit(0).write.parquet(f"{tmp_path}/documents.parquet")
     spark.read.parquet(f"{folder}/benchmark.parquet").write.parquet(f"{tmp_path}/benchmark.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_texts_go_to_python_in_small_batches(spark, tmp_path, monkeypatch):
+    """While a stage runs; the session's own value comes back, and all rows are encoded."""
+    import corpus_pipeline as cp
+
+    spark.range(3000).selectExpr("id doc_id", "repeat(concat(id, ' word '), 400) text").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    before, seen = spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch"), []
+
+    def sizes(spark, docs, sf_dir):
+        def run(batches):
+            for b in batches:
+                yield b.slice(0, 1).from_pydict({"size": [b.nbytes]})
+
+        seen.append(max(r.size for r in docs.select("doc_id", "text").mapInArrow(run, "size long").collect()))
+        return docs
+
+    monkeypatch.setattr(cp, "STAGES", [("plain", sizes), ("encoding", lambda *a: (cp.encode(*a), sizes(*a))[0])])
+    assert cp.run(spark, str(tmp_path)).select("doc_id").distinct().count() == 3000
+    assert seen[0] > 6_000_000 > seen[1]
+    assert spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch") == before
