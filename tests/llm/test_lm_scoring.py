@@ -4,6 +4,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -151,3 +152,50 @@ def test_gradients_of_a_row_are_summed_at_once():
     assert at.tolist() == [3, 7] and times.tolist() == [4, 2002]
     assert sums.dtype == np.float32 and (sums == [[2] * 17, [2.0**24 + 1000] * 17]).all()
     assert len(lm_scoring._summed(rows[:0], values[:0], rows[:0])[0]) == 0
+
+
+ODD = [None, "", " ", "\n\n", " A\tb\x0bB\x0c\r\n", "\x1ca\x1fb\x85 Ä ä É é", "\x00 \x00\x00", "word", "  İI ", *(f"w{i} w{i} rare{i % 3}" for i in range(50))]
+
+
+def test_words_of_a_block_as_in_plain_python():
+    """White space at the ends and of other alphabets, control characters, empty texts; also in a slice."""
+    for texts in (pa.array(ODD, pa.string()), pa.array(["before", *ODD, "after"], pa.string()).slice(1, len(ODD)), pa.array(ODD, pa.large_string()), pa.array([], pa.string())):
+        words, lengths = lm_scoring._words(texts)
+        want = [tokens(t) for t in texts.to_pylist()]
+        assert lengths.tolist() == [len(w) for w in want] and words.to_pylist() == [t for w in want for t in w[:-1]]
+
+
+@pytest.mark.parametrize("known", [[b"w1", b"\n", b"b", b"a"], [b"w2", b"b"], []])
+def test_numbers_and_rare_tokens_of_a_block(known):
+    """With the end of a text known and among the rare tokens."""
+    v = lm_scoring.Vocabulary({t: i for i, t in enumerate(known)}, np.ones(len(known), np.int64), 100, 50)
+    words, ids, last, before, lengths, starts = lm_scoring._numbered(v, pa.array(ODD))
+    many, want = len(known), [tokens(t) for t in ODD]
+    number = [[v.number.get(t, many) for t in w] for w in want]
+    assert ids.tolist() == sum(number, []) and starts.tolist() == [0, *np.cumsum([len(w) for w in want])[:-1]]
+    assert last.tolist() == sum(([many + 1, *n][:-1] for n in number), []) and before.tolist() == sum(([many + 1, many + 1, *n][: len(n)] for n in number), [])
+    of, found, times = lm_scoring._rare(words, np.flatnonzero(ids == many), lengths, starts)
+    got = dict(zip(zip(of.tolist(), found.to_pylist(), strict=True), times.tolist(), strict=True))
+    assert len(got) == len(of) and got == Counter((i, t) for i, w in enumerate(want) for t in w if t not in v.number)
+
+
+def test_words_are_looked_up_without_python_objects(monkeypatch):
+    """The look-up of a block's words asks Python's dictionary for nothing but the end."""
+    asked = []
+
+    class Asked(dict):
+        def get(self, *a):
+            asked.append(a[0])
+            return super().get(*a)
+
+    v = lm_scoring.Vocabulary(Asked({b"w1": 0, b"\n": 1}), np.ones(2, np.int64), 100, 50)
+    assert len(lm_scoring._numbered(v, pa.array(["w1 w2 " * 1000]))[1]) == 2001 and asked == [b"\n"]
+
+
+def test_counts_that_are_sent_on_early(spark, monkeypatch):
+    """Counts are the same when a task can hold few of them."""
+    monkeypatch.setattr(lm_scoring, "HELD", 5)
+    monkeypatch.setattr(lm_scoring, "BLOCK", 10)
+    docs = spark.createDataFrame(list(enumerate(ODD * 3)), "doc_id long, text string").repartition(2)
+    got = {bytes(r.token): r.n for r in lm_scoring.token_counts(docs).collect()}
+    assert got == Counter(t for x in ODD * 3 for t in tokens(x))
