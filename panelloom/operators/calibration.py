@@ -48,7 +48,7 @@ def sigmoid(name: str = "y_sigmoid", steps: int = 12) -> ex.Builder:
 def venn_abers(name: str = "y_venn", grid: int = 10_000) -> ex.Builder:
     """A builder of Venn-Abers calibrators: each score joined once as negative and once as positive to the isotonic fit of what the refit saw; p1 / (1 - p0 + p1).
 
-    Scores lie on a grid, so a fit has a bounded number of rows however long the table. Without forecasts seen the raw probability passes.
+    Scores lie on a grid, so a fit has a bounded number of rows however long the table. Where a fit saw fewer than two classes the raw probability passes, as with ``sigmoid``.
     """
     score = F.round(F.col("y_prob") * grid) / grid
 
@@ -60,8 +60,9 @@ def venn_abers(name: str = "y_venn", grid: int = 10_000) -> ex.Builder:
         def fit(frame: pd.DataFrame) -> pd.DataFrame:
             known, wanted = frame[frame.n > 0].sort_values("score"), np.sort(frame[frame.n == 0].score.unique())
             p = joined_once(known.score.to_numpy(), known.pos.to_numpy(), known.n.to_numpy(), wanted)
+            both = 0 < known.pos.sum() < known.n.sum()
             found = {k: [frame[k].iloc[0]] * len(wanted) for k in of}
-            value = p[:, 1] / (1 - p[:, 0] + p[:, 1]) if len(known) else np.full(len(wanted), np.nan)
+            value = p[:, 1] / (1 - p[:, 0] + p[:, 1]) if both else np.full(len(wanted), np.nan)
             return pd.DataFrame({**found, "score": wanted, name: value})
 
         def apply(rows: DataFrame) -> DataFrame:

@@ -389,11 +389,11 @@ def _regimes(spark, sf_dir):
 
 
 def _calibrated(spark, sf_dir):
-    """(regime, unit, region, t0, horizon, y_true, y_prob, y_count, y_pred, y_sigmoid, y_venn): hurdle forecasts of three regimes, calibrated by earlier ones."""
+    """(regime, unit, region, t0, horizon, y_true, y_prob, y_count, y_pred, y_sigmoid, y_venn): hurdle forecasts of three regimes, calibrated by earlier ones of their regime and horizon."""
     rows, begin, counts, _ = _regimes(spark, sf_dir)
     keys = ("regime", "unit")
     found = ex.expanding_backtest(rows, ex.hurdle(), begin, keys, _RETRAIN)
-    return cal.in_folds(found, begin, keys, _RETRAIN).filter(F.col("t0") >= counts)
+    return cal.in_folds(found, begin, keys[:1], _RETRAIN).filter(F.col("t0") >= counts)
 
 
 @plan()
@@ -511,7 +511,7 @@ def _trained(spark, sf_dir):
     none = F.lit(None).cast("double")
     shape = lambda df, model, pred, prob=none, count=none: df.select(F.lit(model).alias("model"), "regime", "region", "t0", "horizon", "y_true", pred.cast("double").alias("y_pred"), prob.alias("y_prob"), count.alias("y_count"))
     whole = ex.expanding_backtest(rows, ex.hurdle(), begin, keys, _RETRAIN)
-    made = written(cal.in_folds(whole, begin, keys, _RETRAIN).filter(F.col("t0") >= counts))
+    made = written(cal.in_folds(whole, begin, keys[:1], _RETRAIN).filter(F.col("t0") >= counts))
     out = shape(made, "hurdle_raw", F.col("y_pred"), F.col("y_prob"), F.col("y_count"))
     for name in ("sigmoid", "venn"):
         out = out.unionByName(shape(made, f"hurdle_{name}", F.col(f"y_{name}") * F.col("y_count"), F.col(f"y_{name}"), F.col("y_count")))

@@ -63,6 +63,14 @@ def test_a_refit_s_sigmoid_is_a_fit_on_what_was_known(spark):
         assert abs(r.y_sigmoid - want) < 1e-6
 
 
+@pytest.mark.parametrize("label", [0, 1])
+def test_a_fit_of_one_class_passes_raw(spark, label):
+    """The highest score joined to a fit without a positive would come out at one half."""
+    rows = forecasts(spark).withColumn("y_true", F.lit(label))
+    found = cal.in_folds(rows, 40, retrain=20).collect()
+    assert len(found) == 2 * 2 * 120 and all(r.y_venn == r.y_prob == r.y_sigmoid for r in found)
+
+
 # --- out of fold ---
 
 
