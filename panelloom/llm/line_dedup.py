@@ -4,9 +4,11 @@ A text is cut at newlines. A rolling hash over the hashes of each full line, one
 chooses borders: one bit of it says in which of ``CHUNKINGS``, two, the line is a border. A chunk runs from a
 full line to the next border of a chunking after it, both inside, and no further than ``MOST`` full lines. So where a chunk ends
 depends on lines inside it alone: an inserted or lost line, or other surroundings, move no other border, and the two chunkings are complements, so that
-even a passage of two full lines holds a whole chunk of one of them, whatever surrounds it. Chunks are known by 128 bits of their
-lines' hashes; those that are met again are compared byte by byte with the first, by doc_id and place, and the lines of all but the first go. A chunk that
-only shares the hash stays.
+even a passage of two full lines holds a whole chunk of one of them, whatever surrounds it. A chunk is known by the hashes of its lines, one after
+the other, and 64 bits of them tell which chunks may be met again. Of equal chunks the first stays, by doc_id and place, and the lines of all others go.
+
+That lines with equal hashes are equal is checked byte by byte, with each different line once, not with the text of each chunk: a line lies in six
+of them or so. Where different lines share a hash, chunks that hold such a line are compared as text, so none goes that only shares hashes.
 
 As every chunk is made of chunks of two full lines, and those are never missed, the lines that go are those of any passage of two full lines
 or more that occurs earlier, which is how the SQL puts it.
@@ -14,8 +16,8 @@ or more that occurs earlier, which is how the SQL puts it.
 A null text stays null; an empty one is a single empty line and stays. Rows with the same doc_id and
 text count as one document: they keep the first occurrence in each. Rows with one doc_id and different
 texts are documents of their own, in the order of a digest of the text. Very long texts are cut like
-others; columns of the caller pass whatever their names. All by DataFrame functions. Repeated hashes are
-broadcast up to ``BROADCAST`` of them; beyond that the join shuffles.
+others; columns of the caller pass whatever their names. All by DataFrame functions. Hashes that are met again are
+broadcast up to ``BROADCAST`` of them; beyond that the joins shuffle hashes and places of chunks, and the lines themselves once.
 """
 
 from __future__ import annotations
@@ -23,10 +25,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from panelloom.llm.common import durable
+from panelloom.llm.common import durable, released
 
-#: Most repeated hashes that are broadcast.
+#: Most hashes that are broadcast.
 BROADCAST = 500_000
+#: Most shared hashes whose chunks alone are compared as text; beyond that all are.
+SHARED = 1000
 #: Values of the bit that chooses borders, its place in the rolling hash, and most full lines of a chunk.
 CHUNKINGS, BIT, MOST = 2, 5, 8
 
@@ -35,16 +39,23 @@ def _digest(text: str) -> Column:
     return F.unhex(F.md5(text))
 
 
+def line_hash(line: Column) -> Column:
+    return F.xxhash64(line)
+
+
 def rolled(before: Column, mark: Column) -> Column:
     """A cyclic polynomial over two lines' hashes: the one before is rotated by a bit."""
     return F.shiftleft(before, 1).bitwiseOR(F.shiftrightunsigned(before, 63)).bitwiseXOR(mark)
 
 
-def chunks(docs: DataFrame, with_text: bool = False) -> DataFrame:
-    """doc_id, mark (a digest of the text), and i, j (first and last line), high, low (its hash) and maybe ``chunk`` of each chunk."""
+def chunks(docs: DataFrame, with_text: bool | list[int] = False, with_own: bool = False) -> DataFrame:
+    """doc_id, mark (a digest of the text), and i, j (first and last line) and high (its hash) of each chunk.
+
+    ``own`` are the hashes of its lines, ``chunk`` is its text: of all chunks, or of those with a line of the hashes in ``with_text``.
+    """
     cut = docs.filter(F.col("text").contains("\n")).select("doc_id", _digest("text").alias("mark"), F.split("text", "\n", -1).alias("lines"))
     full = F.filter(F.transform("lines", lambda x, i: F.when(x.rlike(r"\S"), i)), lambda i: i.isNotNull())
-    cut = cut.withColumn("full", full).filter(F.size("full") > 1).withColumn("marks", F.transform("lines", lambda x: F.xxhash64(x)))
+    cut = cut.withColumn("full", full).filter(F.size("full") > 1).withColumn("marks", F.transform("lines", line_hash))
     mark_at = lambda k: F.get("marks", F.get("full", k))
     bit = lambda k: F.shiftrightunsigned(rolled(mark_at(k - 1), mark_at(k)), BIT) % CHUNKINGS
     cut = cut.withColumn("kind", F.transform("full", lambda i, k: F.when(k > 0, bit(k))))
@@ -52,8 +63,10 @@ def chunks(docs: DataFrame, with_text: bool = False) -> DataFrame:
     def chunk(i, j):
         own = F.slice("marks", i + 1, j - i + 1)
         # ``lines`` is named twice, so that the optimizer keeps it as a column instead of splitting the text again for each chunk
-        text = [F.array_join(F.slice("lines", F.least(i, F.size("lines")) + 1, j - i + 1), "\n").alias("chunk")] * with_text
-        return F.struct(i.alias("i"), j.alias("j"), F.xxhash64(own).alias("high"), F.xxhash64(F.lit(1), own).alias("low"), *text)
+        text = F.array_join(F.slice("lines", F.least(i, F.size("lines")) + 1, j - i + 1), "\n")
+        if isinstance(with_text, list):
+            text = F.when(F.arrays_overlap(own, F.array(*map(F.lit, with_text))), text)
+        return F.struct(i.alias("i"), j.alias("j"), F.xxhash64(own).alias("high"), *[own.alias("own")] * with_own, *[text.alias("chunk")] * bool(with_text))
 
     def started(i, k):
         """The chunk to the next line, which is a border of one chunking, and that to the next border of the other."""
@@ -65,21 +78,42 @@ def chunks(docs: DataFrame, with_text: bool = False) -> DataFrame:
     return cut.select("doc_id", "mark", F.explode(built).alias("c")).filter("c IS NOT NULL").select("doc_id", "mark", "c.*")
 
 
+def _few(hashes: DataFrame) -> tuple[DataFrame, bool]:
+    """``hashes``, written, and broadcast if they are few enough to be sent to every task."""
+    hashes = durable(hashes)
+    few = hashes.count() <= BROADCAST
+    return (F.broadcast(hashes) if few else hashes), few
+
+
+def _met_again(docs: DataFrame, again: DataFrame, as_text: bool | list[int] = False) -> DataFrame:
+    """doc_id, mark, i, j and own of the chunks that occur earlier without overlap; those with text are equal as text."""
+    place = F.struct("doc_id", "mark", "i", "j")
+    met = chunks(docs, as_text, with_own=True).join(again, "high").withColumn("chunk", F.coalesce("chunk", F.lit("")) if as_text else F.lit(""))
+    met, equal = durable(met), ["high", "own", "chunk"]
+    first = met.groupBy(*equal).agg(F.min(place).alias("first"), F.max(place).alias("last"))
+    first = first.filter(~F.col("first").eqNullSafe(F.col("last"))).select(*equal, "first")
+    inside = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("mark") == F.col("first.mark")) & (F.col("i") <= F.col("first.j"))  # the first, or one that overlaps it
+    # Joined by other keys than grouped by, so that both sides are dealt anew and Spark may split what a very common passage fills.
+    return durable(met.join(first.drop("high"), equal[1:]).filter(~inside).select("doc_id", "mark", "i", "j", "own"))
+
+
+def shared_hashes(docs: DataFrame, known: DataFrame, few: bool) -> list[int]:
+    """Hashes that different lines share, ``SHARED`` and one at most: among the known ones, or among all if those are too many to be sent."""
+    lines = docs.filter(F.col("text").contains("\n")).select(F.explode(F.split("text", "\n", -1)).alias("line")).select(line_hash(F.col("line")).alias("hash"), "line")
+    lines = lines.join(known, "hash") if few else lines
+    shared = lines.distinct().groupBy("hash").count().filter("count > 1")
+    return [r.hash for r in shared.select("hash").limit(SHARED + 1).collect()]
+
+
 def repeated_lines(docs: DataFrame) -> DataFrame:
     """doc_id, mark and ``gone``, the sorted numbers of its lines in chunks that occur earlier; only documents with any."""
-    name, place = ["high", "low"], F.struct("doc_id", "mark", "i", "j")
-    slim = chunks(docs)
-    again = durable(slim.groupBy(*name).count().filter("count > 1").select(*name))
-    few = again.count() <= BROADCAST
-    again = F.broadcast(again) if few else again
-    # Where the repeated hashes are few enough to be sent to every task, only chunks that are met again move; else all are shuffled.
-    first = slim.join(again, name).groupBy(*name).agg(F.min(place).alias("first"), F.max(place).alias("last"))
-    first = durable(first.filter(~F.col("first").eqNullSafe(F.col("last"))).select(*name, "first"))
-    met = chunks(docs, with_text=True).join(F.broadcast(first) if few else first, name)
-    text = met.filter(place.eqNullSafe(F.col("first"))).select(*name, F.col("chunk").alias("first_chunk")).dropDuplicates(name)
-    later = met.filter(~place.eqNullSafe(F.col("first"))).join(text, name).filter(F.col("chunk") == F.col("first_chunk"))
-    inside = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("mark") == F.col("first.mark")) & (F.col("i") <= F.col("first.j"))  # the first, or one that overlaps it
-    lines = later.filter(~inside).select("doc_id", "mark", F.explode(F.sequence("i", "j")).alias("line"))
+    again, _ = _few(chunks(docs).groupBy("high").count().filter("count > 1").select("high"))
+    later = _met_again(docs, again)
+    shared = shared_hashes(docs, *_few(later.select(F.explode("own").alias("hash")).distinct()))
+    released(docs.sparkSession)  # the lines that moved, before the texts move
+    if shared:
+        later = _met_again(docs, again, shared if len(shared) <= SHARED else True)
+    lines = later.select("doc_id", "mark", F.explode(F.sequence("i", "j")).alias("line"))
     return lines.groupBy("doc_id", "mark").agg(F.sort_array(F.collect_set("line")).alias("gone"))
 
 

@@ -134,3 +134,30 @@ def test_pipeline_stage_takes_passages(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string, n_chars long")
     got = sorted(map(tuple, corpus_pipeline.remove_repeated_lines(spark, docs, "").collect()))
     assert got == [(1, "own 1\np\nq\nown 2", 15), (2, "r\ns", 3), (4, None, None)]
+
+
+@pytest.mark.parametrize("most", [1000, 3])
+def test_different_lines_with_one_hash(spark, monkeypatch, most):
+    """Hashes that tell little: chunks of other lines with the same ones stay, and their own repetitions go."""
+    from pyspark.sql import functions as F
+
+    monkeypatch.setattr(line_dedup, "line_hash", lambda line: F.length(line).cast("long"))
+    monkeypatch.setattr(line_dedup, "SHARED", most)
+    rows = [r for r in table() if r[0] != 907] + [(908, "b1\nb2"), (909, "c1\nc2"), (910, "x\nc1\nc2"), (911, "yy\nb1\nb2")]
+    assert {r.doc_id: r.text for r in line_dedup.without_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()} == brute(rows)
+
+
+def test_text_moves_as_lines_not_as_chunks(spark, monkeypatch, tmp_path):
+    """More hashes are met again than are sent: the joins shuffle the texts once at most, not once for each chunk about a line."""
+    from pyspark.sql import functions as F
+
+    monkeypatch.setattr(line_dedup, "BROADCAST", 0)
+    line = lambda i: F.concat(*[F.sha2(F.concat_ws("-", "id", i, F.lit(k)), 512) for k in range(8)])
+    text = F.array_join(F.transform(F.sequence(F.lit(0), F.lit(19)), line), "\n")
+    spark.range(300).select("id", text.alias("text")).select(F.explode(F.array("id", F.col("id") + 300)).alias("doc_id"), "text").write.parquet(f"{tmp_path}/docs")
+    docs, store = spark.read.parquet(f"{tmp_path}/docs"), spark.sparkContext._jsc.sc().statusStore()
+    written = lambda: store.executorList(True).apply(0).totalShuffleWrite()
+    before = written()
+    assert line_dedup.repeated_lines(docs).filter("size(gone) = 20").count() == 300
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    assert 0 < written() - before < 1.5 * docs.agg(F.sum(F.length("text"))).first()[0]
