@@ -10,7 +10,8 @@ their own in every stage. Other columns pass every stage, whatever their
 names. An empty table gives an empty result. Very long texts are handled whole.
 
 Near duplicates and encoding send texts to Python in batches of ``BATCH``: by Spark's default of 64 MB two tasks would hold
-several hundred MB of them outside the executor's heap. ``run`` puts the session's own value back.
+several hundred MB of them outside the executor's heap. ``run`` begins with the session's own value, also where stages were called
+alone before and have left theirs, and puts back what it found.
 """
 
 from __future__ import annotations
@@ -24,8 +25,15 @@ from pyspark.sql import functions as F
 from panelloom.llm import bpe_codec, decontaminate, jaccard_join, language_id, line_dedup
 from panelloom.llm.common import released, shared_folder
 
-#: Bytes of a batch, and the setting that bounds it.
-BATCH, BATCH_BYTES = "4m", "spark.sql.execution.arrow.maxBytesPerBatch"
+#: Bytes of a batch, the setting that bounds it, and where a stage leaves the session's own value.
+BATCH, BATCH_BYTES, OWN_BYTES = "4m", "spark.sql.execution.arrow.maxBytesPerBatch", "corpus_pipeline.maxBytesPerBatch"
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Batches of ``BATCH`` from now on: a stage's rows are read after it has returned."""
+    if (own := spark.conf.get(BATCH_BYTES)) != BATCH:
+        spark.conf.set(OWN_BYTES, own)
+        spark.conf.set(BATCH_BYTES, BATCH)
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -46,7 +54,7 @@ def remove_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 def keep_one_of_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest doc_id of each group of near duplicates: five-word shingles, similarity 0.8."""
-    spark.conf.set(BATCH_BYTES, BATCH)
+    small_batches(spark)
     return jaccard_join.one_of_each(docs, n=5, percent=80)
 
 
@@ -57,7 +65,7 @@ def remove_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token count and digests of each document's ids and of what they decode to."""
-    spark.conf.set(BATCH_BYTES, BATCH)
+    small_batches(spark)
     return bpe_codec.round_trip(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
@@ -78,6 +86,8 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     before = spark.conf.get(BATCH_BYTES)
+    if before == BATCH:
+        spark.conf.set(BATCH_BYTES, spark.conf.get(OWN_BYTES, before))
     try:
         for name, stage in STAGES:
             stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")

@@ -9,7 +9,7 @@ import time
 from pyspark.sql import DataFrame, SparkSession
 
 #: Seconds between two collections of the driver's dropped plans, and when the last was.
-BETWEEN = 5
+BETWEEN = 2
 _collected = [0.0]
 
 

@@ -137,3 +137,20 @@ def test_texts_go_to_python_in_small_batches(spark, tmp_path, monkeypatch):
     assert cp.run(spark, str(tmp_path)).select("doc_id").distinct().count() == 3000
     assert seen[0] > 6_000_000 > seen[1]
     assert spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch") == before
+
+
+def test_batches_of_a_stage_called_alone(spark, tmp_path, monkeypatch):
+    """What it leaves in the session is not what a later run begins with, and that run leaves what it found."""
+    import corpus_pipeline as cp
+
+    spark.range(3).selectExpr("id doc_id", "'some text' text").write.parquet(f"{tmp_path}/documents.parquet")
+    before = spark.conf.get(cp.BATCH_BYTES)
+    try:
+        spark.conf.set(cp.BATCH_BYTES, "9m")
+        cp.encode(spark, spark.read.parquet(f"{tmp_path}/documents.parquet"), "")
+        seen = [spark.conf.get(cp.BATCH_BYTES)]
+        monkeypatch.setattr(cp, "STAGES", [("plain", lambda spark, docs, d: (seen.append(spark.conf.get(cp.BATCH_BYTES)), docs)[1])])
+        cp.run(spark, str(tmp_path))
+        assert [*seen, spark.conf.get(cp.BATCH_BYTES)] == ["4m", "9m", "4m"]
+    finally:
+        spark.conf.set(cp.BATCH_BYTES, before)
